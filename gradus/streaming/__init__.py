@@ -1,0 +1 @@
+"""Empty on purpose: the pipeline this library rebuilds has no streaming surface."""
