@@ -29,11 +29,11 @@ BLOCK_ROWS = 20_000
 PIVOTS = 256
 DIGITS = 9
 
-_OUT = "query_id {q}, train_id {t}, dist2 double, label int"
+_OUT = "query_id {q}, rank int, train_id {t}, dist2 double, label int"
 
 
 def _searcher(k, digits=DIGITS):
-    """Function (queries, points, ids) -> blocks of (query index, point index, distance).
+    """Function (queries, points, ids) -> blocks of (query index, rank, point index, distance).
 
     A matrix product finds candidates; its rounding is covered by a margin, and the
     candidates are measured again coordinate by coordinate. Being local to this function it
@@ -45,11 +45,13 @@ def _searcher(k, digits=DIGITS):
 
         id_rank = np.unique(ids, return_inverse=True)[1]
         norms = np.einsum("ij,ij->i", points, points)
-        step = max(1, 4_000_000 // len(points))
+        # |q|^2 + |p|^2 - 2 q.p as one product of widened matrices.
+        wide = np.vstack([points.T, np.ones(len(points)), norms])
+        step = max(1, 1_000_000 // len(points))
         for a in range(0, len(queries), step):
             block = queries[a:a + step]
             own = np.einsum("ij,ij->i", block, block)
-            near = own[:, None] + norms[None, :] - 2.0 * (block @ points.T)
+            near = np.hstack([-2.0 * block, own[:, None], np.ones((len(block), 1))]) @ wide
             if len(points) > k:
                 kth = np.partition(near, k - 1, axis=1)[:, k - 1]
                 margin = 1e-9 * (1.0 + own + norms.max()) + 2 * 10.0 ** -digits
@@ -59,8 +61,9 @@ def _searcher(k, digits=DIGITS):
             exact = np.round(((block[rows] - points[cols]) ** 2).sum(axis=1), digits)
             order = np.lexsort((id_rank[cols], exact, rows))
             rows, cols, exact = rows[order], cols[order], exact[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-            yield rows[keep] + a, cols[keep], exact[keep]
+            rank = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            keep = rank <= k
+            yield rows[keep] + a, rank[keep], cols[keep], exact[keep]
 
     return search
 
@@ -92,10 +95,10 @@ def knn_join(
     ``features`` is a list of numeric columns or one array column; no value may be NULL.
     """
     queries, points = _sides(test, train, features, test_id, train_id, label, k)
-    first = points.limit(1).collect()
-    if not first:
+    first = train.select(F.size(_vector(features))).first()
+    if first is None:
         raise ValueError("no training rows")
-    width = len(first[0]["vec"])
+    width = first[0]
     room = broadcast_bytes // (8 * (width + 2))
     local = points.limit(room + 1).toPandas()
     out = _OUT.format(
@@ -103,9 +106,8 @@ def knn_join(
         t=points.schema["train_id"].dataType.simpleString(),
     )
     if len(local) <= room:
-        found = _broadcast_join(queries, local, k, out)
-    else:
-        found = _partitioned_join(queries, points, width, k, out, block_rows, pivots)
+        return _broadcast_join(queries, local, k, out)
+    found = _partitioned_join(queries, points, k, out, block_rows, pivots)
     best = Window.partitionBy("query_id").orderBy("dist2", "train_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "train_id", "dist2", "label"
@@ -131,16 +133,18 @@ def _broadcast_join(queries: DataFrame, local, k: int, out: str) -> DataFrame:
                 continue
             vectors = np.array(batch["vec"].tolist(), dtype=float)
             query_ids = batch["query_id"].to_numpy()
-            for rows, cols, dist in search(vectors, points, ids):
+            for rows, rank, cols, dist in search(vectors, points, ids):
                 yield pd.DataFrame(
-                    {"query_id": query_ids[rows], "train_id": ids[cols], "dist2": dist,
-                     "label": labels[cols]}
+                    {"query_id": query_ids[rows], "rank": rank, "train_id": ids[cols],
+                     "dist2": dist, "label": labels[cols]}
                 )
 
-    return queries.mapInPandas(run, out)
+    # Comparing costs far more than moving a row: use all tasks also for a small query table.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return queries.repartition(tasks, "query_id").mapInPandas(run, out)
 
 
-def _partitioned_join(queries, points, width, k, out, block_rows, pivots) -> DataFrame:
+def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
     import numpy as np
 
     spark = queries.sparkSession
@@ -224,12 +228,12 @@ def _partitioned_join(queries, points, width, k, out, block_rows, pivots) -> Dat
             matrix = np.array(points_pdf["vec"].tolist(), dtype=float)
             ids, labels = points_pdf["train_id"].to_numpy(), points_pdf["label"].to_numpy()
             query_ids = queries_pdf["query_id"].to_numpy()
-            for rows, cols, dist in search(vectors, matrix, ids):
+            for rows, rank, cols, dist in search(vectors, matrix, ids):
                 parts.append(
-                    pd.DataFrame({"query_id": query_ids[rows], "train_id": ids[cols],
+                    pd.DataFrame({"query_id": query_ids[rows], "rank": rank, "train_id": ids[cols],
                                   "dist2": dist, "label": labels[cols]})
                 )
-        empty = pd.DataFrame({"query_id": [], "train_id": [], "dist2": [], "label": []})
+        empty = pd.DataFrame({c: [] for c in ("query_id", "rank", "train_id", "dist2", "label")})
         return pd.concat(parts) if parts else empty
 
     keys = ["cell", "query_block", "point_block"]

@@ -124,13 +124,14 @@ class _Slices:
                 bound[j, b] = np.min(bound[j - 1, a] + self.error(b + 1, np.maximum(a, b + 1)))
         return bound
 
-    def open_slices(self, ks, best):
-        """Slices of several sizes in which a better cut than the best edge cut may lie."""
-        kmax = max(ks)
-        left, right = self.bound_left(kmax), self.bound_right(kmax)
+    def open_slices(self, best):
+        """Slices of several sizes in which a cut may lie that beats ``best`` (k -> error)."""
         mask = np.zeros(len(self), dtype=bool)
-        for k in ks:
-            limit = best[k] * (1 + 1e-9)
+        if not best:
+            return mask
+        left, right = self.bound_left(max(best)), self.bound_right(max(best))
+        for k, error in best.items():
+            limit = error * (1 + 1e-9)
             for j in range(1, k):
                 mask |= left[j] + right[k - j] <= limit
         return mask & ~self.whole
@@ -172,11 +173,10 @@ def fit_levels(
         cost, start = slices.best_at_edges(kmax)
         if slices.whole.all():
             break
-        wanted = sorted({min(k, kmax) for k in ks if k > 1})
-        best = {k: cost[k, len(slices)] for k in wanted}
-        opened = slices.open_slices(wanted, best) if wanted else np.zeros(len(slices), dtype=bool)
-        if kmax < max(ks):
+        if kmax < max(ks):  # fewer slices than levels: look inside all of them
             opened = ~slices.whole
+        else:
+            opened = slices.open_slices({k: cost[k, len(slices)] for k in ks if k > 1})
         if not opened.any():
             break
         parts = max(2, split_budget // int(opened.sum()))
@@ -243,26 +243,21 @@ def join_labels(
         F.col(group).alias("hot_group"), F.col(S.TARGET).alias("hot_label")
     )
     cold = groups.filter(F.col(size) <= hot_from).select(
-        F.col(group).alias("cold_group"), F.col(S.TARGET).alias("cold_label"),
-        F.lit(0).alias("cold_salt"),
+        F.col(group).cast("string").alias("cold_key"), F.col(S.TARGET).alias("cold_label")
     )
-    # Points of hot groups, and points without a group, match nothing in the shuffle join:
-    # a salt above 0 spreads them. The salt hashes the whole row, so a retried task that
-    # reads the same row gets the same salt.
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), F.lit(1_000_003)) + 1
     matched = points.join(F.broadcast(hot), F.col(group) == F.col("hot_group"), "left")
-    matched = matched.withColumn(
-        "cold_salt_of",
-        F.when(F.col("hot_group").isNull() & F.col(group).isNotNull(), 0).otherwise(spread),
-    )
-    joined = matched.join(
-        cold,
-        (F.col(group) == F.col("cold_group")) & (F.col("cold_salt_of") == F.col("cold_salt")),
-        "left",
-    )
-    out = joined.select(
-        *points.columns, F.coalesce("hot_label", "cold_label").alias(S.TARGET)
-    )
+    # Points of hot groups and points without a group find nothing in the shuffle join. They
+    # get a key of their own there, a hash of the whole row: it spreads them over all tasks,
+    # and a retried task that reads the same row builds the same key.
+    is_cold = F.col("hot_group").isNull() & F.col(group).isNotNull()
+    spread = F.concat(F.lit("\0"), F.xxhash64(*[F.col(c) for c in points.columns]).cast("string"))
+    matched = matched.withColumns({
+        "is_cold": is_cold,
+        "join_key": F.when(is_cold, F.col(group).cast("string")).otherwise(spread),
+    })
+    joined = matched.join(cold, F.col("join_key") == F.col("cold_key"), "left")
+    label = F.coalesce("hot_label", F.when(F.col("is_cold"), F.col("cold_label")))
+    out = joined.select(*points.columns, label.alias(S.TARGET))
     return out.filter(F.col(S.TARGET).isNotNull()) if how == "inner" else out
 
 

@@ -6,7 +6,8 @@ All models take the feature contract, emit ``probabilities`` (array, one entry p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -17,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     OneVsRestModel,
 )
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,26 +26,50 @@ from pyspark.sql import functions as F
 from gradus import schema as S
 from gradus.functions.decisions import argmax_class, threshold_class
 from gradus.operators.knn import knn_predict
-from gradus.operators.splitting import with_class_weight
 
 WEIGHT = "class_weight"
 MODEL_INFO = "knn_info"
 
 
-def _scaled_features(features: Sequence[str], rows: int, handle_invalid: str) -> list:
-    """Assembler and population z-score.
+@contextmanager
+def _collapsed(
+    train: DataFrame, features: Sequence[str], label: str, classes: Sequence[int]
+) -> Iterator[DataFrame]:
+    """Equal training rows as one persisted row with ``copies`` and the sum of their balanced weights.
 
-    The library scaler divides by the sample deviation; a constant factor per column turns
-    that into the population one.
+    A weighted loss over the collapsed rows is the loss over all rows, so every later pass of
+    a fit reads the distinct rows only. Flags and codes repeat massively in a registry.
     """
-    factor = (rows / (rows - 1)) ** 0.5 if rows > 1 else 1.0
-    return [
-        VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid=handle_invalid),
-        StandardScaler(inputCol="raw_features", outputCol="sample_scaled", withMean=True, withStd=True),
-        ElementwiseProduct(
-            scalingVec=[factor] * len(features), inputCol="sample_scaled", outputCol="features"
-        ),
-    ]
+    rows = train.filter(F.col(label).isin(list(classes))).groupBy(label, *features).agg(
+        F.count(F.lit(1)).alias("copies")
+    ).persist()
+    try:
+        per_class = {r[0]: r[1] for r in rows.groupBy(label).agg(F.sum("copies")).collect()}
+        if not per_class:
+            raise ValueError("no training rows")
+        total = sum(per_class.values())
+        weight = {c: total / (len(per_class) * n) for c, n in per_class.items()}
+        factor = F.create_map(*[F.lit(v) for pair in weight.items() for v in pair])[F.col(label)]
+        yield rows.withColumn(WEIGHT, F.col("copies") * factor)
+    finally:
+        rows.unpersist()
+
+
+def _scaler(rows: DataFrame, features: Sequence[str]) -> SQLTransformer:
+    """Population z-score of collapsed rows as a fixed projection; a constant column gives 0."""
+    n = F.sum("copies")
+    means = rows.agg(*[F.sum(F.col(c) * F.col("copies")) / n for c in features]).first()
+    spreads = rows.agg(
+        *[
+            F.sqrt(F.sum((F.col(c) - m) * (F.col(c) - m) * F.col("copies")) / n)
+            for c, m in zip(features, means)
+        ]
+    ).first()
+    columns = ", ".join(
+        f"(CAST(`{c}` AS DOUBLE) - {m!r}D) / {s or 1.0!r}D AS `{c}_scaled`"
+        for c, m, s in zip(features, means, spreads)
+    )
+    return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
 
 
 class ScoringModel:
@@ -179,15 +204,23 @@ def fit_logistic(
     The library averages the loss over the weights where others sum it, so the ridge strength
     1/C becomes 1/(C * total weight). Balanced weights sum to the number of rows.
     """
-    weighted = with_class_weight(train, label, classes, WEIGHT).select(label, WEIGHT, *features)
-    rows = weighted.count()
-    stages = _scaled_features(features, rows, handle_invalid) + [
-        LogisticRegression(
-            family="multinomial", labelCol=label, weightCol=WEIGHT, featuresCol="features",
-            maxIter=max_iter, regParam=1.0 / (c * rows), elasticNetParam=0.0, standardization=False,
-        )
-    ]
-    return ScoringModel(Pipeline(stages=stages).fit(weighted))
+    if handle_invalid == "skip":
+        train = train.na.drop(subset=list(features))
+    with _collapsed(train, features, label, classes) as rows:
+        total = rows.agg(F.sum("copies")).first()[0]
+        stages = [
+            _scaler(rows, features),
+            VectorAssembler(
+                inputCols=[f"{c}_scaled" for c in features], outputCol="features",
+                handleInvalid=handle_invalid,
+            ),
+            LogisticRegression(
+                family="multinomial", labelCol=label, weightCol=WEIGHT, featuresCol="features",
+                maxIter=max_iter, regParam=1.0 / (c * total), elasticNetParam=0.0,
+                standardization=False,
+            ),
+        ]
+        return ScoringModel(Pipeline(stages=stages).fit(rows))
 
 
 def fit_boosted(
@@ -199,16 +232,19 @@ def fit_boosted(
 
     Missing feature values are kept as NaN, which the trees send to one side of a split.
     """
-    weighted = with_class_weight(train, label, classes, WEIGHT).select(label, WEIGHT, *features)
-    trees = GBTClassifier(
-        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-        seed=seed, cacheNodeIds=True, checkpointInterval=10,
-    )
-    stages = [
-        VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid),
-        OneVsRest(classifier=trees, featuresCol="features", labelCol=label, weightCol=WEIGHT),
-    ]
-    return ScoringModel(Pipeline(stages=stages).fit(weighted))
+    with _collapsed(train, features, label, classes) as rows:
+        trees = GBTClassifier(
+            featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
+            seed=seed, checkpointInterval=10,
+        )
+        stages = [
+            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid),
+            OneVsRest(
+                classifier=trees, featuresCol="features", labelCol=label, weightCol=WEIGHT,
+                parallelism=len(classes),
+            ),
+        ]
+        return ScoringModel(Pipeline(stages=stages).fit(rows))
 
 
 @dataclass(frozen=True)

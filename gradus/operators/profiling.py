@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SMALL = 100_000  # up to this many values one percentile aggregate may hold them
+
 
 def scan_profile(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
     """One row: rows, columns and the distinct non-null values of chosen columns."""
@@ -116,7 +118,8 @@ def histogram(
 
 def exact_quantiles(
     df: DataFrame, column: str, probabilities: Sequence[float],
-    small: int = 1_000_000, fan_out: int = 1024, keep: int = 10_000,
+    small: int = SMALL, fan_out: int = 1024, keep: int = 10_000,
+    span: tuple[int, float, float] | None = None,
 ) -> list[float | None]:
     """Quantiles with linear interpolation, exact at any size.
 
@@ -124,10 +127,10 @@ def exact_quantiles(
     ranks are searched: count the values in ``fan_out`` slices of the bracket around each
     rank, keep the slice that holds it, and repeat until the slice has one distinct value or
     at most ``keep`` of them. The driver sees slice counts only; a value that fills a third
-    of all rows ends its search at once.
+    of all rows ends its search at once. ``span`` is (count, min, max) where it is known.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    n, low, high = span or values.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return [None] * len(probabilities)
     if n <= small:
@@ -190,15 +193,14 @@ def _narrow(inside, a, b, below, ranks, fan_out, keep):
     return out
 
 
-def describe(df: DataFrame, column: str, small: int = 1_000_000) -> DataFrame:
+def describe(df: DataFrame, column: str, small: int = SMALL) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max of one numeric column."""
-    quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75), small=small)
     x = F.col(column).cast("double")
-    return df.agg(
-        F.count(x).alias("count"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        *[F.lit(v).cast("double").alias(c) for v, c in zip(quartiles, ("p25", "p50", "p75"))],
-        F.max(x).alias("max"),
+    n, mean, deviation, low, high = df.agg(
+        F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)
+    ).first()
+    quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75), small=small, span=(n, low, high))
+    return df.sparkSession.createDataFrame(
+        [(n, mean, deviation, low, *quartiles, high)],
+        "count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double",
     )

@@ -13,7 +13,8 @@ from gradus import schema as S
 
 SPLIT = "split"
 TEST, TRAIN = "test", "train"
-PREFIX = 4  # hex digits of the hash that form a counting bucket: 65,536 buckets per class
+BUCKET_ROWS = 100_000  # wanted rows of one hash bucket; only one bucket per class is ranked
+MAX_PREFIX = 6         # hex digits that form a bucket: at most 16.8 million buckets
 
 
 def split_quotas(class_counts: dict[int, int], test_size: float = 0.2) -> dict[int, int]:
@@ -61,25 +62,28 @@ def _hash(id_column: str, seed: int) -> Column:
 
 def fit_split(
     df: DataFrame, id_column: str, label: str = S.TARGET, test_size: float = 0.2,
-    seed: int = 42, prefix: int = PREFIX,
+    seed: int = 42, bucket_rows: int = BUCKET_ROWS,
 ) -> StratifiedSplit:
     """Exact per-class quotas in hash order of a unique id.
 
-    A first job counts rows per class and hash prefix; the prefix in which a class's quota
-    runs out is then read again and ranked. So no task ever sees more of a class than one
-    of the 16^prefix hash buckets, however large the class.
+    One job counts the classes. The next counts rows per class and hash bucket, finds the
+    bucket in which a class's quota runs out, and ranks the rows of that bucket only. So no
+    task orders more of a class than one bucket, however large the class.
     """
     keyed = df.select(
         F.col(label).alias("label"), F.col(id_column).cast("string").alias("id"),
         _hash(id_column, seed).alias("h"),
-    ).filter("label is not null and id is not null")
-    keyed = keyed.withColumn("bucket", F.substring("h", 1, prefix))
-    running = Window.partitionBy("label").orderBy("bucket")
-    counts = keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    classes = {r[0]: r[1] for r in counts.groupBy("label").agg(F.sum("n")).collect()}
+    ).filter("label is not null")
+    classes = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
     quotas = {c: q for c, q in split_quotas(classes, test_size).items() if q > 0}
     if not quotas:
         return StratifiedSplit(id_column, label, seed, {})
+    prefix = 0
+    while max(classes.values()) > bucket_rows * 16 ** prefix and prefix < MAX_PREFIX:
+        prefix += 1
+    keyed = keyed.withColumn("bucket", F.substring("h", 1, prefix))
+    counts = keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("label").orderBy("bucket")
     quota = F.try_element_at(
         F.create_map(*[F.lit(v) for pair in quotas.items() for v in pair]), F.col("label")
     )

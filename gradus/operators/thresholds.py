@@ -49,18 +49,20 @@ def threshold_sweep(
             F.count_if(y == best_other_class(p)).alias("n_other_right"),
         )
     )
-    # One row per grid position and key: position i is reached by the buckets above i.
+    # At most 91 cells per key are gathered, then laid out over the whole grid.
+    cell = F.struct("n", "n_zero", "n_other_right")
+    cells = counts.groupBy(*by).agg(
+        F.map_from_entries(F.collect_list(F.struct("reached", cell))).alias("cells")
+    )
+    steps = F.sequence(F.lit(0), F.lit(S.GRID_SIZE))
+    at = F.try_element_at("cells", F.col("reached"))
+    filled = cells.select(*by, "cells", F.explode(steps).alias("reached")).select(
+        *by, "reached",
+        *[F.coalesce(at[c], F.lit(0)).alias(c) for c in ("n", "n_zero", "n_other_right")],
+    )
     above = Window.partitionBy(*by).orderBy(F.desc("reached"))
     rest = Window.partitionBy(*by).orderBy("reached").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    steps = F.sequence(F.lit(0), F.lit(S.GRID_SIZE))
-    every = (
-        counts.groupBy(*by).agg(F.count(F.lit(1)).alias("present"))
-        .select(*by, F.explode(steps).alias("reached"))
-    )
-    filled = every.join(counts, [*by, "reached"], "left").na.fill(
-        0, ["n", "n_zero", "n_other_right"]
-    )
     sums = filled.select(
         *by, "reached",
         F.sum("n").over(above).alias("called"),
