@@ -29,6 +29,7 @@ from gradus.operators.knn import knn_predict
 
 WEIGHT = "class_weight"
 MODEL_INFO = "knn_info"
+BELOW_ALL = -1e12  # stands for a missing value in trees, where only the order counts
 
 
 @contextmanager
@@ -226,19 +227,24 @@ def fit_logistic(
 def fit_boosted(
     train: DataFrame, features: Sequence[str] = tuple(S.FEATURES), label: str = S.TARGET,
     classes: Sequence[int] = S.LEVELS, rounds: int = 200, depth: int = 6, step: float = 0.1,
-    seed: int = 42, handle_invalid: str = "keep",
+    seed: int = 42,
 ) -> ScoringModel:
     """Gradient-boosted trees, one binary model per class, with balanced row weights.
 
-    Missing feature values are kept as NaN, which the trees send to one side of a split.
+    A missing feature value counts as lower than any other, so that a split can set it apart.
     """
     with _collapsed(train, features, label, classes) as rows:
+        filled = ", ".join(
+            f"coalesce(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), {BELOW_ALL!r}D) AS `{c}_filled`"
+            for c in features
+        )
         trees = GBTClassifier(
             featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
             seed=seed, checkpointInterval=10,
         )
         stages = [
-            VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=handle_invalid),
+            SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"{c}_filled" for c in features], outputCol="features"),
             OneVsRest(
                 classifier=trees, featuresCol="features", labelCol=label, weightCol=WEIGHT,
                 parallelism=len(classes),
