@@ -17,6 +17,12 @@ from checks import catalog
 from gradus.session import build_session
 
 
+SAME_TYPE = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     db = duckdb.connect()
     for path in sorted(glob.glob(f"{sf_dir}/*.parquet")):
@@ -49,6 +55,10 @@ def check(spark, db, name: str, sf_dir: str) -> tuple[bool, str]:
     expected = result.fetchall()
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} / {sorted(columns)}"
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    wrong = {n: (t, kinds[n]) for n, t in df.dtypes if SAME_TYPE.get(t) != kinds[n]}
+    if wrong:
+        return False, f"types {wrong}"
     mine, theirs = canonical(df.columns, rows), canonical(columns, expected)
     if mine == theirs:
         return True, f"{len(rows)} rows ({took:.1f}s)"

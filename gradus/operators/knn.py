@@ -100,13 +100,14 @@ def knn_join(
         raise ValueError("no training rows")
     width = first[0]
     room = broadcast_bytes // (8 * (width + 2))
-    local = points.limit(room + 1).toPandas()
+    points = write_out(points, "knn-points")
+    few = points.count() <= room
     out = _OUT.format(
         q=queries.schema["query_id"].dataType.simpleString(),
         t=points.schema["train_id"].dataType.simpleString(),
     )
-    if len(local) <= room:
-        return _broadcast_join(queries, local, k, out)
+    if few:
+        return _broadcast_join(queries, points.toPandas(), k, out)
     found = _partitioned_join(queries, points, k, out, block_rows, pivots)
     best = Window.partitionBy("query_id").orderBy("dist2", "train_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
@@ -148,7 +149,7 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
     import numpy as np
 
     spark = queries.sparkSession
-    points, queries = write_out(points, "knn-points"), write_out(queries, "knn-queries")
+    queries = write_out(queries, "knn-queries")
     chosen = points.orderBy(F.md5(F.col("train_id").cast("string").cast("binary")), "train_id")
     centres = np.array([r[0] for r in chosen.select("vec").limit(pivots).collect()], dtype=float)
     centre_var = spark.sparkContext.broadcast(centres)  # pivots x width numbers

@@ -55,10 +55,14 @@ class Levels:
     log_sums: tuple[float, ...]
 
     def level(self, size: Column) -> Column:
-        out = F.lit(0)
-        for upper in self.uppers:
-            out = out + F.when(size > upper, 1).otherwise(0)
-        return F.when(size.isNotNull(), out).cast("int")
+        return _level(size, self.uppers)
+
+
+def _level(size: Column, uppers: Sequence[int]) -> Column:
+    out = F.lit(0)
+    for upper in uppers:
+        out = out + F.when(size > upper, 1).otherwise(0)
+    return F.when(size.isNotNull(), out).cast("int")
 
 
 class _Slices:
@@ -309,7 +313,8 @@ def kmeans_labels(
 ) -> tuple[DataFrame, float]:
     """MLlib k-means on the scaled log sizes: best of ``n_init`` seeds, ids ranked by mean.
 
-    It fits on the distinct sizes, weighted by their number of groups.
+    It fits on the distinct sizes, weighted by their number of groups, and returns the labelled
+    groups and the cost.
     """
     hist = write_out(histogram_of_sizes(sizes, size), "size-histogram")
     x = F.log1p(F.col("size").cast("double"))
@@ -326,15 +331,16 @@ def kmeans_labels(
             fits = dict(pool.map(lambda _: next(tries), range(n_init)))
         best = min((fits[i] for i in sorted(fits)), key=lambda m: m.summary.trainingCost)
         cost = best.summary.trainingCost
-        ids = best.transform(scaled).select("size", "n", F.col("prediction").alias("cluster"))
-        means = ids.groupBy("cluster").agg(
-            (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean_value")
-        ).orderBy("mean_value", "cluster").collect()
+        clusters = (
+            best.transform(scaled).groupBy("prediction")
+            .agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.max("size").alias("upper"))
+            .orderBy("mean").collect()
+        )
     finally:
         scaled.unpersist()
-    ranks = F.create_map(*[F.lit(v) for i, r in enumerate(means) for v in (r["cluster"], i)])
-    labels = ids.select(F.col("size").alias(size), ranks[F.col("cluster")].cast("int").alias(S.TARGET))
-    return sizes.join(labels, size), cost
+    # Each value went to its nearest centre, so in one dimension the clusters are intervals.
+    labels = _level(F.col(size), [r["upper"] for r in clusters[:-1]])
+    return sizes.withColumn(S.TARGET, labels), cost
 
 
 def elbow(sizes: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), size: str = SIZE) -> DataFrame:

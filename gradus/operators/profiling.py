@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Mapping, Sequence
 
@@ -136,23 +137,11 @@ def exact_quantiles(
     if n <= small:
         return list(values.agg(F.percentile("x", list(probabilities))).first()[0])
 
-    found: dict[int, float] = {}
-    open_ranks: dict[int, tuple[float, float, int]] = {}
+    wanted = set()
     for q in probabilities:
-        h = q * (n - 1)
-        for rank in (int(h), min(int(h) + 1, n - 1)):
-            open_ranks[rank] = (low, high, 0)
-    while open_ranks:
-        brackets = sorted({(a, b, below) for a, b, below in open_ranks.values()})
-        for a, b, below in brackets:
-            inside = values.filter((F.col("x") >= a) & (F.col("x") <= b))
-            ranks = [r for r, state in open_ranks.items() if state == (a, b, below)]
-            for rank, state in _narrow(inside, a, b, below, ranks, fan_out, keep).items():
-                if isinstance(state, float):
-                    found[rank] = state
-                    del open_ranks[rank]
-                else:
-                    open_ranks[rank] = state
+        i = int(q * (n - 1))
+        wanted |= {i, min(i + 1, n - 1)}
+    found = _values_at(values, sorted(wanted), low, high, fan_out, keep)
     out = []
     for q in probabilities:
         h = q * (n - 1)
@@ -162,35 +151,48 @@ def exact_quantiles(
     return out
 
 
-def _narrow(inside, a, b, below, ranks, fan_out, keep):
-    """One search step for ``ranks`` inside [a, b]: their value, or a smaller bracket."""
-    if a == b:
-        return {rank: float(a) for rank in ranks}
+def _values_at(values, ranks, low, high, fan_out, keep) -> dict[int, float]:
+    """Value at each 0-based rank. One counting pass narrows the brackets of all ranks."""
+    found: dict[int, float] = {}
+    brackets = {rank: (low, high) for rank in ranks}
+    while brackets:
+        edges = {edge for a, b in set(brackets.values()) for edge in _edges(a, b, fan_out)}
+        splits = [float("-inf"), *sorted(edges), float("inf")]
+        slices = (
+            Bucketizer(splits=splits, inputCol="x", outputCol="slice").transform(values)
+            .groupBy("slice").agg(F.count(F.lit(1)), F.min("x"), F.max("x"))
+            .orderBy("slice").collect()
+        )
+        few = {}
+        for rank in list(brackets):
+            start = 0
+            for _, n, lo, hi in slices:
+                if rank < start + n:
+                    break
+                start += n
+            brackets[rank] = (lo, hi)
+            if lo == hi:
+                found[rank] = float(lo)
+            elif n <= keep:
+                few.setdefault((lo, hi), []).append((rank, rank - start))
+        if few:
+            inside = F.lit(False)
+            for lo, hi in few:
+                inside = inside | F.col("x").between(lo, hi)
+            rows = sorted(r[0] for r in values.filter(inside).collect())
+            for (lo, hi), places in few.items():
+                own = [x for x in rows if lo <= x <= hi]
+                found.update({rank: float(own[place]) for rank, place in places})
+        brackets = {rank: b for rank, b in brackets.items() if rank not in found}
+    return found
+
+
+def _edges(a: float, b: float, fan_out: int) -> list[float]:
+    """Ends and inner edges that cut the closed bracket [a, b] into slices."""
     first, last = max(a, -sys.float_info.max), min(b, sys.float_info.max)
-    inner = (i / fan_out for i in range(1, fan_out))
-    splits = sorted({first * (1 - t) + last * t for t in inner} - {a, b})
-    edges = [float("-inf"), *splits, float("inf")]
-    slices = (
-        Bucketizer(splits=edges, inputCol="x", outputCol="slice").transform(inside)
-        .groupBy("slice")
-        .agg(F.count(F.lit(1)), F.min("x"), F.max("x"))
-        .orderBy("slice").collect()
-    )
-    out = {}
-    for rank in ranks:
-        start = below
-        for _, n, lo, hi in slices:
-            if rank < start + n:
-                break
-            start += n
-        if lo == hi:
-            out[rank] = float(lo)
-        elif n <= keep:
-            rows = inside.filter((F.col("x") >= lo) & (F.col("x") <= hi)).collect()
-            out[rank] = float(sorted(r[0] for r in rows)[rank - start])
-        else:
-            out[rank] = (lo, hi, start)
-    return out
+    inner = [first * (1 - i / fan_out) + last * (i / fan_out) for i in range(1, fan_out)]
+    ends = [a, math.nextafter(b, math.inf)]
+    return [e for e in {*ends, *inner} if math.isfinite(e)]
 
 
 def describe(df: DataFrame, column: str, small: int = SMALL) -> DataFrame:

@@ -14,7 +14,6 @@ from gradus import schema as S
 SPLIT = "split"
 TEST, TRAIN = "test", "train"
 BUCKET_ROWS = 100_000  # wanted rows of one hash bucket; only one bucket per class is ranked
-MAX_PREFIX = 6         # hex digits that form a bucket: at most 16.8 million buckets
 
 
 def split_quotas(class_counts: dict[int, int], test_size: float = 0.2) -> dict[int, int]:
@@ -78,8 +77,8 @@ def fit_split(
     quotas = {c: q for c, q in split_quotas(classes, test_size).items() if q > 0}
     if not quotas:
         return StratifiedSplit(id_column, label, seed, {})
-    prefix = 0
-    while max(classes.values()) > bucket_rows * 16 ** prefix and prefix < MAX_PREFIX:
+    prefix = 0  # buckets and rows per bucket both stay near the square root of a huge class
+    while max(classes.values()) > max(bucket_rows, 16 ** prefix) * 16 ** prefix:
         prefix += 1
     keyed = keyed.withColumn("bucket", F.substring("h", 1, prefix))
     counts = keyed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
