@@ -5,13 +5,14 @@ on the last bits of a sum) and then by id. Of equal training vectors only the k
 smallest ids can ever be neighbours, so a vector that fills a third of the table shrinks to
 k rows before anything else happens.
 
-* Few training vectors (checked, at most ``broadcast_bytes``): they are broadcast as one
-  matrix and the query rows never move.
-* More: training vectors are assigned to the nearest of a fixed number of pivots. From the
-  pivot distances each query row gets a radius that surely holds k neighbours, and goes only
-  to the cells which that radius reaches. Cells with many rows on either side are cut into
-  blocks by id hash. A block of bounded size is compared inside one task, which emits at most
-  k rows per query row; a last shuffle keeps the best k over all blocks.
+* Few training vectors (counted first, at most ``broadcast_bytes``): they are broadcast as one
+  matrix and each query row is answered where it lies.
+* More: training vectors are assigned to the nearest of a fixed number of pivots. The pivot
+  distances give each query row a radius that surely holds k neighbours, and lower bounds for
+  the rows of every cell; the row goes only to the cells it cannot rule out. Cells with many
+  rows on either side are cut into blocks by id hash. A block of bounded size is compared
+  inside one task, which emits at most k rows per query row; a last shuffle keeps the best k
+  over all blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gradus.session import write_out
 
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 8 << 20
 BLOCK_ROWS = 20_000
 PIVOTS = 256
 DIGITS = 9
@@ -151,7 +152,8 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
     spark = queries.sparkSession
     queries = write_out(queries, "knn-queries")
     chosen = points.orderBy(F.md5(F.col("train_id").cast("string").cast("binary")), "train_id")
-    centres = np.array([r[0] for r in chosen.select("vec").limit(pivots).collect()], dtype=float)
+    picked = [r[0] for r in chosen.select("vec").limit(pivots).collect()]
+    centres = np.unique(np.array(picked, dtype=float), axis=0)
     centre_var = spark.sparkContext.broadcast(centres)  # pivots x width numbers
 
     def gaps(np, vectors):
@@ -168,15 +170,20 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
     placed = write_out(points.mapInPandas(assign, f"{fields}, cell int, gap double"), "knn-cells")
+    # Per cell: rows, smallest and largest gap to the pivot, and the gap within which k rows lie.
+    by_gap = Window.partitionBy("cell").orderBy("gap")
+    nearest = placed.withColumn("at", F.row_number().over(by_gap)).filter(F.col("at") <= k)
     cells = {
-        r["cell"]: (r["n"], r["radius"])
+        r["cell"]: r
         for r in placed.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")
-        ).collect()
+            F.count(F.lit(1)).alias("n"), F.min("gap").alias("inner"), F.max("gap").alias("outer")
+        ).join(nearest.groupBy("cell").agg(F.max("gap").alias("kth")), "cell").collect()
     }
     used = np.array(sorted(cells))
-    sizes = np.array([cells[c][0] for c in used])
-    radii = np.array([cells[c][1] for c in used])
+    sizes, inner, outer, kth = (
+        np.array([cells[c][name] for c in used]) for name in ("n", "inner", "outer", "kth")
+    )
+    apart = np.sqrt(((centres[:, None, :] - centres[None, used, :]) ** 2).sum(axis=2))
 
     def route(batches):
         import numpy as np
@@ -184,16 +191,22 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
         for batch in batches:
             if batch.empty:
                 continue
-            gap = gaps(np, np.array(batch["vec"].tolist(), dtype=float))[:, used]
-            # Farthest a row of the cell can be; cells are taken by it until they hold k rows.
-            far = gap + radii[None, :]
+            every = gaps(np, np.array(batch["vec"].tolist(), dtype=float))
+            gap, home = every[:, used], every.argmin(axis=1)
+            # Upper bound for the k-th distance: k rows of one cell, or all rows of several.
+            far = gap + outer
             order = np.argsort(far, axis=1)
-            enough = (np.cumsum(sizes[order], axis=1) >= k).argmax(axis=1)
-            if sizes.sum() < k:
-                enough[:] = len(used) - 1
-            reach = np.take_along_axis(far, order, axis=1)[np.arange(len(far)), enough]
-            slack = 1e-6 * (1.0 + reach)
-            rows, cols = np.nonzero(gap - radii[None, :] <= (reach + slack)[:, None])
+            held = np.cumsum(sizes[order], axis=1)
+            enough = np.where(held[:, -1] >= k, (held >= k).argmax(axis=1), len(used) - 1)
+            at = np.arange(len(gap))
+            reach = far[at, order[at, enough]]
+            reach = np.minimum(reach, np.where(sizes >= k, gap + kth, np.inf).min(axis=1))
+            # Lower bound for any row of a cell: its ring around the pivot, and the plane
+            # halfway between its pivot and the pivot nearest to the query row.
+            between = apart[home]
+            plane = (gap ** 2 - (every.min(axis=1) ** 2)[:, None]) / np.where(between > 0, 2 * between, np.inf)
+            least = np.maximum(np.maximum(gap - outer, inner - gap), plane)
+            rows, cols = np.nonzero(least <= (reach + 1e-6 * (1.0 + reach))[:, None])
             yield batch.iloc[rows].assign(cell=used[cols].astype("int32"))
 
     query_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
@@ -204,7 +217,7 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
         pairs = [F.lit(int(v)) for c, n in counts.items() for v in (c, math.ceil(n / block_rows))]
         return F.create_map(*pairs)[F.col("cell")].cast("bigint")
 
-    point_blocks, query_blocks = blocks({c: n for c, (n, _) in cells.items()}), blocks(visits)
+    point_blocks, query_blocks = blocks({c: r["n"] for c, r in cells.items()}), blocks(visits)
     first_block = F.lit(0).cast("bigint")
     # Every point block of a cell meets every query block of it: each side is hashed into its
     # own blocks and copied once per block of the other side.
