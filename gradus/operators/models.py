@@ -6,6 +6,7 @@ All models take the feature contract, emit ``probabilities`` (array, one entry p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -29,6 +30,7 @@ from gradus.operators.knn import knn_predict
 
 WEIGHT = "class_weight"
 MODEL_INFO = "knn_info"
+ROWS_PER_TASK = 25_000  # distinct training rows that are worth a task of their own
 BELOW_ALL = -1e12  # stands for a missing value in trees, where only the order counts
 
 
@@ -45,13 +47,16 @@ def _collapsed(
         F.count(F.lit(1)).alias("copies")
     ).persist()
     try:
-        per_class = {r[0]: r[1] for r in rows.groupBy(label).agg(F.sum("copies")).collect()}
-        if not per_class:
+        sums = rows.groupBy(label).agg(F.sum("copies"), F.count(F.lit(1))).collect()
+        if not sums:
             raise ValueError("no training rows")
+        per_class = {r[0]: r[1] for r in sums}
+        tasks = math.ceil(sum(r[2] for r in sums) / ROWS_PER_TASK)
         total = sum(per_class.values())
         weight = {c: total / (len(per_class) * n) for c, n in per_class.items()}
         factor = F.create_map(*[F.lit(v) for pair in weight.items() for v in pair])[F.col(label)]
-        yield rows.withColumn(WEIGHT, F.col("copies") * factor)
+        # A fit is many short passes: a small table in many partitions is mostly scheduling.
+        yield rows.coalesce(tasks).withColumn(WEIGHT, F.col("copies") * factor)
     finally:
         rows.unpersist()
 

@@ -1,12 +1,28 @@
+import math
+
 from checks.tables import raw_registry
+from gradus import schema as S
 from gradus.__main__ import main
+from gradus.operators.splitting import SPLIT
+from gradus.sources import tables
 
 
 def test_three_commands(spark, tmp_path, capsys):
+    """Prepare and train, evaluate, tune: on the whole smallest stand-in registry, from CSV."""
     raw, out = f"{tmp_path}/raw.csv", f"{tmp_path}/out"
     raw_registry(spark, "/root/testdata/sf0.001").write.option("header", True).option("escape", '"').csv(raw)
     main(["train", "--raw", raw, "--operator", "F", "--out", out, "--rounds", "1"])
     main(["evaluate", "--out", out])
     main(["threshold", "--out", out])
     text = capsys.readouterr().out
-    assert "test" in text and "K-Nearest Neighbors" in text and "baseline" in text
+    assert "K-Nearest Neighbors" in text and "baseline" in text
+
+    split = spark.read.parquet(f"{out}/split")
+    n = split.count()
+    assert split.filter(f"{SPLIT} = 'test'").count() == math.ceil(0.2 * n)
+    labelled = tables.read_labelled(spark, f"{out}/labelled")
+    assert labelled.columns == S.LABELLED_COLUMNS and labelled.count() >= n
+    assert {r[0] for r in labelled.select(S.TARGET).distinct().collect()} == {0, 1, 2}
+    assert {r["model_key"] for r in tables.read_metrics(spark, f"{out}/metrics").collect()} == {
+        "logistic_regression", "knn", "xgboost"
+    }

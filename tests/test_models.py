@@ -4,12 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from checks.tables import raw_registry
-from gradus import schema as S
 from gradus.operators import models as M
-from gradus.operators.splitting import SPLIT
-from gradus.plans import pipeline
-from gradus.sources import tables
 
 FEATURES = ["a", "b", "c"]
 
@@ -143,21 +138,3 @@ def test_registry(tmp_path):
         M.check_registry({})
     with pytest.raises(ValueError):
         M.check_registry({"x": M.Registered("x", "", "", None)})
-
-
-def test_whole_run(spark, tmp_path):
-    """Prepare, train, evaluate and tune on the smallest stand-in registry."""
-    raw = raw_registry(spark, "/root/testdata/sf0.001")
-    models = M.registry(str(tmp_path / "models"), rounds=2)
-    split = pipeline.prepare_and_train(raw, "F", str(tmp_path / "labelled"), models)
-    n, n_test = split.count(), split.filter(F.col(SPLIT) == "test").count()
-    assert n_test == math.ceil(0.2 * n)
-    exported = tables.read_labelled(spark, str(tmp_path / "labelled"))
-    assert exported.columns == S.LABELLED_COLUMNS and exported.count() >= n
-    assert {r[0] for r in exported.select(S.TARGET).distinct().collect()} == {0, 1, 2}
-    metrics_path = str(tmp_path / "metrics")
-    table = pipeline.evaluate(spark, split, models, metrics_path)
-    assert [r["model_key"] for r in table.orderBy("model_key").collect()] == ["knn", "logistic_regression", "xgboost"]
-    assert tables.read_metrics(spark, metrics_path).count() == 3
-    summary = pipeline.tune_threshold(spark, split, models["xgboost"]).collect()
-    assert {"baseline", "max_f1"} <= {r["rule"] for r in summary}
