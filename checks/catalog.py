@@ -469,6 +469,23 @@ def level_summary(spark, sf_dir):
     return six_digits(levels.level_summary(level_labels(spark, sf_dir)))
 
 
+_PROFILE = f"""{C.ENCODED},
+sizes AS (SELECT consolidated_commune, count(id_pdc_itinerance) AS nb_pdc, avg(latitude) AS latitude,
+  avg(longitude) AS longitude FROM encoded WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+  AND consolidated_commune IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""WITH {C.sql_clusters(3, _PROFILE, 'nb_pdc')}, cut AS (SELECT cuts FROM best3 ORDER BY i DESC LIMIT 1)
+SELECT consolidated_commune, nb_pdc, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+  CAST(len([c FOR c IN cut.cuts IF h.i > c]) AS INT) AS label
+FROM sizes s JOIN hist h ON h.size = s.nb_pdc CROSS JOIN cut""")
+def level_labels_profile(spark, sf_dir):
+    """Levels of the exploratory counts: non-null ids of located points, whatever their power."""
+    sizes = write_out(groups.group_profile(registry.keep_located(_encoded(spark, sf_dir))), "profile")
+    fit = levels.fit_levels(sizes, size="nb_pdc")[3]
+    return six_digits(levels.label_groups(sizes, fit, "nb_pdc"))
+
+
 @query()
 def level_labels_kmeans(spark, sf_dir):
     return levels.kmeans_labels(_sizes(spark, sf_dir))[0]
@@ -597,6 +614,13 @@ def evaluate_models(spark, sf_dir):
     return six_digits(_metrics(spark, sf_dir))
 
 
+@query(ORACLES["evaluate_models"])
+def roundtrip_metrics(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    tables.write_metrics(_metrics(spark, sf_dir), path)
+    return six_digits(tables.read_metrics(spark, path))
+
+
 @query(f"WITH {C.REPORT} " + " UNION ALL ".join(
     f"SELECT model_key, model_name, '{c}' AS metric, round({c}, 6) AS value FROM metrics" for c in S.METRICS))
 def metrics_long(spark, sf_dir):

@@ -134,11 +134,11 @@ sizes AS (SELECT consolidated_commune, count(*) AS nombre_pdc_commune FROM clean
           WHERE consolidated_commune IS NOT NULL GROUP BY 1)"""
 
 
-def sql_clusters(kmax: int) -> str:
+def sql_clusters(kmax: int, sizes: str = SIZES, size: str = "nombre_pdc_commune") -> str:
     """Exact 1-D k-means of ``sizes``: tables best1..best<kmax> over the distinct sizes."""
-    text = f"""{SIZES},
-hist AS (SELECT nombre_pdc_commune AS size, count(*) AS n, ln(1.0 + nombre_pdc_commune) AS x,
-           row_number() OVER (ORDER BY nombre_pdc_commune) AS i FROM sizes GROUP BY nombre_pdc_commune),
+    text = f"""{sizes},
+hist AS (SELECT {size} AS size, count(*) AS n, ln(1.0 + {size}) AS x,
+           row_number() OVER (ORDER BY {size}) AS i FROM sizes GROUP BY {size}),
 pre AS (SELECT i, sum(n) OVER (ORDER BY i) AS cn, sum(n * x) OVER (ORDER BY i) AS cs,
           sum(n * x * x) OVER (ORDER BY i) AS cq FROM hist
         UNION ALL SELECT 0, 0, 0, 0),

@@ -65,6 +65,18 @@ def test_fewer_rows_than_neighbours(spark, route):
     assert got == brute(train, test, labels, 7) and len(got) == 15
 
 
+@pytest.mark.parametrize("kind", ["flags", "hot", "normal"])
+def test_sampled_radius_is_exact(kind):
+    train, test, _ = data(kind, 3000, 40)
+    ids = np.arange(3000)
+    for sample in (1, 50, 10_000):
+        got = {
+            (int(q), int(r), int(i), float(d))
+            for block in K._searcher(7, sample=sample)(test, train, ids) for q, r, i, d in zip(*block)
+        }
+        assert got == {row[:4] for row in brute(train, test, ids, 7)}
+
+
 def test_text_ids_and_feature_columns(spark):
     train = spark.createDataFrame([("b", 0.0, 1), ("a", 0.0, 2), ("c", 3.0, 0)], "tid string, x double, label int")
     test = spark.createDataFrame([("q", 0.5)], "qid string, x double")
