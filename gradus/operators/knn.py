@@ -78,33 +78,42 @@ def _vector(features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _sides(test, train, features, test_id, train_id, label, k):
+def only_useful(train: DataFrame, same: Sequence[str], train_id: str, k: int) -> DataFrame:
+    """Of the rows that agree in the columns ``same``, the k with the smallest ids.
+
+    No other row can be among k neighbours. The limit per group is applied before the shuffle.
+    """
+    by_id = Window.partitionBy(*same).orderBy(train_id)
+    return train.withColumn("copy", F.row_number().over(by_id)).filter(F.col("copy") <= k).drop("copy")
+
+
+def _sides(test, train, features, test_id, train_id, label):
     queries = test.select(F.col(test_id).alias("query_id"), _vector(features).alias("vec"))
     points = train.select(
         F.col(train_id).alias("train_id"), F.col(label).cast("int").alias("label"),
         _vector(features).alias("vec"),
     )
-    same = Window.partitionBy("vec").orderBy("train_id")
-    points = points.withColumn("copy", F.row_number().over(same)).filter(F.col("copy") <= k)
-    return queries, points.drop("copy")
+    return queries, points
 
 
 def knn_join(
     test: DataFrame, train: DataFrame, features: Sequence[str] | str, test_id: str, train_id: str,
     label: str = "label", k: int = 7, broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS,
+    block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, prepared: bool = False,
 ) -> DataFrame:
     """The k nearest training rows of each test row: query_id, rank, train_id, dist2, label.
 
     ``features`` is a list of numeric columns or one array column; no value may be NULL.
+    ``prepared`` says that ``train`` is a written table that went through ``only_useful``.
     """
-    queries, points = _sides(test, train, features, test_id, train_id, label, k)
+    queries, points = _sides(test, train, features, test_id, train_id, label)
     first = train.select(F.size(_vector(features))).first()
     if first is None:
         raise ValueError("no training rows")
     width = first[0]
     room = broadcast_bytes // (8 * (width + 2))
-    points = write_out(points, "knn-points")
+    if not prepared:
+        points = write_out(only_useful(points, ["vec"], "train_id", k), "knn-points")
     few = points.count() <= room
     out = _OUT.format(
         q=queries.schema["query_id"].dataType.simpleString(),

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from gradus import schema as S
 from gradus.functions.decisions import argmax_class, threshold_class
-from gradus.operators.knn import knn_predict
+from gradus.operators.knn import knn_predict, only_useful
+from gradus.session import write_out
 
 WEIGHT = "class_weight"
 MODEL_INFO = "knn_info"
@@ -61,21 +62,24 @@ def _collapsed(
         rows.unpersist()
 
 
-def _scaler(rows: DataFrame, features: Sequence[str]) -> SQLTransformer:
-    """Population z-score of collapsed rows as a fixed projection; a constant column gives 0."""
-    n = F.sum("copies")
-    means = rows.agg(*[F.sum(F.col(c) * F.col("copies")) / n for c in features]).first()
-    spreads = rows.agg(
-        *[
-            F.sqrt(F.sum((F.col(c) - m) * (F.col(c) - m) * F.col("copies")) / n)
-            for c, m in zip(features, means)
-        ]
-    ).first()
-    columns = ", ".join(
-        f"(CAST(`{c}` AS DOUBLE) - {m!r}D) / {s or 1.0!r}D AS `{c}_scaled`"
-        for c, m, s in zip(features, means, spreads)
-    )
-    return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
+def _scaler(rows: DataFrame, features: Sequence[str]) -> tuple[SQLTransformer, int]:
+    """Population z-score of collapsed rows as a fixed projection, and the number of rows.
+
+    A constant column gives 0. The sums are taken around some row's values, so that the
+    variance does not vanish in the rounding of large numbers.
+    """
+    some = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).first()
+    moments = []
+    for c, shift in zip(features, some):
+        gap = F.col(c).cast("double") - F.lit(shift)
+        moments += [F.sum(gap * F.col("copies")), F.sum(gap * gap * F.col("copies"))]
+    n, *sums = rows.agg(F.sum("copies"), *moments).first()
+    columns = []
+    for i, (c, shift) in enumerate(zip(features, some)):
+        mean, square = sums[2 * i] / n, sums[2 * i + 1] / n
+        deviation = math.sqrt(max(square - mean * mean, 0.0)) or 1.0
+        columns.append(f"(CAST(`{c}` AS DOUBLE) - {shift + mean!r}D) / {deviation!r}D AS `{c}_scaled`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), n
 
 
 class ScoringModel:
@@ -126,7 +130,7 @@ def _one_vs_rest(df: DataFrame, models: Sequence[Transformer]) -> DataFrame:
 
 
 class KnnModel:
-    """Training rows kept as a table; scoring is a neighbour join on z-scores.
+    """Training rows that can be neighbours, as a table; scoring is a join on z-scores.
 
     The query rows are scaled with the training mean and deviation, stored with the model.
     """
@@ -138,13 +142,14 @@ class KnnModel:
     def fit(cls, train: DataFrame, id_column: str, features: Sequence[str] = tuple(S.FEATURES),
             label: str = S.TARGET, k: int = 7, classes: Sequence[int] = S.LEVELS) -> KnnModel:
         kept = train.select(F.col(id_column).alias("train_id"), F.col(label).cast("int").alias("label"), *features)
+        rows = write_out(only_useful(kept, features, "train_id", k), "knn-rows")
         stats = kept.agg(*[f(c) for c in features for f in (F.avg, F.stddev_pop)]).first()
         info = {
             "features": list(features), "k": k, "classes": list(classes),
             "means": [float(stats[2 * i]) for i in range(len(features))],
             "deviations": [float(stats[2 * i + 1]) or 1.0 for i in range(len(features))],
         }
-        return cls(kept, info)
+        return cls(rows, info)
 
     def _vector(self) -> Column:
         i = self.info
@@ -157,7 +162,8 @@ class KnnModel:
         votes = knn_predict(
             df.select(F.col(id_column), self._vector().alias("vec")),
             self.rows.select("train_id", "label", self._vector().alias("vec")),
-            "vec", id_column, "train_id", "label", self.info["k"], self.info["classes"], **options,
+            "vec", id_column, "train_id", "label", self.info["k"], self.info["classes"],
+            prepared=True, **options,
         ).withColumnRenamed("query_id", id_column)
         return df.join(votes, id_column)
 
@@ -213,9 +219,9 @@ def fit_logistic(
     if handle_invalid == "skip":
         train = train.na.drop(subset=list(features))
     with _collapsed(train, features, label, classes) as rows:
-        total = rows.agg(F.sum("copies")).first()[0]
+        scaler, total = _scaler(rows, features)
         stages = [
-            _scaler(rows, features),
+            scaler,
             VectorAssembler(
                 inputCols=[f"{c}_scaled" for c in features], outputCol="features",
                 handleInvalid=handle_invalid,

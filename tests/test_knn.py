@@ -87,8 +87,8 @@ def test_text_ids_and_feature_columns(spark):
 
 def test_hot_vector_shrinks_before_the_join(spark):
     train, test, labels = data("hot")
-    a, b = frames(spark, train, test, labels)
-    _, points = K._sides(a, b, "vec", "id", "id", "label", 7)
+    _, b = frames(spark, train, test, labels)
+    points = K.only_useful(b, ["vec"], "id", 7)
     assert points.count() == 200 + 7
     assert "WindowGroupLimit" in points._jdf.queryExecution().executedPlan().toString()
 
