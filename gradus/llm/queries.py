@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import tokens
+from gradus.llm import exact_dedup, mixing, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mix": mixing.op1_source_mix,
     "op2_token_counts": tokens.op2_token_counts,
+    "op7_warc": warc.op7_warc,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_source_mix": mixing.OP1_SQL,
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+}
