@@ -60,3 +60,42 @@ class Memo(dict):
                 self.clear()
             self[key] = value
         return value
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """``doc_id, text, label`` of at most about ``bound`` labelled training rows.
+
+    Where more rows are labelled, a hash of the id keeps an even share of them. Held-out rows
+    and NULL labels are left out; a document labelled twice has its larger label. The kept
+    labels are broadcast: their number is bounded, and the texts stay where they are.
+    """
+    ids = (
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+        .where(F.col("label").isNotNull() & ~held_out("doc_id"))
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+    )
+    share = min(1.0, bound / max(1, ids.count()))
+    chosen = ids.where(F.abs(F.xxhash64("doc_id") % 1_000_003) < int(share * 1_000_003))
+    return texts(docs).join(F.broadcast(chosen), "doc_id")
+
+
+def platt(values: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset of the logistic curve through labelled values, with a mild ridge."""
+    x, y = np.asarray(values, float), np.asarray(labels, float)
+    w = np.ones_like(x) if weights is None else np.asarray(weights, float)
+    design = np.stack([x, np.ones_like(x)], axis=1)
+    fit, ridge = np.zeros(2), np.diag([1.0, 0.01])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ fit, -30, 30)))
+        gradient = design.T @ (w * (p - y)) + ridge @ fit
+        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + ridge
+        step = np.linalg.solve(hessian, gradient)
+        fit -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(fit[0]), float(fit[1])
+
+
+def logistic(values: np.ndarray, slope: float, offset: float) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * np.asarray(values, float) + offset, -30, 30)))
