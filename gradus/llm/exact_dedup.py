@@ -21,7 +21,11 @@ from gradus.llm.common import ascii_lower
 from gradus.session import scratch_path, write_out
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    # Else every partition of the state sets some megabytes of disk aside, used or not.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Locators of repeated rows are broadcast up to this many, about 100 bytes each.
 BROADCAST_ROWS = 200_000
 _KEEP = "keep struct<doc_id:long,file:string,row:long>"
@@ -74,8 +78,9 @@ def ingest(
     A run that was cut off goes on from the stream's own checkpoint: a batch that is done again
     writes the same rows over its first try.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
     try:
         # A pattern that only the path itself matches: a stream takes a single file only so.
         files = f"{path[:-1]}[{path[-1]}]"
@@ -98,10 +103,11 @@ def ingest(
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def repeated(spark: SparkSession, store: str) -> DataFrame:
