@@ -30,9 +30,10 @@ FIT_ROWS = 40_000
 #: Features kept, at most; they must be seen in so many unlike toxic documents at least.
 FEATURES, SUPPORT, LEAST_ODDS = 20_000, 4.0, 2.0
 #: A feature seen in so many unlike toxic documents keeps half of its log-odds.
-SHRINK = 8.0
+SHRINK = 3.0
 #: Lengths of word beginnings that are features beside the whole word.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
+DECAY = 0.6
 TOXIC = 0.5
 
 # Letters that a look-alike may stand for.
@@ -203,11 +204,9 @@ class Model:
 
 
 def evidence(text: str, reader: Memo, weigher: Memo) -> float:
-    """The strongest word counts whole, all others together half a unit at most."""
-    found = sorted((weigher[word] for word in read(text, reader)), reverse=True)
-    if not found or not found[0]:
-        return 0.0
-    return found[0] + 0.5 * (1 - math.exp(-sum(found[1:20]) / 10))
+    """The strongest word counts whole, each next one ``DECAY`` times as much as before."""
+    found = sorted((weigher[word] for word in read(text, reader)), reverse=True)[:20]
+    return sum(value * DECAY**i for i, value in enumerate(found))
 
 
 def _kin(text: str) -> int:
