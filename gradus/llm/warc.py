@@ -4,15 +4,14 @@ Headers alone are shuffled by payload digest; a record whose payload another rec
 written as a revisit of it, without the payload. Archives are WARC/1.1 text written by Spark's
 own text writer, so any storage that Spark reaches will do: a record is one value, the blank
 line behind its block is half in the value and half the line separator. All of writing runs in
-the JVM. Reading takes whole archives (bounded by ``ARCHIVE_BYTES``) and walks records by their
-Content-Length, so a payload may hold anything, record heads included.
+the JVM. Reading streams through the archives' lines and ends records by their Content-Length,
+so a payload may hold anything, record heads included, and an archive may have any size.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from gradus.llm.common import table
 from gradus.session import scratch_path, write_out
 
-#: Bytes of records aimed at for one archive file, before compression.
-ARCHIVE_BYTES = 64 << 20
+#: Records in one archive file, at most.
+ARCHIVE_RECORDS = 50_000
 #: Payloads with at least so many bytes are resolved; smaller ones are all responses.
 LEAST_BYTES = 0
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -64,7 +63,7 @@ def write_archives(
     pages: DataFrame,
     path: str,
     least_bytes: int = LEAST_BYTES,
-    archive_bytes: int = ARCHIVE_BYTES,
+    records_per_archive: int = ARCHIVE_RECORDS,
     id_column: str = "page_id",
     url_column: str = "url",
     payload_column: str = "html",
@@ -107,72 +106,97 @@ def write_archives(
     # A large list of keepers makes this a shuffle join whose hot digests are split at run time;
     # a small one (Spark goes by its measured size) leaves the payloads where they are.
     joined = rows.join(keepers, ["payload_digest", "payload_bytes"], "left")
-    largest = rows.agg(F.max("payload_bytes")).first()[0] or 0
-    per_file = max(1, archive_bytes // max(1024, min(largest, archive_bytes)))
     (
         joined.select(record.alias("value"))
         .write.option("lineSep", "\r\n")
         .option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file)
+        .option("maxRecordsPerFile", records_per_archive)
         .text(path)
     )
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive, by Content-Length."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
-        start, size = end + 4, int(head["Content-Length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has no end")
-        yield head, data[start : start + size]
-        at = start + size + 4
-
-
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+class _Parser:
+    """Puts records together from the CRLF-ended lines of archives, one line at a time."""
+
+    def __init__(self) -> None:
+        self.head: dict[str, str] | None = None
+        self.block: list[bytes] | None = None
+        self.size = self.seen = 0
+        self.ended = False
+
+    def feed(self, line: bytes) -> tuple[dict[str, str], bytes] | None:
+        """The record that ends with ``line``, if one does."""
+        if self.head is None:
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no record begins with {line[:40]!r}")
+            self.head = {}
+        elif self.block is None:
+            if line:
+                name, _, value = line.decode("utf-8").partition(": ")
+                self.head[name] = value
+            else:
+                self.block, self.seen = [], 0
+                self.size = int(self.head["Content-Length"])
+        elif self.ended:
+            if line:
+                raise ValueError("a record is longer than its Content-Length")
+            record = self.head, b"\r\n".join(self.block)
+            self.head, self.block, self.ended = None, None, False
+            return record
+        else:
+            self.seen += len(line) + 2 * bool(self.block)
+            self.block.append(line)
+            self.ended = self.seen == self.size
+            if self.seen > self.size:
+                raise ValueError("a record is longer than its Content-Length")
+        return None
+
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record under ``path``: headers, and the payload's size and digest as read.
 
     ``page_id, url, record_type, refers_to, stated_digest, payload_bytes, payload_digest,
-    payload``; the last three are NULL for revisits.
+    payload``; the last three are NULL for revisits, the last one also without ``payloads``.
+    Compressed archives aren't split, so a task has the lines of whole archives in order; it
+    holds one batch of lines and one record at a time.
     """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = _Parser()
         for batch in batches:
-            for content in batch["content"]:
-                plain = zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
-                out = []
-                for head, block in _records(plain):
-                    page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
-                    full = head["WARC-Type"] == "response"
-                    out.append(
-                        (
-                            int(page) if page else None,
-                            head.get("WARC-Target-URI"),
-                            head["WARC-Type"],
-                            int(refers) if refers else None,
-                            head["WARC-Payload-Digest"].removeprefix("sha1:"),
-                            len(block) if full else None,
-                            base64.b32encode(hashlib.sha1(block).digest()).decode() if full else None,
-                            block.decode("utf-8") if full else None,
-                        )
+            out = []
+            for line in batch["line"]:
+                if (record := parser.feed(line)) is None:
+                    continue
+                head, block = record
+                page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
+                full = head["WARC-Type"] == "response"
+                out.append(
+                    (
+                        int(page) if page else None,
+                        head.get("WARC-Target-URI"),
+                        head["WARC-Type"],
+                        int(refers) if refers else None,
+                        head["WARC-Payload-Digest"].removeprefix("sha1:"),
+                        len(block) if full else None,
+                        base64.b32encode(hashlib.sha1(block).digest()).decode() if full else None,
+                        block.decode("utf-8") if full and payloads else None,
                     )
-                frame = pd.DataFrame(out, columns=names)
-                for name in ("page_id", "refers_to", "payload_bytes"):
-                    frame[name] = frame[name].astype("Int64")
-                yield frame
+                )
+            frame = pd.DataFrame(out, columns=names)
+            for name in ("page_id", "refers_to", "payload_bytes"):
+                frame[name] = frame[name].astype("Int64")
+            yield frame
+        if parser.head is not None:
+            raise ValueError("an archive ends within a record")
 
     schema = (
         "page_id long, url string, record_type string, refers_to long, stated_digest string, "
         "payload_bytes long, payload_digest string, payload string"
     )
     names = [part.split()[0] for part in schema.split(", ")]
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return archives.select("content").mapInPandas(parse, schema)
+    lines = spark.read.option("lineSep", "\r\n").text(path)
+    return lines.select(F.col("value").cast("binary").alias("line")).mapInPandas(parse, schema)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -208,7 +232,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    heads = write_out(read_archives(spark, path).drop("payload"), "warc-heads")
+    heads = write_out(read_archives(spark, path, payloads=False).drop("payload"), "warc-heads")
     return resolve_revisits(heads).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
