@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact_dedup, mixing, quality, tokens, toxicity, warc
+from gradus.llm import exact_dedup, mixing, quality, secrets, tokens, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
