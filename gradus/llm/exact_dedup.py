@@ -25,6 +25,11 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKS,
     # Else every partition of the state sets some megabytes of disk aside, used or not.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # One bound for all partitions that an executor holds, and changes saved as such.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Locators of repeated rows are broadcast up to this many, about 100 bytes each.
 BROADCAST_ROWS = 200_000
