@@ -26,6 +26,8 @@ FIT_ROWS = 20_000
 #: Score from which a text is accepted.
 ACCEPT = 0.3
 SMOOTH, COST, EPOCHS = 1.0, 1.0, 20
+#: The sample is dealt into so many shards, each with a dual problem of its own.
+SHARDS = 4
 
 #: Sizes of the feature families: words by hash, shapes, their pairs and triples, shares.
 WORDS, SHAPES, SHARES = 1 << 16, 64, 8
@@ -158,27 +160,57 @@ def dual_descent(
     return weights * ratio, offset
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Model:
+def _descend(ratio: np.ndarray):
+    def descend(shard: pd.DataFrame) -> pd.DataFrame:
+        target = shard["label"].to_numpy()
+        found = [np.asarray(row, dtype=np.int64) for row in shard["found"]]
+        if len(set(target)) < 2:
+            return pd.DataFrame({"i": [], "w": []}).astype({"i": "int32", "w": float})
+        weights, offset = dual_descent(found, target, ratio)
+        used = np.flatnonzero(weights)
+        # The offset goes by the number behind the last indicator's.
+        return pd.DataFrame(
+            {"i": np.append(used, SIZE).astype("int32"), "w": np.append(weights[used], offset)}
+        )
+
+    return descend
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS, shards: int = SHARDS) -> Model:
     """The model of ``labels.quality`` from at most about ``bound`` labelled rows of ``docs``.
 
-    The indicators of the bounded sample are written once; their counts are a Spark aggregate,
-    the descent runs over the sample's indicator numbers. Without rows of both classes every
-    text gets the share of label 1 (0.5 without any row) as its score.
+    The indicators of the bounded sample are written once. Their counts are a Spark aggregate;
+    each shard of the sample is fitted by a task, and the shards' weights are averaged. Without
+    rows of both classes every text gets the share of label 1 (0.5 without any row) as its score.
     """
     rows = write_out(featured(labelled_sample(docs, labels, "quality", bound)), "quality-rows")
     by_label = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     ones, zeros = by_label.get(1, 0), by_label.get(0, 0)
+    neutral = Model(np.zeros(SIZE, np.float32), 0.0, (0.0, 0.0))
     if not ones or not zeros:
         share = 0.5 if not ones + zeros else float(ones > 0)
-        return Model(np.zeros(SIZE, np.float32), 0.0, (0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9)))))
-    ratio = log_count_ratios(rows)
-    sample = rows.orderBy("doc_id").toPandas()  # bounded by ``bound``
-    found = [np.asarray(row, dtype=np.int64) for row in sample["found"]]
-    target = sample["label"].to_numpy()
-    weights, offset = dual_descent(found, target, ratio)
-    model = Model(weights.astype(np.float32), float(offset), (1.0, 0.0))
-    margins = np.array([model.margin(row) for row in found])
-    model.curve = platt(margins, target)
+        neutral.curve = (0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return neutral
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(shards)))
+    parts = dealt.groupBy("shard").applyInPandas(_descend(log_count_ratios(rows)), "i int, w double")
+    parts = write_out(parts, "quality-weights")
+    fitted = parts.where(F.col("i") == SIZE).count()
+    if not fitted:
+        return neutral
+    mean = parts.groupBy("i").agg((F.sum("w") / fitted).alias("w")).toPandas()
+    weights = np.zeros(SIZE + 1, np.float32)
+    weights[mean["i"]] = mean["w"]
+    model = Model(weights[:SIZE], float(weights[SIZE]), (1.0, 0.0))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    margin = F.pandas_udf(
+        lambda found: found.map(lambda row: shared.value.margin(np.asarray(row, dtype=np.int64))),
+        "double",
+    )
+    # Margins in hundredths, by label: the driver gets a short table.
+    levels = rows.select(F.round(margin("found"), 2).alias("level"), "label")
+    levels = levels.groupBy("level", "label").agg(F.count("*").alias("n"))
+    levels = levels.orderBy("level", "label").toPandas()
+    model.curve = platt(levels["level"], levels["label"], levels["n"])
     return model
 
 
