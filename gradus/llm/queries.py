@@ -6,7 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradus.llm import exact_dedup, minmax, mixing, quality, secrets, tokens, toxicity, warc
+from gradus.llm import (
+    decontaminate,
+    exact_dedup,
+    minmax,
+    mixing,
+    quality,
+    secrets,
+    tokens,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -16,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_near_dedup": minmax.op10_near_dedup,
 }
 
