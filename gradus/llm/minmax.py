@@ -305,5 +305,17 @@ def near_duplicates(
     )
 
 
+def deduplicate(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id; all columns
+    as they were."""
+    found = near_duplicates(docs, words, percent, id_column, text_column)
+    dropped = write_out(found.where("not kept").select("doc_id").distinct(), "near-dropped")
+    # A list that is large by its written size makes this a shuffle of ids that don't repeat.
+    key = docs[f"`{id_column}`"].cast("long") == dropped["doc_id"]
+    return docs.join(dropped, key, "left_anti")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import (
+    chat,
     decontaminate,
     exact_dedup,
     minmax,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": tokens.op2_token_counts,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_secrets": secrets.op4_secrets,
+    "op5_chat_format": chat.op5_chat_format,
     "op6_quality": quality.op6_quality,
     "op7_warc": warc.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
