@@ -57,6 +57,7 @@ _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _TAIL = re.compile(r"([^\w])\1+$|[.,;:?\"')\]}…»]+$")
 _HEAD = re.compile(r"^[\"'(\[{«¿.,;:]+")
 _JOINED = re.compile(r"^\w(?:[.\-_*·~/]+\w){2,}$")
+_TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
 
@@ -83,15 +84,23 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers, total = symbol_table(), np.zeros(RADIX**3, dtype=np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            # Two blanks between texts, so that no trigram spans two of them.
+            x = symbols("  " + "  ".join(held) + " ", numbers)
+            index = x[:-2] * (RADIX * RADIX) + x[1:-1] * RADIX + x[2:]
+            np.add(total, np.bincount(index, minlength=RADIX**3), out=total)
+
         for batch in batches:
             for text in batch["text"]:
-                x = symbols(f"  {text} ", numbers)
-                index = x[:-2] * (RADIX * RADIX) + x[1:-1] * RADIX + x[2:]
-                if len(index) > 20_000:
-                    total += np.bincount(index, minlength=RADIX**3)
-                else:
-                    where, n = np.unique(index, return_counts=True)
-                    total[where] += n
+                held.append(text)
+                size += len(text)
+                if size > 500_000:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
         seen = np.flatnonzero(total)
         yield pd.DataFrame({"trigram": seen.astype(np.int32), "n": total[seen]})
 
@@ -162,6 +171,8 @@ class Channel:
         """A token (lower case) as it is read; punctuation around it goes."""
         if _JOINED.match(token) and _LETTER.search(token):
             token = re.sub(r"[.\-_*·~/]+", "", token)
+        if token.isalpha() and not _TRIPLE.search(token):
+            return token
         word = _HEAD.sub("", _TAIL.sub("", token))
         if _SUSPECT.search(word) and _LETTER.search(word):
             word = self.decode(word)
@@ -173,14 +184,20 @@ def features(word: str) -> list[str]:
     return [word, *[f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]]
 
 
-def read(text: str, restored: dict[str, str]) -> set[str]:
-    """The words that a text is read as: its tokens restored, and rows of single characters joined."""
+def tokens(text: str) -> set[str]:
+    """The distinct tokens of a text in lower case, rows of single characters joined as well."""
     low = text.lower()
-    words = {restored[token] for token in set(low.split())}
+    found = set(low.split())
     for row in _SPACED.findall(low):
         joined = row.replace(" ", "").replace("\t", "")
         if len(set(joined)) > 2:
-            words.add(restored[joined])
+            found.add(joined)
+    return found
+
+
+def read(text: str, restored: dict[str, str]) -> set[str]:
+    """The words that a text is read as: its tokens restored."""
+    words = {restored[token] for token in tokens(text)}
     words.discard("")
     return words
 
@@ -196,17 +213,23 @@ class Model:
         odds = self.odds
         return max((odds.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def reader(self) -> Memo:
-        return Memo(self.channel.restore, 200_000)
+    def weigh(self, token: str) -> tuple[float, str]:
+        """Evidence of a token and the word that it is read as; the word only where it counts."""
+        word = self.channel.restore(token)
+        value = self.strongest(word)
+        return (value, word) if value else _NOTHING
 
     def weigher(self) -> Memo:
-        return Memo(self.strongest, 200_000)
+        return Memo(self.weigh)
+
+
+_NOTHING = (0.0, "")
 
 
-def evidence(text: str, reader: Memo, weigher: Memo) -> float:
+def evidence(text: str, weigher: Memo) -> float:
     """The strongest word counts whole, each next one ``DECAY`` times as much as before."""
-    found = sorted((weigher[word] for word in read(text, reader)), reverse=True)[:20]
-    return sum(value * DECAY**i for i, value in enumerate(found))
+    found = sorted({weigher[token] for token in tokens(text)}, reverse=True)[:20]
+    return sum(value * DECAY**i for i, (value, _) in enumerate(found))
 
 
 def _kin(text: str) -> int:
@@ -295,10 +318,9 @@ def evidences(rows: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def weigh(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fitted = shared.value
-        reader, weigher = fitted.reader(), fitted.weigher()
+        weigher = shared.value.weigher()
         for batch in series:
-            yield pd.Series([evidence(text, reader, weigher) for text in batch], dtype=float)
+            yield pd.Series([evidence(text, weigher) for text in batch], dtype=float)
 
     return rows.withColumn("evidence", weigh("text")).drop("text")
 
