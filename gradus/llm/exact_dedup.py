@@ -173,14 +173,9 @@ def decide(
     content = _lowered(_found(rows, hits).select("doc_id", "file", "row", "digest", "first", "bytes"))
     content = write_out(content, "dedup-content")
     stays = content.where("first").select("digest", F.col("bytes").alias("stays"))
-    differ = write_out(
-        content.where("not first")
-        .join(stays, "digest")
-        .where("bytes != stays")
-        .select("digest")
-        .distinct(),
-        "dedup-differ",
-    )
+    # Written before it is made distinct, so that a digest of very many hits can be split.
+    unlike = content.where("not first").join(stays, "digest").where("bytes != stays")
+    differ = write_out(unlike.select("digest"), "dedup-unlike").distinct()
     if not differ.isEmpty():
         groups = groups.join(differ, "digest", "left_anti").withColumn("bytes", F.lit(None).cast("binary"))
         parts = content.join(differ, "digest").groupBy("digest", "bytes")
