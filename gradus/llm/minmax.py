@@ -33,7 +33,9 @@ BLOCK = 1_000_000
 #: Rows of (id, set digest) that may be broadcast to find the texts of candidates: 40 bytes each.
 BROADCAST_ROWS = 500_000
 
-_ODD = (mix64(np.arange(1, BANDS * EACH + 1)) | np.uint64(1)).reshape(-1, 1)
+# A permutation of 32 bits is an odd factor, a shift and another factor; 32 bits are enough for
+# candidates, and half the work of 64.
+_ODD = (mix64(np.arange(1, BANDS * EACH + 1)) | np.uint64(1)).astype(np.uint32).reshape(-1, 1)
 
 
 def shingles(text: bytes, words: int, memo: dict[bytes, int]) -> np.ndarray:
@@ -59,16 +61,17 @@ def word_memo() -> Memo:
 
 def signature(found: np.ndarray) -> np.ndarray:
     """Least and greatest value of the set under each permutation: two columns."""
-    low = np.full(len(_ODD), np.iinfo(np.uint64).max, dtype=np.uint64)
-    high = np.zeros(len(_ODD), dtype=np.uint64)
+    short = found.astype(np.uint32)
+    low = np.full(len(_ODD), np.iinfo(np.uint32).max, dtype=np.uint32)
+    high = np.zeros(len(_ODD), dtype=np.uint32)
     for at in range(0, len(found), 4096):
-        x = found[None, at : at + 4096] * _ODD
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        low = np.minimum(low, x.min(axis=1))
-        high = np.maximum(high, x.max(axis=1))
-    return np.stack([low, high], axis=1)
+        x = short[None, at : at + 4096] * _ODD
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        np.minimum(low, x.min(axis=1), out=low)
+        np.maximum(high, x.max(axis=1), out=high)
+    return np.stack([low, high], axis=1).astype(np.uint64)
 
 
 def buckets(found: np.ndarray) -> np.ndarray:
@@ -207,18 +210,22 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         "near-first",
     )
     roots = write_out(components(first), "near-roots")
-    # What is not in its bucket's hub's component is minor; it meets everything else there.
+    # What is not in its bucket's hub's component is minor; it meets everything else there but
+    # the hub, which it has met.
     open_rows = _labelled(ranked.select("bucket", "node", "rep", "n"), roots)
-    hub_comp = _labelled(hubs.select("bucket", F.col("hub.rep").alias("rep")), roots).select(
-        "bucket", F.col("comp").alias("hub_comp")
-    )
-    open_rows = open_rows.join(hub_comp, "bucket").withColumn("minor", F.col("comp") != F.col("hub_comp"))
-    open_rows = write_out(open_rows.drop("hub_comp"), "near-open")
+    hub_comp = _labelled(
+        hubs.select("bucket", F.col("hub.rep").alias("rep"), F.col("hub.node").alias("hub")), roots
+    ).select("bucket", "hub", F.col("comp").alias("hub_comp"))
+    open_rows = open_rows.join(hub_comp, "bucket").where("node != hub")
+    open_rows = open_rows.withColumn("minor", F.col("comp") != F.col("hub_comp"))
+    open_rows = write_out(open_rows.drop("hub", "hub_comp"), "near-open")
     blocks = open_rows.groupBy("bucket").agg(
+        F.count_if(F.col("minor")).alias("minor_rows"),
+        F.count("*").alias("all_rows"),
         F.ceil(F.sum(F.when(F.col("minor"), F.col("n"))) / BLOCK).cast("int").alias("minors"),
         F.ceil(F.sum(F.when(~F.col("minor"), F.col("n"))) / BLOCK).cast("int").alias("majors"),
     )
-    blocks = blocks.where("minors is not null")
+    blocks = blocks.where("minor_rows > 0 and all_rows > 1").drop("all_rows")
     rows = open_rows.join(blocks, "bucket").withColumn(
         "own", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))).cast("int")
     )
@@ -228,6 +235,7 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def place(i, j, side, kind):
         return F.struct(i.alias("i"), j.alias("j"), side.cast("int").alias("side"), F.lit(kind).alias("kind"))
 
+    none = F.array().cast("array<struct<i:int,j:int,side:int,kind:int>>")
     among = F.transform(
         others,
         lambda j: place(
@@ -242,7 +250,15 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     )
     from_major = F.transform(others, lambda i: place(i, F.col("own"), F.lit(1), 1))
     spread = rows.withColumn(
-        "to", F.explode(F.when(F.col("minor"), F.concat(among, against)).otherwise(from_major))
+        "to",
+        F.explode(
+            F.when(~F.col("minor"), from_major).otherwise(
+                F.concat(
+                    F.when(F.col("minor_rows") > 1, among).otherwise(none),
+                    F.when(F.col("majors").isNotNull(), against).otherwise(none),
+                )
+            )
+        ),
     ).select("bucket", "node", "rep", "comp", "to.*")
     second = (
         spread.join(sets, "node")
@@ -286,8 +302,11 @@ def near_duplicates(
     spread = reps.select(
         F.explode("buckets").alias("bucket"), "node", F.col("doc_id").alias("rep"), "n"
     )
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = write_out(spread.join(shared, "bucket"), "near-buckets")
+    # Buckets of the same members (by two sums of hashes) are one bucket.
+    same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), *same).where("size > 1")
+    shared = shared.groupBy("size", "x0", "x1").agg(F.min("bucket").alias("bucket"))
+    members = write_out(spread.join(shared.select("bucket", "size"), "bucket"), "near-buckets")
     nodes = write_out(members.select("node", "rep").distinct(), "near-nodes")
     sets = write_out(full_sets(rows, nodes, words).dropDuplicates(["node"]), "near-sets")
     links = bucket_links(members, sets, percent)
