@@ -26,23 +26,30 @@ BLOCK_CHARS = 2_000_000
 #: Characters of a document that are searched at once; pieces overlap by more than a window.
 PIECE = 20_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = {1 << i: np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(8)}
 _BITS = 22
-#: Lower case of the characters up to here; a character whose lower case is longer stays.
-_LOWER = np.array([ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x590)], dtype=np.uint32)
-_BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0], dtype=np.uint32)
+#: What characters up to here are compared as: lower case (if it is one character), blanks as one.
+_PLAIN = np.array(
+    [
+        32 if c in (9, 10, 11, 12, 13, 0x85, 0xA0) else ord(low) if len(low := chr(c).lower()) == 1 else c
+        for c in range(0x590)
+    ],
+    dtype=np.uint32,
+)
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the text in lower case, runs of blanks as one, none at either end; their places."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    codes = np.where(codes < 0x590, _LOWER[np.minimum(codes, 0x58F)], codes)
-    blank = np.zeros(len(codes), dtype=bool)
-    low = codes <= 0xA0
-    blank[low] = np.isin(codes[low], _BLANKS)
-    codes = np.where(blank, np.uint32(32), codes)
+    if len(codes) and codes.max() < len(_PLAIN):
+        codes = _PLAIN[codes]
+    else:
+        known = codes < len(_PLAIN)
+        codes = np.where(known, _PLAIN[np.where(known, codes, 0)], codes)
+    blank = codes == 32
     keep = ~blank
-    keep[1:] |= blank[1:] & ~blank[:-1]
+    keep[1:] |= ~blank[:-1]
     places = np.flatnonzero(keep)
     if len(places) and blank[places[-1]]:
         places = places[:-1]
@@ -52,15 +59,21 @@ def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
-    """Hash of each q-gram."""
+    """Hash of each q-gram, put together from those of 1, 2, 4, ... characters."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    wide = codes.astype(np.uint64)
-    out = wide[:n].copy()
-    for i in range(1, q):
-        out *= _BASE
-        out += wide[i : n + i]
+    part, length = codes.astype(np.uint64), 1  # hashes of grams of this length
+    out, done = None, 0
+    while True:
+        if q & length:
+            tail = part[done : done + n]
+            out = tail.copy() if out is None else out * _POWERS[length] + tail
+            done += length
+        if 2 * length > q:
+            break
+        part = part[:-length] * _POWERS[length] + part[length:]
+        length *= 2
     out ^= out >> np.uint64(31)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     return out
@@ -170,15 +183,21 @@ class Index:
         lo, hi = max(0, first), min(len(codes), first + len(text))
         if hi > lo:
             text[lo - first : hi - first] = codes[lo:hi]
+        # Without edits the window stands on one diagonal: a plain comparison tells.
+        plain = np.lib.stride_tricks.sliding_window_view(text, len(part))[:width]
+        if len(even := np.flatnonzero((plain == part).all(axis=1))):
+            start = first + int(even[0])
+            return start, start + len(part), 0
         inside = np.arange(len(text)) + first
         for i, c in enumerate(part.astype(np.int64)):
             here = text[i : i + width]
             new = row + (here != c)
             new[(inside[i : i + width] < 0) | (inside[i : i + width] >= len(codes))] = far
-            up = np.append(row[1:] + 1, far)  # a character of the window that the text lacks
-            take = up < new
-            new = np.where(take, up, new)
-            came = np.where(take, np.append(begin[1:], 0), begin)
+            # A character of the window that the text lacks comes from the next diagonal.
+            take = row[1:] + 1 < new[:-1]
+            came = begin.copy()
+            new[:-1][take] = row[1:][take] + 1
+            came[:-1][take] = begin[1:][take]
             # Characters that only the text has: running least, plus one for each step.
             slack = new - lane
             least = np.minimum.accumulate(slack)
