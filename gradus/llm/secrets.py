@@ -1,7 +1,8 @@
 """Secrets in texts: three fixed patterns, and random strings by two character Markov models.
 
 Everything is DataFrame functions. One model is of random strings, the values that the patterns
-find; the other is of ordinary identifiers, the long runs that they leave. Each distinct string
+find; the other is of ordinary identifiers, the long runs of letters or of digits that they
+leave. Each distinct string
 of either label counts once. A run with a letter and a digit that no pattern covers is a secret
 if its log-likelihood ratio under the two models is high enough.
 """
@@ -15,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import table, texts
-from gradus.session import write_out
 
 # The patterns of the base kinds, in order, and their least lengths.
 ASSIGN = (
@@ -31,7 +31,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE, ORDINARY = 16, 12
 #: Log-likelihood ratio from which a run is a secret: about the odds of ordinary runs to secrets.
 LEAST_RATIO = 10.0
-SMOOTH = 0.5
+#: How many observations a state's overall frequency counts for behind each state.
+SMOOTH = 10.0
 
 _CLASS = "[A-Za-z0-9+/_=-]"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -115,15 +116,22 @@ def _state(string: Column, i: Column) -> Column:
     return F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
 
 
+def _mixed(run: Column) -> Column:
+    return run.rlike("[0-9]") & run.rlike("[A-Za-z]")
+
+
 def samples(docs: DataFrame) -> DataFrame:
-    """Distinct labelled strings of all texts: ``value, random``."""
+    """Distinct labelled strings of all texts: ``value, random``.
+
+    A run with letters and digits is no sample of either label: it may be a secret itself.
+    """
     rows = texts(docs).select("text")
     random = F.transform(
         base_spans(F.col("text")), lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random"))
     )
     runs = F.regexp_extract_all(_without_base(F.col("text")), F.lit(run_pattern(ORDINARY)), F.lit(0))
     ordinary = F.transform(
-        runs, lambda run: F.struct(run.alias("value"), F.lit(False).alias("random"))
+        F.filter(runs, lambda run: ~_mixed(run)), lambda run: F.struct(run.alias("value"), F.lit(False).alias("random"))
     )
     return rows.select(F.explode(F.concat(random, ordinary)).alias("s")).select("s.*").distinct()
 
@@ -145,25 +153,35 @@ def transitions(strings: DataFrame) -> DataFrame:
     )
 
 
+def _probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
+    """Probability of each state behind each; rare ones lean on how frequent a state is at all."""
+    after = [0] * _STATES
+    whole = [0.0] * _STATES
+    for (a, b), n in counts.items():
+        after[a] += n
+        whole[b] += n
+    total = sum(whole)
+    single = [(n + 1.0) / (total + _STATES) for n in whole]
+    return [
+        (counts.get((a, b), 0) + SMOOTH * single[b]) / (after[a] + SMOOTH)
+        for a in range(_STATES)
+        for b in range(_STATES)
+    ]
+
+
 def log_ratios(docs: DataFrame) -> list[float]:
     """Log-likelihood ratio of each transition, random to ordinary, by number of both states.
 
-    The driver gets the counts of transitions: twice the square of the alphabet at most.
-    Without samples of both labels every ratio is 0 and nothing is added.
+    The driver gets the counts of transitions: twice the square of the alphabet at most. Without
+    samples of both labels every ratio is 0 and nothing is added.
     """
-    counts = write_out(transitions(samples(docs)), "secret-transitions").collect()
-    n = {(row["random"], row["a"], row["b"]): row["n"] for row in counts}
-    if len({row["random"] for row in counts}) < 2:
+    counts: dict[bool, dict[tuple[int, int], int]] = {}
+    for row in transitions(samples(docs)).collect():
+        counts.setdefault(row["random"], {})[row["a"], row["b"]] = row["n"]
+    if len(counts) < 2:
         return [0.0] * (_STATES * _STATES)
-    out = []
-    for a in range(_STATES):
-        row = {x: [n.get((x, a, b), 0) + SMOOTH for b in range(_STATES)] for x in (True, False)}
-        sums = {x: sum(row[x]) for x in row}
-        out += [
-            math.log(row[True][b] / sums[True]) - math.log(row[False][b] / sums[False])
-            for b in range(_STATES)
-        ]
-    return out
+    both = zip(_probabilities(counts[True]), _probabilities(counts[False]), strict=True)
+    return [math.log(p / q) for p, q in both]
 
 
 def likelihood_ratio(string: Column, ratios: Column) -> Column:
@@ -195,8 +213,7 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: s
     def added(text: Column, base: Column) -> Column:
         runs = F.filter(
             matches(text, pattern, 3),
-            lambda run: run["value"].rlike("[0-9]")
-            & run["value"].rlike("[A-Za-z]")
+            lambda run: _mixed(run["value"])
             & ~F.exists(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
             & (likelihood_ratio(run["value"], ratios) >= least_ratio),
         )
