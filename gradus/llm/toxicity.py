@@ -47,8 +47,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõ
 ALPHABET = " " + LETTERS + "0123456789"
 OTHER = len(ALPHABET)
 RADIX = 80
-#: Log-probabilities of the channel: a character as it is, a look-alike, a dropped repetition.
-AS_IS, ALIKE, DROPPED = math.log(0.9), math.log(0.05), math.log(0.2)
+#: Log-probabilities of the channel: a character as it is, one that is a look-alike by its kind
+#: but stands for itself beside letters, one that stands for a letter, a dropped repetition.
+AS_IS, ITSELF, ALIKE, DROPPED = math.log(0.9), math.log(0.1), math.log(0.3), math.log(0.2)
 
 _MARKS = "".join(LOOK_ALIKES)
 _SUSPECT = re.compile(rf"[{re.escape(_MARKS)}]|(.)\1\1")
@@ -88,7 +89,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
         def add() -> None:
             # Two blanks between texts, so that no trigram spans two of them.
-            x = symbols("  " + "  ".join(held) + " ", numbers)
+            x = symbols("  " + "  ".join(held) + "  ", numbers)
             index = x[:-2] * (RADIX * RADIX) + x[1:-1] * RADIX + x[2:]
             np.add(total, np.bincount(index, minlength=RADIX**3), out=total)
 
@@ -138,13 +139,13 @@ class Channel:
             run = j - i
             options = []
             for letter in dict.fromkeys((c, *LOOK_ALIKES.get(c, ""))):
-                each = AS_IS if letter == c else ALIKE
+                each = ALIKE if letter != c else ITSELF if c in LOOK_ALIKES else AS_IS
                 if run <= 2:
                     options.append((letter * run, each * run))
                 else:
                     options += [(letter, each + DROPPED), (letter * 2, 2 * each + DROPPED)]
             if run > 2 and c in LOOK_ALIKES:
-                options.append((c * run, AS_IS * run))
+                options.append((c * run, ITSELF * run))
             beside = {written[i - 1 : i], written[j : j + 1]} - {""}
             if beside & set(LOOK_ALIKES.get(c, "")):
                 options.append(("", ALIKE * run + DROPPED))  # one letter repeated in two guises
