@@ -59,7 +59,7 @@ def run(spark, sf_dir, timed, rounds=ROUNDS):
     }
 
     def score(name):
-        rows = models.score_with(fitted[name], test, S.POINT_ID)
+        rows = models.score_with(fitted[name], test)
         return write_out(rows.select(F.col(S.TARGET).alias("y"), "probabilities", F.col("prediction").alias("p")), name)
 
     scored = {name: timed(f"run_score_{name}", lambda name=name: score(name)) for name in fitted}

@@ -204,7 +204,7 @@ scores AS (
 metrics AS (
   SELECT model_key,
     CASE model_key WHEN 'logistic_regression' THEN 'Logistic Regression'
-      WHEN 'knn' THEN 'K-Nearest Neighbors' ELSE 'XGBoost' END AS model_name,
+      WHEN 'knn' THEN 'K-Nearest Neighbors' ELSE 'Gradient-Boosted Trees' END AS model_name,
     'models/' || model_key AS model_path,
     sum(hits)::DOUBLE / sum(support) AS accuracy, sum(f1 * support) / sum(support) AS f1_weighted,
     avg(f1) AS f1_macro, avg(prec) AS precision_macro, avg(rec) AS recall_macro

@@ -11,7 +11,7 @@ import argparse
 
 from gradus import schema as S
 from gradus.operators.models import registry
-from gradus.operators.splitting import SPLIT, TEST
+from gradus.operators.splitting import SPLIT, TEST, VALIDATION
 from gradus.plans import pipeline
 from gradus.session import build_session
 from gradus.sources.registry import read_raw_csv, read_raw_parquet
@@ -23,11 +23,17 @@ def main(argv: list[str] | None = None) -> None:
     train = commands.add_parser("train", help="label, split and fit the registered models")
     train.add_argument("--raw", required=True, help="raw registry, CSV or Parquet")
     train.add_argument("--operator", required=True)
+    train.add_argument("--format", choices=["csv", "parquet"], help="by default told by the name")
+    train.add_argument(
+        "--missing", default="drop", choices=["drop", "fill", "error"], help="rows that miss a feature"
+    )
+    train.add_argument("--validation", type=float, default=0.0, help="share set apart for thresholds")
     train.add_argument("--multiline", action="store_true", help="CSV cells may hold line breaks")
     evaluate = commands.add_parser("evaluate", help="score all models on the test part")
     evaluate.add_argument("--tuned", action="store_true", help="apply the class-0 thresholds")
     threshold = commands.add_parser("threshold", help="sweep the class-0 threshold of one model")
     threshold.add_argument("--model", default="xgboost")
+    threshold.add_argument("--part", default=TEST, choices=[TEST, VALIDATION], help="rows that decide")
     for command in (train, evaluate, threshold):
         command.add_argument("--out", required=True, help="folder of labelled data, models, metrics")
         command.add_argument("--rounds", type=int, default=200, help="boosting rounds")
@@ -38,11 +44,15 @@ def main(argv: list[str] | None = None) -> None:
     models = registry(f"{args.out}/models", S.POINT_ID, args.rounds)
     split_path = f"{args.out}/split"
     if args.command == "train":
-        if args.raw.rstrip("/").endswith(".csv"):
+        named = any(part in args.raw for part in (".csv", ".CSV"))
+        if args.format == "csv" or (args.format is None and named):
             raw = read_raw_csv(spark, args.raw, multiline=args.multiline)
         else:
             raw = read_raw_parquet(spark, args.raw)
-        split = pipeline.prepare_and_train(raw, args.operator, f"{args.out}/labelled", models)
+        split = pipeline.prepare_and_train(
+            raw, args.operator, f"{args.out}/labelled", models,
+            missing=args.missing, validation_size=args.validation,
+        )
         split.write.mode("overwrite").parquet(split_path)
         split.groupBy(S.TARGET, SPLIT).count().orderBy(S.TARGET, SPLIT).show()
         return
@@ -50,7 +60,7 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "evaluate":
         pipeline.evaluate(spark, split, models, f"{args.out}/metrics", args.tuned).show(truncate=False)
     else:
-        pipeline.tune_threshold(spark, split, models[args.model], TEST).show(truncate=False)
+        pipeline.tune_threshold(spark, split, models[args.model], args.part).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -19,6 +19,11 @@ def text_or_null(col: Column) -> Column:
     return F.when(~col.isin(MISSING_TEXT), col)
 
 
+def nan_as_null(col: Column, kind: str) -> Column:
+    """NULL in place of NaN; ``kind`` is the column's type name, others than floats stay as is."""
+    return F.nanvl(col, F.lit(None).cast(kind)) if kind in ("double", "float") else col
+
+
 def numeric_or_null(col: Column) -> Column:
     """Lenient numeric cast: text that is not a plain number becomes NULL, as does NaN."""
     text = col.cast("string")

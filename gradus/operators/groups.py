@@ -31,17 +31,21 @@ def group_profile(points: DataFrame, group: str = S.GROUP, counted: str = S.POIN
     )
 
 
-def group_centroids(points: DataFrame, group: str = S.GROUP) -> DataFrame:
+def mean_positions(points: DataFrame, group: str = S.GROUP) -> DataFrame:
+    """Mean position per group, in no order."""
     return (
         points.filter(F.col(group).isNotNull()).groupBy(group)
         .agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
-        .orderBy(group)
     )
 
 
+def group_centroids(points: DataFrame, group: str = S.GROUP) -> DataFrame:
+    return mean_positions(points, group).orderBy(group)
+
+
 def centroid_of(points: DataFrame, value: str, group: str = S.GROUP) -> DataFrame:
     """Mean position of one group; the filter comes first, so only its rows are read."""
-    return group_centroids(points.filter(F.col(group) == F.lit(value)), group)
+    return mean_positions(points.filter(F.col(group) == F.lit(value)), group)
 
 
 def map_bubbles(labelled: DataFrame, level_name: Column, group: str = S.GROUP) -> DataFrame:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,9 +74,17 @@ def _searcher(k, digits=DIGITS, sample=SAMPLE):
 
 
 def _vector(features: Sequence[str] | str) -> Column:
+    """The features as one array; a missing value fails the job, no row is left out for it."""
     if isinstance(features, str):
-        return F.col(features).cast("array<double>")
-    return F.array(*[F.col(c).cast("double") for c in features])
+        vec = F.col(features).cast("array<double>")
+    else:
+        vec = F.array(*[F.col(c).cast("double") for c in features])
+    return F.when(complete(vec), vec).otherwise(F.raise_error(F.lit("a feature is missing")))
+
+
+def complete(vec: Column) -> Column:
+    """Whether a vector is there and has no missing value."""
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
 def only_useful(train: DataFrame, same: Sequence[str], train_id: str, k: int) -> DataFrame:
@@ -103,7 +112,8 @@ def knn_join(
 ) -> DataFrame:
     """The k nearest training rows of each test row: query_id, rank, train_id, dist2, label.
 
-    ``features`` is a list of numeric columns or one array column; no value may be NULL.
+    ``features`` is a list of numeric columns or one array column; a missing value fails the
+    job. Every test row has its k neighbours, also where its id repeats or is NULL.
     ``prepared`` says that ``train`` is a written table that went through ``only_useful``.
     """
     queries, points = _sides(test, train, features, test_id, train_id, label)
@@ -121,8 +131,8 @@ def knn_join(
     )
     if few:
         return _broadcast_join(queries, points.toPandas(), k, out)
-    found = _partitioned_join(queries, points, k, out, block_rows, pivots)
-    best = Window.partitionBy("query_id").orderBy("dist2", "train_id")
+    found = _partitioned_join(queries, points, k, f"query_key bigint, {out}", block_rows, pivots)
+    best = Window.partitionBy("query_key").orderBy("dist2", "train_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "train_id", "dist2", "label"
     )
@@ -162,7 +172,7 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
     import numpy as np
 
     spark = queries.sparkSession
-    queries = write_out(queries, "knn-queries")
+    queries = write_out(queries.withColumn("query_key", F.monotonically_increasing_id()), "knn-queries")
     chosen = points.orderBy(F.md5(F.col("train_id").cast("string").cast("binary")), "train_id")
     picked = [r[0] for r in chosen.select("vec").limit(pivots).collect()]
     centres = np.unique(np.array(picked, dtype=float), axis=0)
@@ -234,7 +244,7 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
     # Every point block of a cell meets every query block of it: each side is hashed into its
     # own blocks and copied once per block of the other side.
     left = (
-        routed.withColumn("query_block", F.pmod(F.xxhash64("query_id"), query_blocks))
+        routed.withColumn("query_block", F.pmod(F.xxhash64("query_key"), query_blocks))
         .withColumn("point_block", F.explode(F.sequence(first_block, point_blocks - 1)))
     )
     right = (
@@ -253,19 +263,71 @@ def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
             vectors = np.array(queries_pdf["vec"].tolist(), dtype=float)
             matrix = np.array(points_pdf["vec"].tolist(), dtype=float)
             ids, labels = points_pdf["train_id"].to_numpy(), points_pdf["label"].to_numpy()
-            query_ids = queries_pdf["query_id"].to_numpy()
+            query_ids = queries_pdf[["query_key", "query_id"]]
             for rows, rank, cols, dist in search(vectors, matrix, ids):
                 parts.append(
-                    pd.DataFrame({"query_id": query_ids[rows], "rank": rank, "train_id": ids[cols],
-                                  "dist2": dist, "label": labels[cols]})
+                    query_ids.iloc[rows].reset_index(drop=True).assign(
+                        rank=rank, train_id=ids[cols], dist2=dist, label=labels[cols]
+                    )
                 )
-        empty = pd.DataFrame({c: [] for c in ("query_id", "rank", "train_id", "dist2", "label")})
+        empty = pd.DataFrame({c: [] for c in ("query_key", "query_id", "rank", "train_id", "dist2", "label")})
         return pd.concat(parts) if parts else empty
 
     keys = ["cell", "query_block", "point_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, out)
 
 
+def few_points(points: DataFrame, width: int, broadcast_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted points are few enough to be broadcast."""
+    return points.count() <= broadcast_bytes // (8 * (width + 2))
+
+
+def vote_here(
+    df: DataFrame, vec: Column, points: DataFrame, k: int, classes: Sequence[int],
+) -> DataFrame:
+    """``df`` with ``prediction`` and ``probabilities`` from few ``points`` (train_id, label, vec).
+
+    Rows stay where they are, with all their columns: neighbours are found and counted within
+    the batch. A row with a missing feature stays too, its prediction is NULL. Few input
+    partitions are dealt anew first, as comparing costs far more than moving a row.
+    """
+    local = points.toPandas()
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(
+        (np_array(local["vec"]), local["train_id"].to_numpy(), local["label"].to_numpy())
+    )
+    search, listed = _searcher(k), list(classes)
+
+    @F.pandas_udf("array<double>")
+    def shares(vectors: pd.Series) -> pd.Series:
+        import numpy as np
+
+        matrix, ids, labels = shared.value
+        there = vectors.notna().to_numpy()
+        counts = np.zeros((len(vectors), len(listed)))
+        if there.any():
+            at = np.flatnonzero(there)
+            for rows, _, cols, _ in search(np.array(vectors[there].tolist(), dtype=float), matrix, ids):
+                for c, name in enumerate(listed):
+                    counts[:, c] += np.bincount(at[rows], labels[cols] == name, minlength=len(vectors))
+        total = min(k, len(matrix))
+        return pd.Series([list(row / total) if ok else None for row, ok in zip(counts, there)])
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() < tasks:
+        df = df.repartition(tasks)
+    names = F.array(*[F.lit(int(c)) for c in classes])
+    voted = df.withColumn("probabilities", shares(F.when(complete(vec), vec)))
+    winner = F.array_position("probabilities", F.array_max("probabilities"))
+    return voted.withColumn("prediction", names[(winner - 1).cast("int")])
+
+
+def np_array(vectors):
+    import numpy as np
+
+    return np.array(vectors.tolist(), dtype=float)
+
+
 def knn_vote(neighbours: DataFrame, classes: Sequence[int]) -> DataFrame:
     """Class with most votes (the smallest wins a tie) and vote shares per listed class."""
     shares = [F.count_if(F.col("label") == c) / F.count(F.lit(1)) for c in classes]

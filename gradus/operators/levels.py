@@ -35,6 +35,7 @@ OWN_SLICE = 512          # counts up to here have a slice of their own in the fi
 SLICES_PER_DOUBLING = 10  # width of the first-round slices above
 SPLIT_BUDGET = 4096      # new slices per later round
 GROUPS_TO_BROADCAST = 200_000
+BROADCAST_BYTES = 32 << 20  # texts of the groups and their levels, at most, in a broadcast
 PARALLEL_FITS = 5
 HOT_SHARE = 10_000       # a group above 1/10,000 of all points is hot: at most 10,000 groups are
 
@@ -223,6 +224,10 @@ def label_groups(sizes: DataFrame, levels: Levels, size: str = SIZE) -> DataFram
     return sizes.withColumn(S.TARGET, levels.level(F.col(size)))
 
 
+def _bytes(groups: DataFrame, group: str) -> int:
+    return groups.agg(F.sum(F.octet_length(F.col(group).cast("string")) + 16)).first()[0] or 0
+
+
 def join_labels(
     points: DataFrame, groups: DataFrame, group: str = S.GROUP, n_groups: int | None = None,
     n_points: int | None = None, how: str = "inner", size: str = SIZE,
@@ -239,8 +244,9 @@ def join_labels(
         n_groups, n_points = groups.agg(F.count(F.lit(1)), F.sum(size)).first()
         n_points = n_points or 0
     labels = groups.select(group, S.TARGET)
-    if n_groups <= broadcast_limit:
-        return points.join(F.broadcast(labels), group, how)
+    if n_groups <= broadcast_limit and _bytes(labels, group) <= BROADCAST_BYTES:
+        joined = points.join(F.broadcast(labels), group, how)
+        return joined.select(*points.columns, S.TARGET)  # the order of columns hangs on no size
 
     hot_from = max(n_points // hot_share, 1)
     hot = groups.filter(F.col(size) > hot_from).select(

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus import schema as S
+from gradus.functions.cleaning import nan_as_null
+from gradus.operators.splitting import known_label
 
 TRUTH, PREDICTED = "y", "p"
 
@@ -32,15 +34,36 @@ def confusion(
 
 def confusion_matrix(
     predictions: DataFrame, labels: Sequence[int] = S.LEVELS, truth: str = TRUTH,
-    predicted: str = PREDICTED,
+    predicted: str = PREDICTED, by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per true label, one column ``pred_<label>`` per predicted label."""
-    cells = [
-        F.coalesce(F.sum(F.when(F.col("predicted") == c, F.col("n"))), F.lit(0))
-        .cast("bigint").alias(f"pred_{c}")
-        for c in labels
-    ]
-    return confusion(predictions, (), truth, predicted).groupBy("truth").agg(*cells)
+    """One row per label, also where it is never true; one column ``pred_<label>`` per label.
+
+    ``pred_other`` counts predictions that are no listed label (or NULL); the row without truth
+    counts rows whose true label isn't listed, if there are any. With ``by`` one such square per
+    model, from the same grouped count.
+    """
+    called = F.col("predicted")
+    listed = F.coalesce(called.isin(list(labels)), F.lit(False))
+
+    def cell(wanted: Column) -> Column:
+        return F.coalesce(F.sum(F.when(wanted, F.col("n"))), F.lit(0)).cast("bigint")
+
+    pairs = confusion(predictions, by, truth, predicted).withColumn(
+        "truth", F.when(F.col("truth").isin(list(labels)), F.col("truth"))
+    )
+    # A zero beside every label, per model: rows of a fixed number, beside the counted pairs.
+    zeros = pairs.select(*by).distinct() if by else predictions.sparkSession.range(1).select()
+    zeros = zeros.select(
+        *by,
+        F.explode(
+            F.array(*[F.lit(c).cast(pairs.schema["truth"].dataType) for c in labels])
+        ).alias("truth"),
+        F.lit(None).cast(pairs.schema["predicted"].dataType).alias("predicted"),
+        F.lit(0).cast("bigint").alias("n"),
+    )
+    return pairs.unionByName(zeros).groupBy(*by, "truth").agg(
+        *[cell(called == c).alias(f"pred_{c}") for c in labels], cell(~listed).alias("pred_other")
+    )
 
 
 def class_report(
@@ -172,10 +195,11 @@ def quality_checks(
 ) -> DataFrame:
     """One row per contract check: its name, the offending rows and whether it passed."""
     known = F.coalesce(F.col(label).isin(list(labels)), F.lit(False))
+    kinds = dict(labelled.dtypes)
     checks = {
         "rows_missing": F.when(F.count(F.lit(1)) == 0, 1).otherwise(0),
         "label_unknown": F.count_if(~known),
-        **{f"null_{c}": F.count_if(F.col(c).isNull()) for c in features},
+        **{f"null_{c}": F.count_if(nan_as_null(F.col(c), kinds[c]).isNull()) for c in features},
     }
     counts = labelled.agg(*[v.cast("bigint").alias(c) for c, v in checks.items()])
     return counts.unpivot([], list(checks), "check_name", "n_bad").withColumn(
@@ -191,9 +215,11 @@ def require_quality(labelled: DataFrame, **options) -> None:
 
 
 def label_shares(labelled: DataFrame, label: str = S.TARGET, labels: Sequence[int] = S.LEVELS) -> DataFrame:
-    """Rows and share per known label; the window runs over one row per label."""
+    """Rows and share per label; the window runs over one row per label.
+
+    Raises where a label is not in ``labels``.
+    """
     counts = (
-        labelled.filter(F.col(label).isin(list(labels))).groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
+        labelled.select(known_label(label, labels)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     )
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))

@@ -26,7 +26,15 @@ from pyspark.sql import functions as F
 
 from gradus import schema as S
 from gradus.functions.decisions import argmax_class, threshold_class
-from gradus.operators.knn import knn_predict, only_useful
+from gradus.operators.knn import (
+    BROADCAST_BYTES,
+    complete,
+    few_points,
+    knn_predict,
+    only_useful,
+    vote_here,
+)
+from gradus.operators.splitting import known_label
 from gradus.session import write_out
 
 WEIGHT = "class_weight"
@@ -44,7 +52,7 @@ def _collapsed(
     A weighted loss over the collapsed rows is the loss over all rows, so every later pass of
     a fit reads the distinct rows only. Flags and codes repeat massively in a registry.
     """
-    rows = train.filter(F.col(label).isin(list(classes))).groupBy(label, *features).agg(
+    rows = train.withColumn(label, known_label(label, classes)).groupBy(label, *features).agg(
         F.count(F.lit(1)).alias("copies")
     ).persist()
     try:
@@ -143,7 +151,12 @@ class KnnModel:
             label: str = S.TARGET, k: int = 7, classes: Sequence[int] = S.LEVELS) -> KnnModel:
         kept = train.select(F.col(id_column).alias("train_id"), F.col(label).cast("int").alias("label"), *features)
         rows = write_out(only_useful(kept, features, "train_id", k), "knn-rows")
-        stats = kept.agg(*[f(c) for c in features for f in (F.avg, F.stddev_pop)]).first()
+        whole = complete(F.array(*[F.col(c).cast("double") for c in features]))
+        *stats, holed = kept.agg(
+            *[f(c) for c in features for f in (F.avg, F.stddev_pop)], F.count_if(~whole)
+        ).first()
+        if holed:
+            raise ValueError(f"{holed} training rows miss a feature")
         info = {
             "features": list(features), "k": k, "classes": list(classes),
             "means": [float(stats[2 * i]) for i in range(len(features))],
@@ -158,14 +171,24 @@ class KnnModel:
             for c, m, d in zip(i["features"], i["means"], i["deviations"])
         ])
 
-    def score(self, df: DataFrame, id_column: str, **options) -> DataFrame:
+    def score(self, df: DataFrame, **options) -> DataFrame:
+        """``df`` with ``probabilities`` and ``prediction``: every row, whatever its id.
+
+        A row with a missing feature has neither. With few training rows nothing is shuffled;
+        with many, rows are told apart by a key that is written with them.
+        """
+        k, classes = self.info["k"], self.info["classes"]
+        points = self.rows.select("train_id", "label", self._vector().alias("vec"))
+        room = options.get("broadcast_bytes", BROADCAST_BYTES)
+        if few_points(points, len(self.info["features"]), room):
+            return vote_here(df, self._vector(), points, k, classes)
+        keyed = write_out(df.withColumn("query_key", F.monotonically_increasing_id()), "knn-keyed")
+        whole = keyed.withColumn("vec", self._vector()).filter(complete(F.col("vec")))
         votes = knn_predict(
-            df.select(F.col(id_column), self._vector().alias("vec")),
-            self.rows.select("train_id", "label", self._vector().alias("vec")),
-            "vec", id_column, "train_id", "label", self.info["k"], self.info["classes"],
-            prepared=True, **options,
-        ).withColumnRenamed("query_id", id_column)
-        return df.join(votes, id_column)
+            whole.select("query_key", "vec"), points, "vec", "query_key", "train_id", "label", k,
+            classes, prepared=True, **options,
+        ).withColumnRenamed("query_id", "query_key")
+        return keyed.join(votes, "query_key", "left").select(*df.columns, "probabilities", "prediction")
 
     def save(self, path: str) -> None:
         spark = self.rows.sparkSession
@@ -287,7 +310,7 @@ def registry(folder: str, id_column: str = S.POINT_ID, rounds: int = 200) -> dic
             f"{folder}/knn", lambda train: KnnModel.fit(train, id_column),
         ),
         "xgboost": Registered(
-            "XGBoost", "boosted trees, balanced row weights, tuned threshold for class 0",
+            "Gradient-Boosted Trees", "boosted trees, balanced row weights, tuned threshold for class 0",
             f"{folder}/xgboost", lambda train: fit_boosted(train, rounds=rounds),
             S.CLASS0_THRESHOLD,
         ),
@@ -314,10 +337,10 @@ def train_all(train: DataFrame, models: dict[str, Registered]) -> None:
 
 
 def score_with(
-    model: ScoringModel | KnnModel, df: DataFrame, id_column: str, threshold: float | None = None,
+    model: ScoringModel | KnnModel, df: DataFrame, threshold: float | None = None,
 ) -> DataFrame:
     """Scored rows; with a threshold the class-0 rule replaces the most probable class."""
-    scored = model.score(df, id_column) if isinstance(model, KnnModel) else model.score(df)
+    scored = model.score(df)
     if threshold is None:
         return scored
     return scored.withColumn("prediction", threshold_class(F.col("probabilities"), threshold))

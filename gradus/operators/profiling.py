@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-import math
-import sys
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SMALL = 100_000  # up to this many values one percentile aggregate may hold them
+from gradus.functions.cleaning import nan_as_null
 
+KEEP = 10_000  # distinct values of one bracket that the driver may get
 
-def scan_profile(df: DataFrame, distinct: Sequence[str] = ()) -> DataFrame:
-    """One row: rows, columns and the distinct non-null values of chosen columns."""
-    return df.agg(
+
+def scan_profile(df: DataFrame, distinct: Sequence[str] = (), approximate: bool = False) -> DataFrame:
+    """One row: rows, columns and the distinct non-null values of chosen columns.
+
+    Each exact count is a grouped one of its own column, so no row is copied per column;
+    ``approximate`` takes sketches of all columns in one pass instead.
+    """
+
+    def values(c: str) -> Column:
+        if approximate:
+            return F.approx_count_distinct(F.col(c))
+        return df.select(c).distinct().agg(F.count(F.col(c))).scalar()
+
+    counts = {f"n_{c}": values(c) for c in distinct}
+    out = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.lit(len(df.columns)).cast("int").alias("n_columns"),
-        *[F.count_distinct(F.col(c)).alias(f"n_{c}") for c in distinct],
+        *[v.alias(name) for name, v in counts.items() if approximate],
     )
+    return out if approximate else out.withColumns(counts) if counts else out
 
 
 def preview(df: DataFrame, order: str, n: int = 3) -> DataFrame:
@@ -27,8 +38,9 @@ def preview(df: DataFrame, order: str, n: int = 3) -> DataFrame:
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """Columns that have missing values and how many, most first; one pass over the data."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    """Columns that have missing values (NaN too) and how many, most first; one pass over the data."""
+    kinds = dict(df.dtypes)
+    counts = df.agg(*[F.count_if(nan_as_null(F.col(c), kinds[c]).isNull()).alias(c) for c in df.columns])
     return (
         counts.unpivot([], df.columns, "column_name", "n_missing")
         .filter("n_missing > 0")
@@ -75,7 +87,8 @@ def histogram(
     the bin rounds the other way. With ``by`` all groups share the edges. Without it, empty
     bins are listed too.
     """
-    data = df.select(*by, value.cast("double").alias("x")).filter(F.col("x").isNotNull())
+    x = nan_as_null(value.cast("double"), "double")
+    data = df.select(*by, x.alias("x")).filter(F.col("x").isNotNull())
     lo, hi = F.min("x"), F.max("x")
     flat = lo == hi
     span = data.agg(
@@ -118,90 +131,103 @@ def histogram(
 
 
 def exact_quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float],
-    small: int = SMALL, fan_out: int = 1024, keep: int = 10_000,
-    span: tuple[int, float, float] | None = None,
+    df: DataFrame, column: str, probabilities: Sequence[float], keep: int = KEEP, accuracy: int = 10_000,
 ) -> list[float | None]:
-    """Quantiles with linear interpolation, exact at any size.
+    """Quantiles with linear interpolation, exact at any size; NaN counts as missing.
 
-    Up to ``small`` values one ``percentile`` aggregate holds them. Beyond that the needed
-    ranks are searched: count the values in ``fan_out`` slices of the bracket around each
-    rank, keep the slice that holds it, and repeat until the slice has one distinct value or
-    at most ``keep`` of them. The driver sees slice counts only; a value that fills a third
-    of all rows ends its search at once. ``span`` is (count, min, max) where it is known.
+    A sketch brackets every needed rank at once: its rank error is known, so the bracket surely
+    holds the rank. The next pass counts what is below and inside each bracket and sketches the
+    inside again. Once a bracket has few distinct values, they are fetched with their counts. A
+    pass cuts brackets to some 4/``accuracy`` of their rows whatever the values, so a handful of
+    passes do for any table. The driver gets at most ``keep`` values a bracket.
     """
-    values = df.select(F.col(column).cast("double").alias("x")).filter("x is not null")
-    n, low, high = span or values.agg(F.count("x"), F.min("x"), F.max("x")).first()
+    x = nan_as_null(F.col(column).cast("double"), "double")
+    values = df.select(x.alias("x")).filter("x is not null")
+    n, low, high = values.agg(F.count("x"), F.min("x"), F.max("x")).first()
     if n == 0:
         return [None] * len(probabilities)
-    if n <= small:
-        return list(values.agg(F.percentile("x", list(probabilities))).first()[0])
-
     wanted = set()
     for q in probabilities:
         i = int(q * (n - 1))
         wanted |= {i, min(i + 1, n - 1)}
-    found = _values_at(values, sorted(wanted), low, high, fan_out, keep)
+    found = _values_at(values, sorted(wanted), n, low, high, keep, accuracy)
     out = []
     for q in probabilities:
         h = q * (n - 1)
         i = int(h)
         a, b = found[i], found[min(i + 1, n - 1)]
-        out.append(a + (h - i) * (b - a))
+        out.append(a if a == b else (i + 1 - h) * a + (h - i) * b)
     return out
 
 
-def _values_at(values, ranks, low, high, fan_out, keep) -> dict[int, float]:
-    """Value at each 0-based rank. One counting pass narrows the brackets of all ranks."""
+def _values_at(values, ranks, n, low, high, keep, accuracy) -> dict[int, float]:
+    """Value at each 0-based rank. A round is one pass that sketches the inside of every bracket
+    and one that counts the new brackets; brackets of few distinct values take one fetch."""
+    # A bracket that its sketch can't cut any more has a few rows, or ties and a few values.
+    keep = max(keep, 4 + 8 * 10_000 // accuracy)
+    brackets = {rank: (0, n, low, high) for rank in ranks}  # rows below, rows inside, ends
     found: dict[int, float] = {}
-    brackets = {rank: (low, high) for rank in ranks}
     while brackets:
-        edges = {edge for a, b in set(brackets.values()) for edge in _edges(a, b, fan_out)}
-        splits = [float("-inf"), *sorted(edges), float("inf")]
-        slices = (
-            Bucketizer(splits=splits, inputCol="x", outputCol="slice").transform(values)
-            .groupBy("slice").agg(F.count(F.lit(1)), F.min("x"), F.max("x"))
-            .orderBy("slice").collect()
-        )
-        few = {}
-        for rank in list(brackets):
-            start = 0
-            for _, n, lo, hi in slices:
-                if rank < start + n:
-                    break
-                start += n
-            brackets[rank] = (lo, hi)
+        sketches = []
+        for rank, (below, size, lo, hi) in brackets.items():
+            inside = F.when(F.col("x").between(lo, hi), F.col("x"))
+            place, slack = (rank - below) / size, 2.0 / accuracy + 1.0 / size
+            ends = [max(0.0, place - slack), min(1.0, place + slack)]
+            sketches += [F.approx_count_distinct(inside, 0.02), F.percentile_approx(inside, ends, accuracy)]
+        row = values.agg(*sketches).first()
+        sketched = {rank: (row[2 * i], row[2 * i + 1]) for i, rank in enumerate(brackets)}
+        few = {rank: b for rank, b in brackets.items() if sketched[rank][0] <= 0.8 * keep}
+        found.update(_fetched(values, few))
+        open_ranks = [rank for rank in brackets if rank not in few]
+        if not open_ranks:
+            break
+        counts = values.agg(
+            *[
+                count
+                for rank in open_ranks
+                for lo, hi in [sketched[rank][1]]
+                for count in (F.count_if(F.col("x") < lo), F.count_if(F.col("x").between(lo, hi)))
+            ]
+        ).first()
+        brackets = {}
+        for i, rank in enumerate(open_ranks):
+            below, size, (lo, hi) = counts[2 * i], counts[2 * i + 1], sketched[rank][1]
+            if not below <= rank < below + size:
+                raise ArithmeticError("a sketch missed a rank by more than its error")
             if lo == hi:
                 found[rank] = float(lo)
-            elif n <= keep:
-                few.setdefault((lo, hi), []).append((rank, rank - start))
-        if few:
-            inside = F.lit(False)
-            for lo, hi in few:
-                inside = inside | F.col("x").between(lo, hi)
-            rows = sorted(r[0] for r in values.filter(inside).collect())
-            for (lo, hi), places in few.items():
-                own = [x for x in rows if lo <= x <= hi]
-                found.update({rank: float(own[place]) for rank, place in places})
-        brackets = {rank: b for rank, b in brackets.items() if rank not in found}
+            else:
+                brackets[rank] = (below, size, lo, hi)
     return found
 
 
-def _edges(a: float, b: float, fan_out: int) -> list[float]:
-    """Ends and inner edges that cut the closed bracket [a, b] into slices."""
-    first, last = max(a, -sys.float_info.max), min(b, sys.float_info.max)
-    inner = [first * (1 - i / fan_out) + last * (i / fan_out) for i in range(1, fan_out)]
-    ends = [a, math.nextafter(b, math.inf)]
-    return [e for e in {*ends, *inner} if math.isfinite(e)]
+def _fetched(values, brackets) -> dict[int, float]:
+    """Value at each rank whose bracket has few distinct values: they come with their counts."""
+    if not brackets:
+        return {}
+    inside = F.lit(False)
+    for _, _, lo, hi in set(brackets.values()):
+        inside = inside | F.col("x").between(lo, hi)
+    rows = sorted(tuple(r) for r in values.filter(inside).groupBy("x").count().collect())
+    out = {}
+    for rank, (below, _, lo, hi) in brackets.items():
+        at = below
+        for x, count in rows:
+            if lo <= x <= hi:
+                at += count
+                if rank < at:
+                    out[rank] = float(x)
+                    break
+    return out
 
 
-def describe(df: DataFrame, column: str, small: int = SMALL) -> DataFrame:
-    """Count, mean, sample deviation, min, quartiles and max of one numeric column."""
-    x = F.col(column).cast("double")
+def describe(df: DataFrame, column: str, keep: int = KEEP) -> DataFrame:
+    """Count, mean, sample deviation, min, quartiles and max of one numeric column, without NaN."""
+    x = nan_as_null(F.col(column).cast("double"), "double")
     n, mean, deviation, low, high = df.agg(
         F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)
     ).first()
-    quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75), small=small, span=(n, low, high))
+    quartiles = exact_quantiles(df, column, (0.25, 0.5, 0.75), keep)
     return df.sparkSession.createDataFrame(
         [(n, mean, deviation, low, *quartiles, high)],
         "count bigint, mean double, std double, min double, p25 double, p50 double, p75 double, max double",

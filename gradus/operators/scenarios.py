@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradus import schema as S
-from gradus.operators.groups import group_centroids
+from gradus.operators.groups import mean_positions
 
 # Slider ranges and defaults of the station form.
 POWERS = tuple(range(0, 401, 10))
@@ -34,7 +34,7 @@ def whatif_grid(
     the groups only and nothing is joined.
     """
     fixed = {c: F.lit(v) for c, v in defaults.items()}
-    rows = group_centroids(points, group).select(
+    rows = mean_positions(points, group).select(
         group, "latitude", "longitude",
         F.explode(F.array(*[F.lit(float(p)) for p in powers])).alias(S.POWER),
     )

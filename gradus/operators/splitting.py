@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gradus import schema as S
 
 SPLIT = "split"
-TEST, TRAIN = "test", "train"
+TEST, TRAIN, VALIDATION = "test", "train", "validation"
 BUCKET_ROWS = 100_000  # wanted rows of one hash bucket; only one bucket per class is ranked
 
 
@@ -34,16 +34,18 @@ def split_quotas(class_counts: dict[int, int], test_size: float = 0.2) -> dict[i
 
 @dataclass(frozen=True)
 class StratifiedSplit:
-    """Per class the last (hash, id) that belongs to the test side."""
+    """Per class the last (hash, identity) that belongs to the test side."""
 
     id_column: str
     label: str
     seed: int
     cutoffs: dict[int, tuple[str, str]]
+    row_key: str | None = None
 
     def column(self) -> Column:
         """'test' or 'train' as a narrow expression: any later job repeats the same split."""
-        h, key = _hash(self.id_column, self.seed), F.col(self.id_column).cast("string")
+        key = identity(self.id_column, self.row_key)
+        h = _hash(self.id_column, self.row_key, self.seed)
         is_test = F.lit(False)
         for c, (cut_hash, cut_id) in self.cutoffs.items():
             is_test = F.when(
@@ -55,28 +57,48 @@ class StratifiedSplit:
         return df.withColumn(SPLIT, self.column())
 
 
-def _hash(id_column: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(id_column).cast("string"), F.lit(f"-{seed}")).cast("binary"))
+def identity(id_column: str, row_key: str | None = None) -> Column:
+    """Text that tells rows apart: the id, and the key of the row where ids may repeat or lack."""
+    text = F.col(id_column).cast("string")
+    if row_key is None:
+        return text
+    return F.concat(F.coalesce(text, F.lit("")), F.lit("|"), F.col(row_key).cast("string"))
+
+
+def _hash(id_column: str, row_key: str | None, seed: int) -> Column:
+    """Hash of the id alone, so that rows keep their place whatever key a run gave them; a row
+    without an id takes its key."""
+    text = F.col(id_column).cast("string")
+    if row_key is not None:
+        text = F.coalesce(text, identity(id_column, row_key))
+    return F.md5(F.concat(text, F.lit(f"-{seed}")).cast("binary"))
 
 
 def fit_split(
     df: DataFrame, id_column: str, label: str = S.TARGET, test_size: float = 0.2,
-    seed: int = 42, bucket_rows: int = BUCKET_ROWS,
+    seed: int = 42, bucket_rows: int = BUCKET_ROWS, row_key: str | None = None,
 ) -> StratifiedSplit:
-    """Exact per-class quotas in hash order of a unique id.
+    """Exact per-class quotas in hash order of the rows' identity: the id, and ``row_key`` with it.
+
+    Without a row key the id must be there and unique where a quota ends, else ``ValueError``:
+    rows that can't be told apart would all go to one side. Rows without a label are in neither
+    quota.
 
     One job counts the classes. The next counts rows per class and hash bucket, finds the
     bucket in which a class's quota runs out, and ranks the rows of that bucket only. So no
     task orders more of a class than one bucket, however large the class.
     """
     keyed = df.select(
-        F.col(label).alias("label"), F.col(id_column).cast("string").alias("id"),
-        _hash(id_column, seed).alias("h"),
+        F.col(label).alias("label"), identity(id_column, row_key).alias("id"),
+        _hash(id_column, row_key, seed).alias("h"),
     ).filter("label is not null")
-    classes = {r[0]: r[1] for r in df.groupBy(label).count().collect() if r[0] is not None}
+    rows = keyed.groupBy("label").agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).collect()
+    if any(r[2] for r in rows):
+        raise ValueError(f"{sum(r[2] for r in rows)} rows lack {id_column}; name a row key")
+    classes = {r[0]: r[1] for r in rows}
     quotas = {c: q for c, q in split_quotas(classes, test_size).items() if q > 0}
     if not quotas:
-        return StratifiedSplit(id_column, label, seed, {})
+        return StratifiedSplit(id_column, label, seed, {}, row_key)
     prefix = 0  # buckets and rows per bucket both stay near the square root of a huge class
     while max(classes.values()) > max(bucket_rows, 16 ** prefix) * 16 ** prefix:
         prefix += 1
@@ -93,10 +115,15 @@ def fit_split(
     in_bucket = Window.partitionBy("label", "bucket").orderBy("h", "id")
     cut = (
         keyed.join(F.broadcast(last), ["label", "bucket"])  # one row per class
-        .withColumn("rank", F.row_number().over(in_bucket))
-        .filter("rank = rest").select("label", "h", "id").collect()
+        .withColumns({
+            "rank": F.row_number().over(in_bucket),
+            "tied": F.coalesce(F.lead("id").over(in_bucket) == F.col("id"), F.lit(False)),
+        })
+        .filter("rank = rest").select("label", "h", "id", "tied").collect()
     )
-    return StratifiedSplit(id_column, label, seed, {r[0]: (r[1], r[2]) for r in cut})
+    if any(r["tied"] for r in cut):
+        raise ValueError(f"{id_column} repeats where a class's quota ends; name a row key")
+    return StratifiedSplit(id_column, label, seed, {r[0]: (r[1], r[2]) for r in cut}, row_key)
 
 
 def split_overlap(split: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -108,12 +135,20 @@ def split_overlap(split: DataFrame, columns: Sequence[str]) -> DataFrame:
     return neither.select(both.alias("n_both"), F.col("count(1)").alias("n_neither"))
 
 
+def known_label(label: str, classes: Sequence[int]) -> Column:
+    """The label; a row whose label is NULL or not in ``classes`` fails the job, it isn't dropped."""
+    known = F.coalesce(F.col(label).isin(list(classes)), F.lit(False))
+    text = F.coalesce(F.col(label).cast("string"), F.lit("NULL"))
+    unknown = F.raise_error(F.concat(F.lit("label not in the classes: "), text))
+    return F.when(known, F.col(label)).otherwise(unknown).alias(label)
+
+
 def class_weights(df: DataFrame, label: str = S.TARGET, classes: Sequence[int] = S.LEVELS) -> DataFrame:
-    """Per class: rows and balanced weight n / (number of classes present * rows of class)."""
-    counts = (
-        df.filter(F.col(label).isin(list(classes))).groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Per class: rows and balanced weight n / (number of classes present * rows of class).
+
+    Raises where a label is not in ``classes``.
+    """
+    counts = df.select(known_label(label, classes)).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()  # at most len(classes) rows
     return counts.withColumn(
         "weight",
@@ -124,6 +159,9 @@ def class_weights(df: DataFrame, label: str = S.TARGET, classes: Sequence[int] =
 def with_class_weight(
     df: DataFrame, label: str = S.TARGET, classes: Sequence[int] = S.LEVELS, weight: str = "weight",
 ) -> DataFrame:
-    """Balanced weight on every row; the broadcast side has one row per listed class."""
+    """Balanced weight on every row; the broadcast side has one row per listed class.
+
+    Raises where a label is not in ``classes``, so no row is lost in the join.
+    """
     weights = class_weights(df, label, classes).select(label, F.col("weight").alias(weight))
     return df.join(F.broadcast(weights), label)

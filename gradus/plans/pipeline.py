@@ -1,11 +1,20 @@
-"""The pipeline's three runs: prepare and train, evaluate, tune the threshold."""
+"""The pipeline's three runs: prepare and train, evaluate, tune the threshold.
+
+Every run reads rows by a key that is written with them once, so that rows whose id is missing or
+repeated are split and scored like all others.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus import schema as S
+from gradus.functions.cleaning import nan_as_null
 from gradus.operators import metrics as M
 from gradus.operators import thresholds as T
 from gradus.operators.levels import label_points
@@ -16,7 +25,7 @@ from gradus.operators.models import (
     score_with,
     train_all,
 )
-from gradus.operators.splitting import SPLIT, TEST, TRAIN, fit_split
+from gradus.operators.splitting import SPLIT, TEST, TRAIN, VALIDATION, fit_split
 from gradus.session import write_out
 from gradus.sources.registry import clean_points, keep_operator
 from gradus.sources.tables import write_labelled, write_metrics
@@ -29,15 +38,62 @@ def prepare(raw: DataFrame, operator: str) -> DataFrame:
     return label_points(write_out(cleaned.select(*kept), "cleaned"))
 
 
+def missing_counts(points: DataFrame, features: Sequence[str] = tuple(S.FEATURES)) -> DataFrame:
+    """One row: all rows, those that miss a feature, and how many miss each one (NaN too)."""
+    kinds = dict(points.dtypes)
+    holes = {c: nan_as_null(F.col(c), kinds[c]).isNull() for c in features}
+    return points.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(reduce(or_, holes.values())).alias("n_incomplete"),
+        *[F.count_if(hole).alias(f"n_{c}") for c, hole in holes.items()],
+    )
+
+
+def treat_missing(
+    points: DataFrame, policy: str = "drop", features: Sequence[str] = tuple(S.FEATURES),
+) -> DataFrame:
+    """Rows for all models alike: without incomplete rows (``drop``), with the column's mean in
+    their place (``fill``), or none allowed (``error``)."""
+    if policy == "drop":
+        return points.na.drop(subset=list(features))
+    counts = missing_counts(points, features).first()
+    if policy == "error":
+        if counts["n_incomplete"]:
+            raise ValueError(f"{counts['n_incomplete']} of {counts['n_rows']} rows miss a feature")
+        return points
+    if policy != "fill":
+        raise ValueError(f"unknown policy for missing values: {policy}")
+    kinds = dict(points.dtypes)
+    means = points.agg(*[F.avg(nan_as_null(F.col(c), kinds[c])).alias(c) for c in features]).first()
+    filled = {
+        c: F.coalesce(nan_as_null(F.col(c), kinds[c]), F.lit(means[c]).cast(kinds[c]))
+        for c in features
+    }
+    return points.withColumns(filled)
+
+
 def prepare_and_train(
     raw: DataFrame, operator: str, labelled_path: str, models: dict[str, Registered],
-    test_size: float = 0.2, seed: int = 42,
+    test_size: float = 0.2, seed: int = 42, missing: str = "drop", validation_size: float = 0.0,
 ) -> DataFrame:
-    """Label, export the 13 columns, split, train and save; returns points with their split."""
-    labelled = write_out(prepare(raw, operator), "labelled")
+    """Label, export the 13 columns, split, train and save; returns points with their split.
+
+    ``missing`` says what becomes of rows that miss a feature, for all models alike. With a
+    ``validation_size`` that share of the training side is set apart (``validation``) for the
+    choice of a threshold, so that neither test nor training rows decide it.
+    """
+    keyed = prepare(raw, operator).withColumn(S.ROW_KEY, F.monotonically_increasing_id())
+    labelled = write_out(keyed, "labelled")
     write_labelled(labelled, labelled_path)
-    usable = labelled.na.drop(subset=list(S.FEATURES))
-    split = fit_split(usable, S.POINT_ID, S.TARGET, test_size, seed).apply(usable)
+    usable = treat_missing(labelled, missing)
+    split = fit_split(usable, S.POINT_ID, S.TARGET, test_size, seed, row_key=S.ROW_KEY).apply(usable)
+    if validation_size:
+        rest = split.filter(F.col(SPLIT) == TRAIN)
+        second = fit_split(
+            rest, S.POINT_ID, S.TARGET, validation_size, seed + 1, row_key=S.ROW_KEY
+        ).column()
+        part = F.when(second == TEST, VALIDATION).otherwise(TRAIN)
+        split = split.withColumn(SPLIT, F.when(F.col(SPLIT) == TRAIN, part).otherwise(F.col(SPLIT)))
     train_all(split.filter(F.col(SPLIT) == TRAIN), models)
     return split
 
@@ -49,7 +105,7 @@ def predict_all(
     out = {}
     for key, model in models.items():
         scored = score_with(
-            load_model(spark, model.path), test, S.POINT_ID, model.threshold if tuned else None
+            load_model(spark, model.path), test, model.threshold if tuned else None
         )
         out[key] = scored.select(F.col(S.TARGET).alias(M.TRUTH), F.col("prediction").alias(M.PREDICTED))
     return out
@@ -76,6 +132,6 @@ def evaluate(
 def tune_threshold(spark: SparkSession, split: DataFrame, model: Registered, part: str = TEST) -> DataFrame:
     """Baseline and best thresholds of a saved model on one part of the split."""
     rows = split.filter(F.col(SPLIT) == part)
-    scored = score_with(load_model(spark, model.path), rows, S.POINT_ID)
+    scored = score_with(load_model(spark, model.path), rows)
     kept = write_out(scored.select(F.col(S.TARGET).alias("y"), "probabilities"), "scored")
     return T.threshold_summary(kept)

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 # Columns of the raw registry that the pipeline reads (all text).
 POINT_ID = "id_pdc_itinerance"
+ROW_KEY = "row_key"  # ours: tells labelled rows apart whose id is missing or repeated
 STATION_ID = "id_station_itinerance"
 OPERATOR = "nom_operateur"
 GROUP = "consolidated_commune"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,24 +19,41 @@ from gradus.functions.cleaning import (
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, columns: Sequence[str] = tuple(S.RAW_COLUMNS),
+    spark: SparkSession, path: str, columns: Sequence[str] | None = tuple(S.RAW_COLUMNS),
     multiline: bool = False,
 ) -> DataFrame:
     """National CSV as text columns picked by header name; cell texts for "missing" become NULL.
 
     The header is the schema, so extra columns and any column order are fine and there is no
-    inference pass. Keep ``multiline`` off unless quoted line breaks occur: it makes each file
-    one task.
+    inference pass; ``columns=None`` keeps all. All files of a folder must have one header: a
+    file whose header differs fails the job (``read_raw_csvs`` takes such files). Keep
+    ``multiline`` off unless quoted line breaks occur: it makes each file one task.
     """
     raw = (
         spark.read.option("header", True).option("escape", '"').option("encoding", "UTF-8")
-        .option("multiLine", multiline).option("inferSchema", False).csv(path)
+        .option("multiLine", multiline).option("inferSchema", False)
+        .option("enforceSchema", False).csv(path)
     )
-    return raw.select(*[text_or_null(F.col(c)).alias(c) for c in columns])
+    return raw.select(*[text_or_null(F.col(f"`{c}`")).alias(c) for c in columns or raw.columns])
+
+
+def read_raw_csvs(
+    spark: SparkSession, paths: Sequence[str], columns: Sequence[str] | None = tuple(S.RAW_COLUMNS),
+    multiline: bool = False,
+) -> DataFrame:
+    """Several CSV files or folders, each with a header of its own, put together by column name.
+
+    A column that one of them lacks is NULL there.
+    """
+    parts = [read_raw_csv(spark, path, None, multiline) for path in paths]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return raw.select(*columns) if columns else raw
 
 
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.RAW_SCHEMA).parquet(path)
+    """The same registry as Parquet; texts for "missing" become NULL as from CSV."""
+    raw = spark.read.schema(S.RAW_SCHEMA).parquet(path)
+    return raw.select(*[text_or_null(F.col(c)).alias(c) for c in S.RAW_COLUMNS])
 
 
 def keep_operator(points: DataFrame, operator: str, column: str = S.OPERATOR) -> DataFrame:

@@ -65,7 +65,31 @@ def test_macro_below_weighted_when_unbalanced(spark):
 
 def test_confusion_matrix(spark):
     rows = M.confusion_matrix(pairs(spark, [0, 0, 1, 2], [0, 1, 1, 0])).orderBy("truth").collect()
-    assert [tuple(r) for r in rows] == [(0, 1, 1, 0), (1, 0, 1, 0), (2, 1, 0, 0)]
+    assert [tuple(r) for r in rows] == [(0, 1, 1, 0, 0), (1, 0, 1, 0, 0), (2, 1, 0, 0, 0)]
+
+
+def test_confusion_matrix_is_square_and_loses_nothing(spark):
+    rows = spark.createDataFrame(
+        [("a", 0, 2), ("a", 0, 7), ("a", 9, 0), ("b", 1, 1), ("b", None, None)], "m string, y int, p int"
+    )
+    got = M.confusion_matrix(rows, by=["m"]).collect()
+    assert {tuple(r) for r in got} == {
+        ("a", 0, 0, 0, 1, 1), ("a", 1, 0, 0, 0, 0), ("a", 2, 0, 0, 0, 0), ("a", None, 1, 0, 0, 0),
+        ("b", 0, 0, 0, 0, 0), ("b", 1, 0, 1, 0, 0), ("b", 2, 0, 0, 0, 0), ("b", None, 0, 0, 0, 1),
+    }
+
+
+def test_unknown_labels_raise(spark):
+    rows = spark.createDataFrame([(0,), (3,)], "label int")
+    with pytest.raises(Exception, match="label not in the classes: 3"):
+        M.label_shares(rows).collect()
+    assert M.label_shares(rows, labels=(0, 3)).count() == 2
+
+
+def test_checks_count_nan(spark):
+    rows = spark.createDataFrame([(0, float("nan")), (1, None), (2, 1.0)], "label int, x double")
+    got = {r.check_name: r.n_bad for r in M.quality_checks(rows, features=["x"]).collect()}
+    assert got["null_x"] == 2
 
 
 def test_full_report(spark):
@@ -121,6 +145,6 @@ def test_quality(spark):
 
 
 def test_label_shares(spark):
-    df = spark.createDataFrame([(0,), (1,), (1,), (9,), (None,)], "label int")
+    df = spark.createDataFrame([(0,), (1,), (1,)], "label int")
     got = {r["label"]: (r["n"], r["share"]) for r in M.label_shares(df).collect()}
     assert got == {0: (1, 1 / 3), 1: (2, 2 / 3)}

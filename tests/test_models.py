@@ -72,7 +72,7 @@ def test_all_models_beat_the_majority(spark, points):
         sums = scored.agg(F.max(F.abs(F.aggregate("probabilities", F.lit(0.0), lambda s, v: s + v) - 1))).first()[0]
         assert sums < 1e-9
     knn = M.KnnModel.fit(points, "id", FEATURES)
-    assert accuracy(knn.score(points, "id")) > majority + 0.1
+    assert accuracy(knn.score(points)) > majority + 0.1
 
 
 def test_same_seed_same_boosted_predictions(spark, points):
@@ -102,7 +102,7 @@ def test_save_and_load(spark, points, tmp_path):
         model.save(path)
         again = M.load_model(spark, path)
         rows = [
-            M.score_with(m, points.limit(50), "id").orderBy("id").collect() for m in (model, again)
+            M.score_with(m, points.limit(50)).orderBy("id").collect() for m in (model, again)
         ]
         assert len(rows[0]) == 50
         assert [r["probabilities"] for r in rows[0]] == [r["probabilities"] for r in rows[1]]

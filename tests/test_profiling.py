@@ -23,10 +23,10 @@ SERIES = {
 
 
 @pytest.mark.parametrize("name", SERIES)
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_quantiles_match_linear_interpolation(spark, name, small):
-    df = column(spark, [*SERIES[name], None])
-    got = P.exact_quantiles(df, "x", PROBS, small=small, fan_out=8, keep=5)
+@pytest.mark.parametrize("keep", [2, 10_000])
+def test_quantiles_match_linear_interpolation(spark, name, keep):
+    df = column(spark, [*SERIES[name], None, float("nan")])
+    got = P.exact_quantiles(df, "x", PROBS, keep, accuracy=1000)
     with np.errstate(over="ignore"):
         expected = np.quantile(SERIES[name], PROBS)
     if name != "huge":
@@ -39,10 +39,10 @@ def test_quantiles_of_nothing(spark):
     assert P.exact_quantiles(column(spark, [None]), "x", (0.5,)) == [None]
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_describe(spark, small):
+@pytest.mark.parametrize("keep", [2, 10_000])
+def test_describe(spark, keep):
     x = SERIES["third_equal"]
-    row = P.describe(column(spark, [*x, None]), "x", small=small).first()
+    row = P.describe(column(spark, [*x, None, float("nan")]), "x", keep).first()
     q = np.quantile(x, (0.25, 0.5, 0.75))
     assert row["count"] == len(x)
     assert (row["mean"], row["std"]) == pytest.approx((x.mean(), x.std(ddof=1)))
@@ -97,3 +97,27 @@ def test_flag_totals(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, None)], "a double, b double")
     got = {r["name"]: r["total"] for r in P.flag_totals(df, {"a": "A", "b": "B"}).collect()}
     assert got == {"A": 2, "B": 0}
+
+
+def test_heavy_tails_need_few_passes(spark):
+    x = np.exp(np.random.default_rng(4).uniform(-600, 600, 60_000))
+    df = column(spark, x)
+    df.persist().count()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("passes", "quantiles")
+    try:
+        got = P.exact_quantiles(df, "x", (0.25, 0.5, 0.75), keep=500)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        df.unpersist()
+    assert got == pytest.approx(list(np.quantile(x, (0.25, 0.5, 0.75))), rel=1e-12)
+    # A pass is one or two jobs (adaptive execution runs the shuffle of a pass by itself).
+    assert len(jobs.getJobIdsForGroup("passes")) <= 2 * 4 + 2
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, None), (3.0, "c")], "x double, t string")
+    assert {r["column_name"]: r["n_missing"] for r in P.null_profile(df).collect()} == {"x": 2, "t": 1}
+    rows = P.histogram(df, F.col("x"), 2).orderBy("bin").collect()
+    assert [(r["low"], r["high"], r["n"]) for r in rows] == [(1.0, 2.0, 1), (2.0, 3.0, 1)]
+    assert tuple(P.scan_profile(df, ["t"], approximate=True).first()) == (4, 2, 3)

@@ -3,10 +3,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare
+from checks import catalog, compare
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = catalog.QUERIES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
@@ -23,7 +23,8 @@ def test_flagship(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry.oracle_sql()) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -71,7 +71,7 @@ def test_null_labels_and_nothing(spark):
 
 
 def test_balanced_weights(spark):
-    df = frame(spark, {0: 1, 1: 3, 2: 4, 7: 5})
+    df = frame(spark, {0: 1, 1: 3, 2: 4})
     weights = {r["label"]: r["weight"] for r in X.class_weights(df).collect()}
     assert weights == pytest.approx({0: 8 / 3, 1: 8 / 9, 2: 8 / 12})
     rows = X.with_class_weight(df)
@@ -79,6 +79,33 @@ def test_balanced_weights(spark):
     assert rows.agg(F.sum("weight")).first()[0] == pytest.approx(8)
 
 
+def test_labels_outside_the_classes_raise(spark):
+    df = frame(spark, {0: 1, 7: 5})
+    with pytest.raises(Exception, match="label not in the classes: 7"):
+        X.with_class_weight(df).collect()
+    assert X.with_class_weight(df, classes=(0, 7)).count() == 6
+
+
+@pytest.mark.parametrize("ids", ["missing", "repeated", "mixed"])
+def test_rows_without_an_own_id_are_split_by_their_key(spark, ids):
+    def own(i):
+        return {"missing": None, "repeated": f"p{i % 3}", "mixed": None if i % 2 else f"p{i}"}[ids]
+
+    rows = [(own(i), i, i % 3) for i in range(150)]
+    df = spark.createDataFrame(rows, "id string, row_key bigint, label int")
+    split = X.fit_split(df, "id", bucket_rows=10, row_key="row_key").apply(df)
+    assert split.filter("split = 'test'").groupBy("label").count().orderBy("label").collect() == [
+        (0, 10), (1, 10), (2, 10)
+    ]
+    assert split.count() == 150
+    if ids != "repeated":
+        with pytest.raises(ValueError, match="row key"):
+            X.fit_split(df, "id")
+    else:
+        with pytest.raises(ValueError, match="row key"):
+            X.fit_split(df.filter("label = 0 or row_key < 6"), "id")
+
+
 def test_weight_of_absent_class(spark):
     weights = {r["label"]: r["weight"] for r in X.class_weights(frame(spark, {1: 2, 2: 6}), classes=S.LEVELS).collect()}
     assert weights == pytest.approx({1: 2.0, 2: 8 / 12})
