@@ -46,7 +46,7 @@ def mix64(values: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """A dict that computes what it lacks and keeps the last ``limit`` to ``2 * limit`` entries."""
 
-    def __init__(self, compute, limit: int = 400_000, longest: int = 64):
+    def __init__(self, compute, limit: int = 150_000, longest: int = 64):
         super().__init__()
         self.compute, self.limit, self.longest, self.older = compute, limit, longest, {}
 

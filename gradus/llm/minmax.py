@@ -56,7 +56,7 @@ def shingles(text: bytes, words: int, memo: dict[bytes, int]) -> np.ndarray:
 
 
 def word_memo() -> Memo:
-    return Memo(xxhash.xxh3_64_intdigest, 500_000)
+    return Memo(xxhash.xxh3_64_intdigest)
 
 
 def signature(found: np.ndarray) -> np.ndarray:

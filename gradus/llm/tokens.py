@@ -34,7 +34,7 @@ class PieceCounter:
         if any(MARK in piece.lstrip(MARK) for piece in ranks):
             raise ValueError("a piece has a blank mark inside: texts can't be cut at blanks")
         self.ranks = ranks
-        self.memo = Memo(self.merge)
+        self.memo = Memo(self.merge, 400_000)
 
     def merge(self, segment: str) -> int:
         """Symbols less merges for one segment; see the module's text."""

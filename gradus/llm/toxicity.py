@@ -221,7 +221,7 @@ class Model:
         return (value, word) if value else _NOTHING
 
     def weigher(self) -> Memo:
-        return Memo(self.weigh)
+        return Memo(self.weigh, 250_000)
 
 
 _NOTHING = (0.0, "")
