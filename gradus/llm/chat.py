@@ -287,13 +287,23 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
         )
 
     names = ", ".join(f"{k} long" for k in chunk)
-    # Texts stay behind while the matrices are made: only features are needed, but for the order.
-    matrices = chunked.groupBy(*chunk).applyInPandas(measure, f"{names}, matrix array<double>")
+    # Only transcripts of several chunks need matrices; one chunk goes from the start to any end.
+    ends = F.struct("block", "sub", "part")
+    several = chunked.groupBy("conv", "own").agg(F.min(ends).alias("low"), F.max(ends).alias("high"))
+    several = several.where("low != high").select("conv", "own")
+    long_rows = chunked.alias("l").join(
+        several.alias("m"), [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in ("conv", "own")], "left_semi"
+    )
+    matrices = long_rows.groupBy(*chunk).applyInPandas(measure, f"{names}, matrix array<double>")
     between = matrices.groupBy("conv", "own").applyInPandas(connect, f"{names}, before int, last int")
     between = write_out(between, "chat-edges")
     joined = chunked.alias("l").join(
-        between.alias("e"), [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in chunk]
-    ).select("l.*", "e.before", "e.last")
+        between.alias("e"), [F.col(f"l.{k}").eqNullSafe(F.col(f"e.{k}")) for k in chunk], "left"
+    ).select(
+        "l.*",
+        F.coalesce("e.before", F.lit(STATES)).alias("before"),
+        F.coalesce("e.last", F.lit(-1)).alias("last"),
+    )
     schema = "conv_id long, turn long, given string, roles string, n_turns int, rendered string"
     spoken = joined.groupBy(*chunk).applyInPandas(decode, schema)
     silent = rows.where(F.size("codes") == 0).select(
