@@ -22,6 +22,7 @@ from gradus.operators import (
     splitting,
     thresholds,
 )
+from gradus.plans import explore
 from gradus.session import scratch_path, write_out
 from gradus.sources import registry, tables
 
@@ -370,6 +371,26 @@ def flag_totals(spark, sf_dir):
     return profiling.flag_totals(_cleaned(spark, sf_dir), S.PLUG_NAMES)
 
 
+@query(f"""WITH {C.PREDICTIONS} SELECT model_key, CAST(y AS INT) AS truth,
+  {', '.join(f'count(*) FILTER (p = {c}) AS pred_{c}' for c in S.LEVELS)}, 0::BIGINT AS pred_other,
+  CASE y WHEN 0 THEN 'Sous-équipé' WHEN 1 THEN 'Normalement équipé' ELSE 'Bien équipé' END AS "Niveau"
+FROM predictions GROUP BY model_key, y""")
+def report_confusion(spark, sf_dir):
+    """One square per model, through the report run."""
+    return explore.report(_labelled(spark, sf_dir), _predictions(spark, sf_dir))["confusion"]
+
+
+@query(f"""WITH {C.LEVELLED} SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share,
+  {_LEVEL_NAME} AS "Niveau" FROM labelled GROUP BY label""")
+def report_label_shares(spark, sf_dir):
+    return six_digits(explore.report(_labelled(spark, sf_dir))["label_shares"])
+
+
+@query(ORACLES["null_profile"])
+def explore_null_profile(spark, sf_dir):
+    return explore.explore(raw_registry(spark, sf_dir), C.OPERATOR, (2, 3))["null_profile"]
+
+
 def _describe_sql(source: str, column: str) -> str:
     return f"""SELECT count({column}) AS count, round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS std,
   round(min({column})::DOUBLE, 6) AS min, round(quantile_cont({column}, 0.25), 6) AS p25,

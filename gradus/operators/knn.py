@@ -319,7 +319,8 @@ def vote_here(
     names = F.array(*[F.lit(int(c)) for c in classes])
     voted = df.withColumn("probabilities", shares(F.when(complete(vec), vec)))
     winner = F.array_position("probabilities", F.array_max("probabilities"))
-    return voted.withColumn("prediction", names[(winner - 1).cast("int")])
+    chosen = F.try_element_at(names, winner.cast("int"))
+    return voted.withColumn("prediction", F.when(F.col("probabilities").isNotNull(), chosen))
 
 
 def np_array(vectors):

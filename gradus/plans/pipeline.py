@@ -26,6 +26,7 @@ from gradus.operators.models import (
     train_all,
 )
 from gradus.operators.splitting import SPLIT, TEST, TRAIN, VALIDATION, fit_split
+from gradus.plans.explore import report as dashboard
 from gradus.session import write_out
 from gradus.sources.registry import clean_points, keep_operator
 from gradus.sources.tables import write_labelled, write_metrics
@@ -129,6 +130,21 @@ def evaluate(
     return table
 
 
+def report(
+    spark: SparkSession, split: DataFrame, models: dict[str, Registered], threshold_model: str,
+) -> dict[str, DataFrame]:
+    """Tables of the dashboard for saved models: the test rows are scored once per model."""
+    predictions = write_out(
+        M.stack_predictions(predict_all(spark, split.filter(F.col(SPLIT) == TEST), models)), "predictions"
+    )
+    names = {key: (m.name, m.path) for key, m in models.items()}
+    scored = score_with(
+        load_model(spark, models[threshold_model].path), split.filter(F.col(SPLIT) == TEST)
+    )
+    kept = write_out(scored.select(F.col(S.TARGET).alias("y"), "probabilities"), "scored")
+    return dashboard(split, predictions, M.evaluate_models(predictions, names), kept)
+
+
 def tune_threshold(spark: SparkSession, split: DataFrame, model: Registered, part: str = TEST) -> DataFrame:
     """Baseline and best thresholds of a saved model on one part of the split."""
     rows = split.filter(F.col(SPLIT) == part)
