@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import decontaminate, exact_dedup, minmax, mixing, quality
 from gradus.llm.common import table
-from gradus.session import write_out
+from gradus.session import run_folder, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,5 +54,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = write_out(stage(spark, docs, sf_dir), f"corpus-{name}")
+        path = scratch_path(spark, f"corpus-{name}")
+        with run_folder(spark):  # what the stage writes for itself goes with it
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
