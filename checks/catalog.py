@@ -728,6 +728,58 @@ def gbt_predictions(spark, sf_dir):
     )
 
 
+_TEST_ROWS = f"""WITH {C.USABLE}, {C.sql_split('usable', 'id_pdc_itinerance', 'label')}
+SELECT id_pdc_itinerance, label, TRUE AS sums_to_one, TRUE AS by_rule, TRUE AS same_when_loaded
+FROM divided WHERE split = 'test'"""
+
+
+def _checked_rows(spark, model, test, threshold=None):
+    """Every test row with: whether its shares sum to 1, whether the class follows the rule from
+    them, and whether the model scores it alike once saved and loaded."""
+    path = scratch_path(spark, "model")
+    model.save(path)
+    kept = [S.POINT_ID, S.TARGET, "prediction", "probabilities"]
+    first = models.score_with(model, test, threshold).select(*kept)
+    again = models.score_with(models.load_model(spark, path), test, threshold)
+    again = again.select(S.POINT_ID, F.col("probabilities").alias("loaded"))
+    shares = F.col("probabilities")
+    rule = decisions.argmax_class(shares) if threshold is None else decisions.threshold_class(shares, threshold)
+    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+    return first.join(again, S.POINT_ID).select(
+        S.POINT_ID, S.TARGET,
+        (F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        (F.col("prediction") == rule).alias("by_rule"),
+        (shares == F.col("loaded")).alias("same_when_loaded"),
+    )
+
+
+@query(_TEST_ROWS)
+def lr_rows(spark, sf_dir):
+    train, test = _parts(spark, sf_dir)
+    return _checked_rows(spark, models.fit_logistic(train), test)
+
+
+@query(_TEST_ROWS)
+def gbt_rows(spark, sf_dir):
+    train, test = _parts(spark, sf_dir)
+    return _checked_rows(spark, models.fit_boosted(train, rounds=3, depth=3), test, S.CLASS0_THRESHOLD)
+
+
+@query(_TEST_ROWS)
+def knn_rows(spark, sf_dir):
+    train, test = _parts(spark, sf_dir)
+    return _checked_rows(spark, models.KnnModel.fit(train, S.POINT_ID), test)
+
+
+@query(f"""SELECT consolidated_commune, puissance_nominale, TRUE AS sums_to_one
+FROM ({ORACLES["whatif_grid"]}) AS grid""")
+def whatif_rows(spark, sf_dir):
+    train, _ = _parts(spark, sf_dir)
+    scored_grid = models.fit_logistic(train).score(scenarios.whatif_grid(_labelled(spark, sf_dir)))
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, b: a + b)
+    return scored_grid.select(S.GROUP, S.POWER, (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query()
 def feature_importance(spark, sf_dir):
     train, _ = _parts(spark, sf_dir)
