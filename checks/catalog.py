@@ -507,6 +507,24 @@ def level_labels_profile(spark, sf_dir):
     return six_digits(levels.label_groups(sizes, fit, "nb_pdc"))
 
 
+@query(f"WITH {C.SIZES} SELECT count(*) AS n_groups, TRUE AS not_below_the_optimum, TRUE AS in_order FROM sizes")
+def level_kmeans_cost(spark, sf_dir):
+    """MLlib's cost is no lower than the exact optimum (with few distinct sizes all its starts may
+    end some 14 % above it), and larger groups have no lower level."""
+    sizes = _sizes(spark, sf_dir)
+    labelled, cost = levels.kmeans_labels(sizes)
+    best = levels.fit_levels(sizes, (3,))[3].inertia
+    ends = labelled.groupBy(S.TARGET).agg(
+        F.min(levels.SIZE).alias("low"), F.max(levels.SIZE).alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    rows = ends.orderBy(S.TARGET).collect()  # three
+    ordered = all(a["high"] < b["low"] for a, b in zip(rows, rows[1:]))
+    return spark.createDataFrame(
+        [(sum(r["n"] for r in rows), bool(best * 0.999999 <= cost), ordered)],
+        "n_groups bigint, not_below_the_optimum boolean, in_order boolean",
+    )
+
+
 @query()
 def level_labels_kmeans(spark, sf_dir):
     return levels.kmeans_labels(_sizes(spark, sf_dir))[0]

@@ -7,7 +7,7 @@ k rows before anything else happens.
 
 * Few training vectors (counted first, at most ``broadcast_bytes``): they are broadcast as one
   matrix and each query row is answered where it lies.
-* More: training vectors are assigned to the nearest of a fixed number of pivots. The pivot
+* More: training vectors are assigned to the nearest of some pivots, whose number grows with them. The pivot
   distances give each query row a radius that surely holds k neighbours, and lower bounds for
   the rows of every cell; the row goes only to the cells it cannot rule out. Cells with many
   rows on either side are cut into blocks by id hash. A block of bounded size is compared
@@ -28,7 +28,7 @@ from gradus.session import write_out
 
 BROADCAST_BYTES = 8 << 20
 BLOCK_ROWS = 20_000
-PIVOTS = 256
+PIVOTS, MOST_PIVOTS = 256, 4096
 DIGITS = 9
 SAMPLE = 2048  # points from which a block's search radius is taken
 
@@ -108,7 +108,7 @@ def _sides(test, train, features, test_id, train_id, label):
 def knn_join(
     test: DataFrame, train: DataFrame, features: Sequence[str] | str, test_id: str, train_id: str,
     label: str = "label", k: int = 7, broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, prepared: bool = False,
+    block_rows: int = BLOCK_ROWS, pivots: int | None = None, prepared: bool = False,
 ) -> DataFrame:
     """The k nearest training rows of each test row: query_id, rank, train_id, dist2, label.
 
@@ -124,13 +124,16 @@ def knn_join(
     room = broadcast_bytes // (8 * (width + 2))
     if not prepared:
         points = write_out(only_useful(points, ["vec"], "train_id", k), "knn-points")
-    few = points.count() <= room
+    n_points = points.count()
+    few = n_points <= room
     out = _OUT.format(
         q=queries.schema["query_id"].dataType.simpleString(),
         t=points.schema["train_id"].dataType.simpleString(),
     )
     if few:
         return _broadcast_join(queries, points.toPandas(), k, out)
+    if pivots is None:  # about as many cells as rows in a cell, while their matrix stays small
+        pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n_points)))
     found = _partitioned_join(queries, points, k, f"query_key bigint, {out}", block_rows, pivots)
     best = Window.partitionBy("query_key").orderBy("dist2", "train_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(
