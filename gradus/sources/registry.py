@@ -51,9 +51,13 @@ def read_raw_csvs(
 
 
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """The same registry as Parquet; texts for "missing" become NULL as from CSV."""
+    """The same registry as Parquet; texts for "missing" become NULL as from CSV.
+
+    The operator's name alone stays as it is, so that a filter on it reaches the scan.
+    """
     raw = spark.read.schema(S.RAW_SCHEMA).parquet(path)
-    return raw.select(*[text_or_null(F.col(c)).alias(c) for c in S.RAW_COLUMNS])
+    cleaned = {c: text_or_null(F.col(c)) for c in S.RAW_COLUMNS if c != S.OPERATOR}
+    return raw.withColumns(cleaned)
 
 
 def keep_operator(points: DataFrame, operator: str, column: str = S.OPERATOR) -> DataFrame:
