@@ -19,8 +19,17 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % FOLDS == HELD_OUT, F.lit(True))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Whole texts are long: unless the session has a setting of its own, 2,000 rows (not 10,000)
+    make an Arrow batch, which keeps workers and their JVM small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text`` (NULL: empty), whatever else the table holds."""
+    modest_batches(docs.sparkSession)
     return docs.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"),

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import table, texts
+from gradus.llm.common import modest_batches, table, texts
 
 #: Characters in a q-gram, in a window and between windows; edits allowed per character.
 Q, WINDOW, STEP, RATE = 10, 80, 40, 0.075
@@ -296,6 +296,7 @@ def has_passage(benchmark_index, text: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without a passage of any item, all columns as they were."""
+    modest_batches(docs.sparkSession)
     out = docs
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)

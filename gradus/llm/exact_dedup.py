@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import ascii_lower
+from gradus.llm.common import ascii_lower, modest_batches
 from gradus.session import scratch_path, write_out
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -154,6 +154,7 @@ def decide(
     tests of what happens when different texts share one.
     """
     path = path.rstrip("/")
+    modest_batches(spark)
     store = store or scratch_path(spark, "dedup")
     spark.createDataFrame([], f"digest binary, n long, {_KEEP}").write.mode("overwrite").parquet(
         f"{store}/changes/none"

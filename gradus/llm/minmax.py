@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, ascii_lower, mix64, table
+from gradus.llm.common import Memo, ascii_lower, mix64, modest_batches, table
 from gradus.llm.graph import components
 from gradus.session import write_out
 
@@ -283,6 +283,7 @@ def near_duplicates(
     id with unlike texts are one document for the links. An empty table gives an empty one;
     other columns are ignored, whatever their names.
     """
+    modest_batches(docs.sparkSession)
     rows = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_column}`").cast("binary"), F.lit(b"")).alias("text"),

@@ -18,7 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import Memo, held_out, labelled_sample, logistic, platt, table, texts
+from gradus.llm.common import (
+    Memo,
+    held_out,
+    labelled_sample,
+    logistic,
+    modest_batches,
+    platt,
+    table,
+    texts,
+)
 from gradus.session import write_out
 
 #: Labelled rows that are learnt from, at most about so many.
@@ -249,6 +258,7 @@ def accepted(
     docs: DataFrame, model: Model, accept: float = ACCEPT, text_column: str = "text"
 ) -> DataFrame:
     """The rows of ``docs`` whose text the model accepts, all columns as they were."""
+    modest_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
