@@ -8,7 +8,8 @@ Viterbi decoding recovers the roles of all others.
 
 A long transcript is decoded in chunks: the best score from every state before a chunk to every
 state at its end is a small matrix, the chunks' matrices give the states at the edges, and each
-chunk is then decoded between its edges. The path is that of decoding in one go.
+chunk is then decoded between its edges. The path is that of decoding in one go. One task sees a
+transcript's matrices together: some 300 bytes for 512 turns, 6 MB for ten million turns.
 """
 
 from __future__ import annotations

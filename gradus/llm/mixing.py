@@ -138,7 +138,10 @@ def mix(
             )
         ),
     ).select(*[docs[f"`{c}`"] for c in docs.columns], copy, copies, order)
-    return out.repartition(F.col(order)).sortWithinPartitions(order)
+    # Rows without an identifier share their keys; a hash of the row spreads them.
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    spread = F.when(F.col(f"`{id_column}`").isNull(), F.xxhash64(*hashed)).otherwise(F.lit(0))
+    return out.repartition(F.col(order), spread).sortWithinPartitions(order)
 
 
 def free_name(docs: DataFrame, name: str) -> str:
