@@ -1,11 +1,11 @@
 """Toxicity of texts whose words may be disguised.
 
 A noisy channel turns a written word into what is read: letters become look-alikes, are repeated
-or spaced apart. What may be disguised (a look-alike beside letters, a letter three times or
-more, single characters in a row) spans a lattice of readings; Viterbi decoding takes the
-reading that a character trigram model of the whole corpus and the channel make likeliest. A
-word without such marks has one reading, itself, and is not decoded. The restored words are
-scored by log-odds of words and word beginnings learnt from labelled rows.
+or spaced apart. What may be disguised (a look-alike beside letters, a letter twice or more,
+short tokens in a row, whose blanks may be none) spans a lattice of readings; Viterbi decoding
+takes the reading that a character trigram model of the whole corpus and the channel make
+likeliest. A word without such marks has one reading, itself, and is not decoded. The restored
+words are scored by log-odds of words and word beginnings learnt from labelled rows.
 """
 
 from __future__ import annotations
@@ -48,18 +48,22 @@ ALPHABET = " " + LETTERS + "0123456789"
 OTHER = len(ALPHABET)
 RADIX = 80
 #: Log-probabilities of the channel: a character as it is, one that is a look-alike by its kind
-#: but stands for itself beside letters, one that stands for a letter, a dropped repetition.
+#: but stands for itself beside letters, one that stands for a letter, a dropped repetition; of a
+#: letter written twice that is one; of a blank between short tokens that is one, or none.
 AS_IS, ITSELF, ALIKE, DROPPED = math.log(0.9), math.log(0.1), math.log(0.3), math.log(0.2)
+DOUBLED, KEPT, CLOSED = math.log(0.01), math.log(0.85), math.log(0.15)
+#: Characters of a token, at most, that may be a piece of a spaced word.
+SHORT = 3
 
 _MARKS = "".join(LOOK_ALIKES)
-_SUSPECT = re.compile(rf"[{re.escape(_MARKS)}]|(.)\1\1")
+_SUSPECT = re.compile(rf"[{re.escape(_MARKS)}]|(.)\1")
 _LETTER = re.compile(r"[^\W\d_]")
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
 _TAIL = re.compile(r"([^\w])\1+$|[.,;:?\"')\]}…»]+$")
 _HEAD = re.compile(r"^[\"'(\[{«¿.,;:]+")
 _JOINED = re.compile(r"^\w(?:[.\-_*·~/]+\w){2,}$")
-_TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+_PIECE = re.compile(rf"[\w{re.escape(_MARKS)}]{{1,{SHORT}}}")
 
 
 def symbol_table() -> np.ndarray:
@@ -128,9 +132,9 @@ class Channel:
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
         return cls(np.log(p3).astype(np.float32))
 
-    def decode(self, written: str) -> str:
-        """The likeliest reading of a word; the first of equals in the lattice's order."""
-        steps = []  # one list of (reading, channel log-probability) per run of a character
+    def lattice(self, written: str) -> list[list[tuple[str, float]]]:
+        """One list of (reading, channel log-probability) per run of a character."""
+        steps = []
         i = 0
         while i < len(written):
             c, j = written[i], i
@@ -142,6 +146,8 @@ class Channel:
                 each = ALIKE if letter != c else ITSELF if c in LOOK_ALIKES else AS_IS
                 if run <= 2:
                     options.append((letter * run, each * run))
+                    if run == 2:
+                        options.append((letter, each + DOUBLED))
                 else:
                     options += [(letter, each + DROPPED), (letter * 2, 2 * each + DROPPED)]
             if run > 2 and c in LOOK_ALIKES:
@@ -151,11 +157,21 @@ class Channel:
                 options.append(("", ALIKE * run + DROPPED))  # one letter repeated in two guises
             steps.append(options)
             i = j
+        return steps
+
+    def decode(self, written: str) -> str:
+        """The likeliest reading of a word, or of a row of short tokens, each of whose blanks is
+        one or none; the first of equals in the lattice's order."""
+        steps: list[list[tuple[str, float]]] = []
+        for piece in written.split(" "):
+            if steps:
+                steps.append([(" ", KEPT), ("", CLOSED)])
+            steps += self.lattice(piece)
         numbers, logs = self.numbers, self.table
-        best = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in steps:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, path) in best.items():
                 for reading, cost in options:
                     x, y, total = a, b, score + cost
                     for c in reading:
@@ -163,16 +179,23 @@ class Channel:
                         total += logs[x, y, z]
                         x, y = y, z
                     if (x, y) not in new or total > new[x, y][0]:
-                        new[x, y] = (total, text + reading)
+                        new[x, y] = (total, (path, reading))
             best = new
-        ends = ((score + logs[a, b, 0], text) for (a, b), (score, text) in best.items())
-        return max(ends, key=lambda end: end[0])[1]
+        ends = ((score + logs[a, b, 0], path) for (a, b), (score, path) in best.items())
+        path, readings = max(ends, key=lambda end: end[0])[1], []
+        while path:  # a chain, as a row may be as long as its text
+            path, reading = path
+            readings.append(reading)
+        return "".join(reversed(readings))
 
     def restore(self, token: str) -> str:
-        """A token (lower case) as it is read; punctuation around it goes."""
+        """A token (lower case) as it is read, punctuation around it gone; of a row of short
+        tokens the words that it is read as, with blanks between them."""
+        if " " in token:
+            return " ".join(_ENDS.sub("", word) for word in self.decode(token).split())
         if _JOINED.match(token) and _LETTER.search(token):
             token = re.sub(r"[.\-_*·~/]+", "", token)
-        if token.isalpha() and not _TRIPLE.search(token):
+        if token.isalpha() and not _DOUBLE.search(token):
             return token
         word = _HEAD.sub("", _TAIL.sub("", token))
         if _SUSPECT.search(word) and _LETTER.search(word):
@@ -186,21 +209,26 @@ def features(word: str) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct tokens of a text in lower case, rows of single characters joined as well."""
-    low = text.lower()
-    found = set(low.split())
-    for row in _SPACED.findall(low):
-        joined = row.replace(" ", "").replace("\t", "")
-        if len(set(joined)) > 2:
+    """The distinct tokens of a text in lower case, and its rows of short ones with a blank
+    between them, whatever blanks the text has there."""
+    parts = text.lower().split()
+    found = set(parts)
+    row: list[str] = []
+    for part in [*parts, ""]:
+        if part and len(part) <= SHORT + 2:
+            piece = part if part.isalnum() else _HEAD.sub("", _TAIL.sub("", part))
+            if _PIECE.fullmatch(piece):
+                row.append(piece)
+                continue
+        if len(row) > 1 and _LETTER.search(joined := " ".join(row)):
             found.add(joined)
+        row = []
     return found
 
 
 def read(text: str, restored: dict[str, str]) -> set[str]:
-    """The words that a text is read as: its tokens restored."""
-    words = {restored[token] for token in tokens(text)}
-    words.discard("")
-    return words
+    """The words that a text is read as: its tokens and rows restored."""
+    return {word for token in tokens(text) for word in restored[token].split()}
 
 
 @dataclass
@@ -209,27 +237,38 @@ class Model:
     odds: dict[str, float]
     curve: tuple[float, float]
 
+    def __post_init__(self) -> None:
+        #: What a word with evidence begins with: four characters, or all of a shorter one.
+        self.heads = {f[:4] for f in self.odds}
+
     def strongest(self, word: str) -> float:
         """Evidence of a restored word: the highest log-odds of its features, 0 at least."""
         odds = self.odds
         return max((odds.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def weigh(self, token: str) -> tuple[float, str]:
-        """Evidence of a token and the word that it is read as; the word only where it counts."""
-        word = self.channel.restore(token)
-        value = self.strongest(word)
-        return (value, word) if value else _NOTHING
+    def hopeless(self, row: str) -> bool:
+        """Whether no reading of a row has evidence, as none of its words begins like one that
+        has; never where a character itself may be read in several ways."""
+        letters = row.replace(" ", "")
+        if not letters.isalpha() or _DOUBLE.search(row):
+            return False
+        ends = range(len(letters))
+        return self.heads.isdisjoint(letters[i : i + n] for n in range(1, 5) for i in ends)
+
+    def weigh(self, token: str) -> tuple[tuple[float, str], ...]:
+        """Evidence of the words that a token or row is read as, and the words where it counts."""
+        if " " in token and self.hopeless(token):
+            return ()
+        words = self.channel.restore(token).split()
+        return tuple((value, word) for word in words if (value := self.strongest(word)))
 
     def weigher(self) -> Memo:
         return Memo(self.weigh, 250_000)
 
 
-_NOTHING = (0.0, "")
-
-
 def evidence(text: str, weigher: Memo) -> float:
     """The strongest word counts whole, each next one ``DECAY`` times as much as before."""
-    found = sorted({weigher[token] for token in tokens(text)}, reverse=True)[:20]
+    found = sorted({pair for token in tokens(text) for pair in weigher[token]}, reverse=True)[:20]
     return sum(value * DECAY**i for i, (value, _) in enumerate(found))
 
 

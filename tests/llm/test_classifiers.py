@@ -174,3 +174,25 @@ def test_memo_keeps_within_its_limit():
     memo = Memo(lambda key: calls.append(key) or len(key), limit=3)
     assert [memo[k] for k in ["a", "bb", "a", "ccc", "dddd", "a"]] == [1, 2, 1, 3, 4, 1]
     assert calls.count("a") == 1 and len(memo) + len(memo.older) <= 6
+
+
+def test_spaced_and_doubled_words_are_decoded_in_the_lattice(spark):
+    rows = [(i, "you are an idiot . a stupid idiot and you are dumb . it is a river") for i in range(40)]
+    channel = toxicity.Channel.learn(toxicity.trigram_counts(documents(spark, rows)).toPandas())
+    model = toxicity.Model(channel, {w: 5.0 for w in ("idiot", "stupid", "dumb")}, (1.0, -4.0))
+    for text, words in [
+        ("you are a i d i o t", {"idiot"}),  # a one-letter word beside the spaced one
+        ("y o u a r e d u m b", {"dumb"}),  # several spaced words
+        ("s t u p i d i d i o t", {"stupid", "idiot"}),
+        ("what an id iot .", {"idiot"}),
+        ("so st u pid", {"stupid"}),
+        ("i  d\ni\t\to t", {"idiot"}),
+        ("iddiioott", {"idiot"}),
+        ("1 d i 0 t!", {"idiot"}),
+        ("it is a river and you are", set()),
+    ]:
+        weigher = model.weigher()
+        assert {word for token in toxicity.tokens(text) for _, word in weigher[token]} == words, text
+        assert words <= toxicity.read(text, Memo(channel.restore)), text
+    assert channel.decode("y o u a r e d u m b") == "you are dumb"
+    assert channel.decode("it is a") == "it is a"
