@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import Memo, ascii_lower, mix64, modest_batches, table
@@ -84,7 +84,8 @@ def buckets(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n_shingles, node, buckets``; node is a digest of the set, NULL for an empty one."""
+    """``doc_id, digest, n_shingles, node, buckets`` of ``doc_id, text, digest`` rows; node is a
+    digest of the set, NULL for an empty one."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = word_memo()
@@ -93,6 +94,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
+                    "digest": batch["digest"],
                     "n_shingles": [len(x) for x in sets],
                     "node": [_digest(x) if len(x) else None for x in sets],
                     "buckets": [buckets(x) if len(x) else [] for x in sets],
@@ -100,7 +102,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             )
 
     return docs.mapInPandas(
-        sketch, "doc_id long, n_shingles long, node binary, buckets array<long>"
+        sketch, "doc_id long, digest long, n_shingles long, node binary, buckets array<long>"
     )
 
 
@@ -268,73 +270,95 @@ def bucket_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return first.unionByName(write_out(second.distinct(), "near-second"))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = WORDS,
-    percent: int = PERCENT,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+def _text_digest(docs: DataFrame, text_column: str) -> Column:
+    text = F.coalesce(docs[f"`{text_column}`"].cast("binary"), F.lit(b""))
+    return F.xxhash64(text)
 
-    Rows are linked if 100 times the shared shingles are at least ``percent`` times all of
-    either; ``component_id`` is the smallest id that links reach. A text without words (NULL
-    included) links with nothing, nor does a row without id, which is kept. Rows that repeat an
-    id with unlike texts are one document for the links. An empty table gives an empty one;
-    other columns are ignored, whatever their names.
-    """
+
+def _marked(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, digest, n_shingles, component_id, kept`` of every row of ``docs``; rows of one
+    id are told apart by ``digest``, that of their text."""
     modest_batches(docs.sparkSession)
     rows = docs.select(
         F.col(f"`{id_column}`").cast("long").alias("doc_id"),
         F.coalesce(F.col(f"`{text_column}`").cast("binary"), F.lit(b"")).alias("text"),
+        _text_digest(docs, text_column).alias("digest"),
     )
     drawn = write_out(sketches(rows, words), "near-sketches")
     named = drawn.where("node is not null and doc_id is not null")
+    # Classes go by a hash of their own in links: their smallest ids may be the same.
     classes = write_out(
         named.groupBy("node").agg(
-            F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")
-        ),
+            F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")
+        ).withColumn("rep", F.xxhash64("node")),
         "near-classes",
     )
     # One row of each class keeps its buckets; the join is on a key that no class repeats.
-    reps = named.join(
-        classes.select("node", F.col("rep").alias("doc_id"), "n"), ["node", "doc_id"]
+    reps = named.drop("digest", "n_shingles").join(
+        classes.select("node", F.col("first").alias("doc_id"), "rep", "n"), ["node", "doc_id"]
     ).dropDuplicates(["node"])
-    spread = reps.select(
-        F.explode("buckets").alias("bucket"), "node", F.col("doc_id").alias("rep"), "n"
-    )
+    spread = reps.select(F.explode("buckets").alias("bucket"), "node", "rep", "n")
     # Buckets of the same members (by two sums of hashes) are one bucket.
     same = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size"), *same).where("size > 1")
     shared = shared.groupBy("size", "x0", "x1").agg(F.min("bucket").alias("bucket"))
     members = write_out(spread.join(shared.select("bucket", "size"), "bucket"), "near-buckets")
-    nodes = write_out(members.select("node", "rep").distinct(), "near-nodes")
-    sets = write_out(full_sets(rows, nodes, words).dropDuplicates(["node"]), "near-sets")
+    nodes = members.select("node").distinct().join(classes.select("node", F.col("first").alias("rep")), "node")
+    nodes = write_out(nodes, "near-nodes")
+    sets = write_out(full_sets(rows.drop("digest"), nodes, words).dropDuplicates(["node"]), "near-sets")
     links = bucket_links(members, sets, percent)
     roots = write_out(components(links), "near-components")
-    known = _labelled(classes, roots).select("node", F.col("comp").alias("component_id"))
-    known = write_out(known.join(classes.select("node", "rep", "copies"), "node").where("copies > 1 or component_id != rep").select("node", "component_id"), "near-known")
+    # A component is kept as its class with the smallest id, of these the one with the least node.
+    linked = write_out(_labelled(classes, roots), "near-linked")
+    keeper = linked.groupBy("comp").agg(F.min(F.struct("first", "node")).alias("keeper"))
+    known = linked.join(keeper, "comp").select(
+        "node",
+        F.col("keeper.first").alias("component_id"),
+        (F.col("keeper.node") == F.col("node")).alias("head"),
+        "copies",
+    )
+    known = write_out(known.where("copies > 1 or not head").drop("copies"), "near-known")
     out = drawn.join(known, "node", "left")
-    linked = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
-    component = F.when(linked, F.col("component_id")).otherwise(F.col("doc_id"))
+    linked_row = F.col("doc_id").isNotNull() & F.col("component_id").isNotNull()
+    component = F.when(linked_row, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
+        "digest",
         "n_shingles",
         component.alias("component_id"),
-        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        (component.eqNullSafe(F.col("doc_id")) & (~linked_row | F.col("head"))).alias("kept"),
     )
 
 
+def near_duplicates(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+
+    Rows are linked if 100 times the shared shingles are at least ``percent`` times all of
+    either; ``component_id`` is the smallest id that links reach. A text without words (NULL
+    included) links with nothing, nor does a row without id, which is kept. Rows that repeat an
+    id with unlike texts are documents of their own: the id links nothing, and of several in one
+    component one is kept. An empty table gives an empty one; other columns are ignored,
+    whatever their names.
+    """
+    return _marked(docs, words, percent, id_column, text_column).drop("digest")
+
+
 def deduplicate(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id; all columns
     as they were."""
-    found = near_duplicates(docs, words, percent, id_column, text_column)
-    dropped = write_out(found.where("not kept").select("doc_id").distinct(), "near-dropped")
-    # A list that is large by its written size makes this a shuffle of ids that don't repeat.
+    found = _marked(docs, words, percent, id_column, text_column)
+    dropped = write_out(found.where("not kept").select("doc_id", "digest").distinct(), "near-dropped")
+    # A list that is large by its written size makes this a shuffle of rows that don't repeat.
     key = docs[f"`{id_column}`"].cast("long") == dropped["doc_id"]
-    return docs.join(dropped, key, "left_anti")
+    return docs.join(dropped, key & (_text_digest(docs, text_column) == dropped["digest"]), "left_anti")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

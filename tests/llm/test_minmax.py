@@ -72,3 +72,17 @@ def test_graph_components(spark):
     assert {got[i] for link in links for i in link if i >= 500} == {500}
     assert len(got) == len({i for link in links for i in link})
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_an_id_repeated_with_unlike_texts(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    alone = [" ".join(x) for x in (a, b, c)]
+    near = [" ".join([*x[:-1], "end"]) for x in (a, b, c)]
+    rows = [(3, alone[0]), (7, alone[0]), (7, alone[1]), (9, near[1]), (5, near[2]), (7, alone[2])]
+    rows += [(20, " ".join(a[:20] + b[:20])), (20, " ".join(a[:20] + b[:19] + ["end"]))]
+    docs = documents(spark, rows)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs, 1).collect()}
+    assert got >= {(3, 40, 3, True), (7, 40, 3, False), (7, 40, 7, True), (9, 40, 7, False), (5, 40, 5, True), (7, 40, 5, False)}
+    left = [(r.doc_id, r.text) for r in deduplicate(docs, 1).collect()]
+    assert sorted(left[i] for i in range(len(left)) if left[i][0] != 20) == sorted([rows[0], rows[2], rows[4]])
+    assert sum(doc_id == 20 for doc_id, _ in left) == 1
