@@ -3,8 +3,9 @@
 Everything is DataFrame functions. One model is of random strings, the values that the patterns
 find; the other is of ordinary identifiers, the long runs of letters or of digits that they
 leave. Each distinct string
-of either label counts once. A run with a letter and a digit that no pattern covers is a secret
-if its log-likelihood ratio under the two models is high enough.
+of either label counts once. A run that no pattern covers is a secret if its log-likelihood
+ratio under the two models is high enough. What looks like a secret among the ordinary samples
+is left out when the models are fitted for the second time.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import table, texts
+from gradus.session import write_out
 
 # The patterns of the base kinds, in order, and their least lengths.
 ASSIGN = (
@@ -111,9 +113,14 @@ def _without_base(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, ACCESS, " "), f"{HEX[:-1]}{{{LEAST['hex']},}}", " ")
 
 
-def _state(string: Column, i: Column) -> Column:
-    """Number of a string's i-th character, 0 where the alphabet lacks it."""
-    return F.instr(F.lit(ALPHABET), F.substring(string, i, F.lit(1)))
+def _state(character: Column) -> Column:
+    """Number of a character, 0 where the alphabet lacks it."""
+    return F.instr(F.lit(ALPHABET), character)
+
+
+def _characters(string: Column) -> Column:
+    """All characters at once; one substring for each walks the string every time."""
+    return F.filter(F.split(string, ""), lambda c: c != "")
 
 
 def _mixed(run: Column) -> Column:
@@ -138,16 +145,19 @@ def samples(docs: DataFrame) -> DataFrame:
 
 def transitions(strings: DataFrame) -> DataFrame:
     """``a, b, random, n``: how often a character follows another (or nothing) under either label."""
-    steps = F.transform(
-        F.sequence(F.lit(1), F.length("value")),
-        lambda i: F.struct(
-            F.when(i == 1, 0).otherwise(_state(F.col("value"), i - 1)).alias("a"),
-            _state(F.col("value"), i).alias("b"),
+    states = F.transform(_characters(F.col("value")), _state)
+    steps = let(
+        states,
+        lambda found: F.zip_with(
+            F.concat(F.array(F.lit(0)), found),
+            F.concat(found, F.array(F.lit(-1))),
+            lambda a, b: F.struct(a.alias("a"), b.alias("b")),
         ),
     )
     return (
         strings.where(F.length("value") > 0)
         .select("random", F.explode(steps).alias("t"))
+        .where("t.b >= 0")  # nothing follows the last one
         .groupBy("t.a", "t.b", "random")
         .agg(F.count("*").alias("n"))
     )
@@ -169,34 +179,51 @@ def _probabilities(counts: dict[tuple[int, int], int]) -> list[float]:
     ]
 
 
-def log_ratios(docs: DataFrame) -> list[float]:
-    """Log-likelihood ratio of each transition, random to ordinary, by number of both states.
+def _fit(strings: DataFrame, spared: int = 0) -> list[float] | None:
+    """Log-likelihood ratio of each transition; None without samples of both labels.
 
-    The driver gets the counts of transitions: twice the square of the alphabet at most. Without
-    samples of both labels every ratio is 0 and nothing is added.
+    ``spared`` ordinary observations of each transition count nothing: with one, a sample isn't
+    held against itself.
     """
     counts: dict[bool, dict[tuple[int, int], int]] = {}
-    for row in transitions(samples(docs)).collect():
-        counts.setdefault(row["random"], {})[row["a"], row["b"]] = row["n"]
+    for row in transitions(strings).collect():
+        n = row["n"] if row["random"] else max(0, row["n"] - spared)
+        counts.setdefault(row["random"], {})[row["a"], row["b"]] = n
     if len(counts) < 2:
-        return [0.0] * (_STATES * _STATES)
+        return None
     both = zip(_probabilities(counts[True]), _probabilities(counts[False]), strict=True)
     return [math.log(p / q) for p, q in both]
 
 
+def log_ratios(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> list[float]:
+    """Log-likelihood ratio of each transition, random to ordinary, by number of both states.
+
+    Ordinary samples that are secrets under a first fit are left out of the second. The driver
+    gets the counts of transitions: twice the square of the alphabet at most. Without samples of
+    both labels every ratio is 0 and nothing is added.
+    """
+    strings = write_out(samples(docs), "secret-samples")
+    first = _fit(strings, spared=1)
+    if first is None:
+        return [0.0] * (_STATES * _STATES)
+    ratios = F.array(*[F.lit(x) for x in first])
+    plain = F.col("random") | (likelihood_ratio(F.col("value"), ratios) < least_ratio)
+    return _fit(strings.where(plain)) or _fit(strings)
+
+
 def likelihood_ratio(string: Column, ratios: Column) -> Column:
     start = F.struct(F.lit(0).alias("state"), F.lit(0.0).alias("total"))
 
-    def step(at: Column, i: Column) -> Column:
+    def step(at: Column, character: Column) -> Column:
         return let(
-            _state(string, i),
+            _state(character),
             lambda now: F.struct(
                 now.alias("state"),
                 (at["total"] + F.element_at(ratios, at["state"] * _STATES + now + 1)).alias("total"),
             ),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda at: at["total"])
+    return F.aggregate(_characters(string), start, step, lambda at: at["total"])
 
 
 def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: str) -> DataFrame:
@@ -207,14 +234,13 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: s
     for the spans, no text is shuffled. A NULL or empty text has none; a NULL id stays; repeated
     rows give repeated results; an empty table an empty one; other columns are ignored.
     """
-    ratios = F.array(*[F.lit(x) for x in log_ratios(docs)])
+    ratios = F.array(*[F.lit(x) for x in log_ratios(docs, least_ratio)])
     pattern = run_pattern(CANDIDATE)
 
     def added(text: Column, base: Column) -> Column:
         runs = F.filter(
             matches(text, pattern, 3),
-            lambda run: _mixed(run["value"])
-            & ~F.exists(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+            lambda run: ~F.exists(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
             & (likelihood_ratio(run["value"], ratios) >= least_ratio),
         )
         return F.coalesce(F.when(text.rlike(pattern), runs), _none())

@@ -96,3 +96,12 @@ def test_likelihood_ratio_adds_up(spark):
         S.likelihood_ratio(F.col("s"), F.array(*[F.lit(x) for x in ratios])).alias("x")
     )
     assert row.first().x == want
+
+
+def test_strings_of_letters_alone_are_scored(spark):
+    draw = random.Random(12)
+    letters = ["".join(draw.choices(S.ALPHABET[:52], k=k)) for k in (20, 32, 48)]
+    rows = corpus() + [(20 + i, f"use {key} here") for i, key in enumerate(letters)]
+    found = {r.doc_id: [s.value for s in r.added] for r in S.find_secrets(documents(spark, rows)).collect()}
+    assert [found[20 + i] for i in range(len(letters))] == [[key] for key in letters]
+    assert found[15] == [] and not any(values for doc_id, values in found.items() if doc_id >= 100)
