@@ -3,8 +3,8 @@
 Everything is DataFrame functions. One model is of random strings, the values that the patterns
 find; the other is of ordinary identifiers, the long runs of letters or of digits that they
 leave. Each distinct string
-of either label counts once. A run that no pattern covers is a secret if its log-likelihood
-ratio under the two models is high enough. What looks like a secret among the ordinary samples
+of either label counts once. What no pattern covers of a run is a secret if its log-likelihood
+ratio under the two models is high enough, or else each stretch of it whose ratio is. What looks like a secret among the ordinary samples
 is left out when the models are fitted for the second time.
 """
 
@@ -226,11 +226,106 @@ def likelihood_ratio(string: Column, ratios: Column) -> Column:
     return F.aggregate(_characters(string), start, step, lambda at: at["total"])
 
 
+def uncovered(run: Column, base: Column) -> Column:
+    """The parts of a run (a span) that no base span covers, of the least length."""
+    start = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("parts"))
+
+    def part(begin: Column, end: Column) -> Column:
+        value = F.substring(run["value"], begin - run["start"] + 1, end - begin)
+        span = F.struct(
+            begin.alias("start"), run["kind"].alias("kind"), end.alias("end"), value.alias("value")
+        )
+        return F.when(end - begin >= CANDIDATE, F.array(span)).otherwise(F.array()).cast(_SPAN)
+
+    def step(state: Column, b: Column) -> Column:
+        return F.struct(
+            F.greatest(state["at"], b["end"]).alias("at"),
+            F.concat(state["parts"], part(state["at"], b["start"])).alias("parts"),
+        )
+
+    touching = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    return F.aggregate(
+        touching, start, step, lambda state: F.concat(state["parts"], part(state["at"], run["end"]))
+    )
+
+
+def stretches(string: Column, ratios: Column, least_ratio: float) -> Column:
+    """``begin, until`` of the stretches whose ratio is high enough, or of all of the string if its
+    whole ratio is.
+
+    A running sum that restarts where it is 0, or has fallen from its peak by the least ratio.
+    """
+    none = F.array().cast("array<struct<begin:int,until:int>>")
+    start = F.struct(
+        F.lit(0).alias("state"),
+        F.lit(0).alias("i"),
+        F.lit(0.0).alias("whole"),
+        F.lit(0.0).alias("total"),
+        F.lit(0.0).alias("peak"),
+        F.lit(0).alias("begin"),
+        F.lit(0).alias("until"),
+        none.alias("found"),
+    )
+
+    def closed(at: Column) -> Column:
+        one = F.array(F.struct(at["begin"].alias("begin"), at["until"].alias("until")))
+        return F.when(at["peak"] >= least_ratio, F.concat(at["found"], one)).otherwise(at["found"])
+
+    def step(at: Column, character: Column) -> Column:
+        def after(now: Column) -> Column:
+            i, total = at["i"] + 1, at["total"] + now["ratio"]
+            ends = (total <= 0) | (total <= at["peak"] - least_ratio)
+            rises = total > at["peak"]
+            return F.struct(
+                now["state"].alias("state"),
+                i.alias("i"),
+                (at["whole"] + now["ratio"]).alias("whole"),
+                F.when(ends, 0.0).otherwise(total).alias("total"),
+                F.when(ends, 0.0).when(rises, total).otherwise(at["peak"]).alias("peak"),
+                F.when(ends, i).otherwise(at["begin"]).alias("begin"),
+                F.when(ends | rises, i).otherwise(at["until"]).alias("until"),
+                F.when(ends, closed(at)).otherwise(at["found"]).alias("found"),
+            )
+
+        def scored(state: Column) -> Column:
+            ratio = F.element_at(ratios, at["state"] * _STATES + state + 1)
+            return F.struct(state.alias("state"), ratio.alias("ratio"))
+
+        return let(let(_state(character), scored), after)
+
+    all_of_it = F.array(F.struct(F.lit(0).alias("begin"), F.length(string).alias("until")))
+    return F.aggregate(
+        _characters(string),
+        start,
+        step,
+        lambda at: F.when(at["whole"] >= least_ratio, all_of_it).otherwise(closed(at)),
+    )
+
+
+def secret_parts(run: Column, ratios: Column, least_ratio: float) -> Column:
+    """Spans of a run's stretches, each grown to the next character that is no letter or digit."""
+
+    def grown(s: Column) -> Column:
+        head = F.substring(run["value"], F.lit(1), s["begin"])
+        tail = F.substring(run["value"], s["until"] + 1, F.length(run["value"]))
+        begin = s["begin"] - F.length(F.regexp_extract(head, "[A-Za-z0-9]*$", 0))
+        until = s["until"] + F.length(F.regexp_extract(tail, "^[A-Za-z0-9]*", 0))
+        return F.struct(
+            (run["start"] + begin).alias("start"),
+            run["kind"].alias("kind"),
+            (run["start"] + until).alias("end"),
+            F.substring(run["value"], begin + 1, until - begin).alias("value"),
+        )
+
+    spans = F.transform(stretches(run["value"], ratios, least_ratio), grown)
+    return F.array_distinct(F.filter(spans, lambda s: s["end"] - s["start"] >= CANDIDATE))
+
+
 def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: str) -> DataFrame:
     """``doc_id, base, added`` for every row: arrays of ``start, kind, end, value``.
 
     ``kind`` is the number in ``KINDS``; places are code points, ends exclusive; arrays are in
-    order of start. ``added`` has runs that no base span overlaps. One pass for the models, one
+    order of start. ``added`` has the parts of runs that are secrets and that no base span covers. One pass for the models, one
     for the spans, no text is shuffled. A NULL or empty text has none; a NULL id stays; repeated
     rows give repeated results; an empty table an empty one; other columns are ignored.
     """
@@ -238,11 +333,8 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: s
     pattern = run_pattern(CANDIDATE)
 
     def added(text: Column, base: Column) -> Column:
-        runs = F.filter(
-            matches(text, pattern, 3),
-            lambda run: ~F.exists(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-            & (likelihood_ratio(run["value"], ratios) >= least_ratio),
-        )
+        parts = F.flatten(F.transform(matches(text, pattern, 3), lambda run: uncovered(run, base)))
+        runs = F.flatten(F.transform(parts, lambda part: secret_parts(part, ratios, least_ratio)))
         return F.coalesce(F.when(text.rlike(pattern), runs), _none())
 
     rows = texts(docs, **columns)
