@@ -10,6 +10,7 @@ from gradus.llm import (
     chat,
     decontaminate,
     exact_dedup,
+    fill_middle,
     minmax,
     mixing,
     quality,
@@ -30,9 +31,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_near_dedup": minmax.op10_near_dedup,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_source_mix": mixing.OP1_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op11_fill_in_middle": fill_middle.OP11_SQL,
 }
