@@ -15,6 +15,7 @@ from gradus.llm import (
     mixing,
     quality,
     secrets,
+    spelling,
     tokens,
     toxicity,
     warc,
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_near_dedup": minmax.op10_near_dedup,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
