@@ -15,6 +15,7 @@ from gradus.llm import (
     mixing,
     quality,
     secrets,
+    shards,
     spelling,
     tokens,
     toxicity,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": minmax.op10_near_dedup,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_sharding": shards.op13_sharding,
 }
 
 ORACLES: dict[str, str] = {
