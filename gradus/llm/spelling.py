@@ -3,8 +3,8 @@
 Two words of a vocabulary are near if one inserted, deleted or replaced code point tells them
 apart. Every word's deletions and replacements are generated as hashes only: a word's hash is a
 sum over its code points, so an edit's hash is that sum with one term changed. The hashes are
-probed against blocked Bloom filters, one or more for each word length, which are broadcast. What
-a filter lets through (the near words and about one false edit per word) is written out as text,
+probed against blocked Bloom filters, one for each word length, made in segments by as many tasks
+and broadcast. What a filter lets through (the near words and about one false edit per word) is written out as text,
 shuffled and joined with the vocabulary exactly, which removes what is false.
 
 Insertions need no probe: they are the deletions of the other word. Of two words that differ by a
@@ -38,8 +38,8 @@ FORM_RATIO = 10
 SLIP = 31
 
 BITS_PER_WORD, BLOCK_BITS, PROBES = 16, 512, 6
-#: Words of a filter's shard at most, about; and bytes of the filters broadcast at once.
-SHARD_WORDS, ROUND_BYTES = 250_000, 64 << 20
+#: Words of a filter's segment and of a generating task, about; bytes of the filters broadcast at once.
+SEGMENT_WORDS, TASK_WORDS, ROUND_BYTES = 16_384, 20_000, 64 << 20
 #: Edits that a task holds at once.
 CELLS = 1_000_000
 
@@ -111,9 +111,8 @@ def _slots(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, list[np.ndarray
     return block, [(more >> np.uint64(9 * j)) & mask for j in range(PROBES)]
 
 
-def make_filter(hashes: np.ndarray) -> np.ndarray:
-    """A blocked Bloom filter of mixed hashes: rows of eight 64-bit words."""
-    blocks = max(1, math.ceil(len(hashes) * BITS_PER_WORD / BLOCK_BITS))
+def make_filter(hashes: np.ndarray, blocks: int) -> np.ndarray:
+    """A blocked Bloom filter of mixed hashes: blocks of eight 64-bit words."""
     out = np.zeros(blocks * (BLOCK_BITS // 64), dtype=np.uint64)
     block, bits = _slots(hashes, blocks)
     for bit in bits:
@@ -122,30 +121,55 @@ def make_filter(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def probe(bloom: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Positions of the hashes that the filter lets through."""
-    words = BLOCK_BITS // 64
+def probe(bloom: np.ndarray, hashes: np.ndarray, blocks: int, segment: np.ndarray | int = 0) -> np.ndarray:
+    """Positions of the hashes that their segment of the filter lets through."""
+    words = np.uint64(BLOCK_BITS // 64)
     left = np.arange(len(hashes))
-    block, bits = _slots(hashes, len(bloom) // words)
+    block, bits = _slots(hashes, blocks)
+    start = (block + np.asarray(segment, dtype=np.uint64) * np.uint64(blocks)) * words
     for bit in bits:
         own = bit[left]
-        cell = block[left] * np.uint64(words) + (own >> np.uint64(6))
+        cell = start[left] + (own >> np.uint64(6))
         left = left[(bloom[cell.astype(np.int64)] >> (own & np.uint64(63))) & np.uint64(1) == 1]
     return left
 
 
-def _shards(words: DataFrame, parts: dict[int, int]) -> DataFrame:
-    """``length, part, bloom``: the filters of a written vocabulary, each made in one task."""
+class Shape:
+    """How many segments the filter of each length has, and how many blocks a segment."""
+
+    def __init__(self, counts: dict[int, int], segment_words: int):
+        self.counts = counts
+        self.parts = {length: math.ceil(n / segment_words) for length, n in counts.items()}
+        self.blocks = {
+            length: math.ceil(n / self.parts[length] * BITS_PER_WORD / BLOCK_BITS) for length, n in counts.items()
+        }
+
+    def rounds(self, room: int) -> list[list[tuple[int, int]]]:
+        """All (length, part) in order, in lists whose filters take up to ``room`` bytes, or one segment."""
+        out, left = [[]], room
+        for length in sorted(self.parts):
+            size = self.blocks[length] * BLOCK_BITS // 8
+            for part in range(self.parts[length]):
+                if size > left and out[-1]:
+                    out.append([])
+                    left = room
+                out[-1].append((length, part))
+                left -= size
+        return out
+
+
+def _segments(words: DataFrame, shape: Shape) -> DataFrame:
+    """``length, part, bloom``: the filters of a written vocabulary, a segment of each in a task."""
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for length, _, codes in _by_length(batch["word"]):
                 hashes = mix64(_sums(codes))
-                part = _part(hashes, parts[length])
+                part = _part(hashes, shape.parts[length])
                 yield pd.DataFrame({"length": length, "part": part, "hash": hashes.view(np.int64)})
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bloom = make_filter(rows["hash"].to_numpy().view(np.uint64))
+        bloom = make_filter(rows["hash"].to_numpy().view(np.uint64), shape.blocks[int(key[0])])
         return pd.DataFrame({"length": [key[0]], "part": [key[1]], "bloom": [bloom.tobytes()]})
 
     placed = words.select("word").mapInPandas(place, "length int, part int, hash long")
@@ -153,7 +177,8 @@ def _shards(words: DataFrame, parts: dict[int, int]) -> DataFrame:
 
 
 def _edits(codes: np.ndarray, alphabet: np.ndarray, shorter: bool, same: bool):
-    """Blocks of (row, place, letter or 0 for a deletion, sum) of the edits of words of one length."""
+    """Blocks of edits of words of one length: their length, and (row, place, letter or 0 for a
+    deletion, sum) of each."""
     n, length = codes.shape
     terms, sums = codes * _places(length), _sums(codes)
     if shorter:
@@ -165,7 +190,7 @@ def _edits(codes: np.ndarray, alphabet: np.ndarray, shorter: bool, same: bool):
         first = np.ones(codes.shape, dtype=bool)
         first[:, 1:] = codes[:, 1:] != codes[:, :-1]
         row, place = np.nonzero(first)
-        yield row, place, np.zeros(len(row), dtype=np.uint64), (head + tail)[row, place]
+        yield length - 1, (row, place, np.zeros(len(row), dtype=np.uint64), (head + tail)[row, place])
     if same:
         wide = max(1, CELLS // len(alphabet))
         high = max(1, wide // length)
@@ -175,14 +200,16 @@ def _edits(codes: np.ndarray, alphabet: np.ndarray, shorter: bool, same: bool):
                 row, place, letter = np.nonzero(some[:, :, None] < alphabet)
                 row, place, new = row + a, place + b, alphabet[letter]
                 change = (new - codes[row, place]) * _places(length)[place]
-                yield row, place, new, sums[row] + change
+                yield length, (row, place, new, sums[row] + change)
 
 
 def _candidates(
-    words: DataFrame, blooms: dict[tuple[int, int], np.ndarray], parts: dict[int, int],
-    counts: dict[int, int], alphabet: np.ndarray,
+    words: DataFrame, blooms: dict[int, tuple[int, int, np.ndarray]], shape: Shape, alphabet: np.ndarray
 ) -> DataFrame:
-    """``word, n, near``: each word with its edits that the given filters let through, written out."""
+    """``word, n, near``: each word with its edits that the given filters let through, written out.
+
+    A filter is the array of the parts from a first to before a last one.
+    """
     shared = words.sparkSession.sparkContext.broadcast(blooms)
 
     def text(codes: np.ndarray, place: int, letter: int) -> str:
@@ -196,20 +223,14 @@ def _candidates(
         for batch in batches:
             for length, at, codes in _by_length(batch["word"]):
                 # A length with one word only has no near word of the same length.
-                found = _edits(codes, alphabet, length - 1 in counts, counts[length] > 1)
-                for row, place, letter, sums in found:
-                    goal = length - (letter[:1] == 0).any()
+                shorter, same = length - 1 in filters, length in filters and shape.counts[length] > 1
+                for goal, (row, place, letter, sums) in _edits(codes, alphabet, shorter, same):
+                    first, last, bloom = filters[goal]
                     hashes = mix64(sums)
-                    part = _part(hashes, parts[int(goal)])
-                    for p in range(parts[int(goal)]):
-                        bloom = filters.get((int(goal), p))
-                        if bloom is None:
-                            continue
-                        mine = np.flatnonzero(part == p) if parts[int(goal)] > 1 else slice(None)
-                        hits = probe(bloom, hashes[mine])
-                        if len(hits) == 0:
-                            continue
-                        hits = hits if isinstance(mine, slice) else mine[hits]
+                    part = _part(hashes, shape.parts[goal])
+                    mine = np.flatnonzero((part >= first) & (part < last))
+                    hits = mine[probe(bloom, hashes[mine], shape.blocks[goal], part[mine] - first)]
+                    if len(hits):
                         own = batch.iloc[at[row[hits]]]
                         near = [text(codes[row[i]], place[i], int(letter[i])) for i in hits]
                         yield pd.DataFrame({"word": own["word"].to_numpy(), "n": own["n"].to_numpy(), "near": near})
@@ -221,33 +242,29 @@ def _candidates(
 
 
 def near_pairs(
-    words: DataFrame, shard_words: int = SHARD_WORDS, round_bytes: int = ROUND_BYTES
+    words: DataFrame, segment_words: int = SEGMENT_WORDS, round_bytes: int = ROUND_BYTES
 ) -> DataFrame:
     """``word, n, near, near_n``: every unordered pair of near words of a written vocabulary, once."""
     rows = words.groupBy(F.char_length("word").alias("length")).agg(F.count("*").alias("n")).collect()
-    counts = {r["length"]: r["n"] for r in rows}  # a row for each length of a word
+    shape = Shape({r["length"]: r["n"] for r in rows}, segment_words)  # a row for each length of a word
     letters = words.select(F.explode(F.split("word", "")).alias("letter")).where("letter != ''").distinct()
     alphabet = np.array(sorted(ord(r[0]) for r in letters.collect()), dtype=np.uint64)  # 90 at most
-    parts = {length: math.ceil(n / shard_words) for length, n in counts.items()}
-    shards = write_out(_shards(words, parts), "spelling-filters")
-    rounds, room = [[]], round_bytes
-    for length in sorted(parts):
-        for part in range(parts[length]):
-            size = math.ceil(counts[length] / parts[length] * BITS_PER_WORD / 8)
-            if size > room and rounds[-1]:
-                rounds.append([])
-                room = round_bytes
-            rounds[-1].append((length, part))
-            room -= size
+    segments = write_out(_segments(words, shape), "spelling-filters")
+    # The written vocabulary is a few files; generating edits is worth more tasks.
+    dealt = words.repartition(math.ceil(sum(shape.counts.values()) / TASK_WORDS), "word")
     found = None
-    for wanted in rounds:
-        low, high = min(wanted), max(wanted)
-        key = F.struct("length", "part")
-        some = shards.where(key.between(*[F.struct(F.lit(a), F.lit(b)) for a, b in (low, high)]))
-        blooms = {
-            (r["length"], r["part"]): np.frombuffer(bytes(r["bloom"]), dtype=np.uint64) for r in some.collect()
-        }
-        some = _candidates(words, blooms, parts, counts, alphabet)
+    for wanted in shape.rounds(round_bytes):
+        low, high = (F.struct(*[F.lit(x) for x in end]) for end in (wanted[0], wanted[-1]))
+        blooms = {}
+        for length in sorted({length for length, _ in wanted}):
+            own = [part for other, part in wanted if other == length]
+            size = shape.blocks[length] * BLOCK_BITS // 64
+            blooms[length] = own[0], own[-1] + 1, np.zeros(size * len(own), dtype=np.uint64)
+        for r in segments.where(F.struct("length", "part").between(low, high)).collect():
+            first, _, bloom = blooms[r["length"]]
+            segment = np.frombuffer(bytes(r["bloom"]), dtype=np.uint64)
+            bloom[(r["part"] - first) * len(segment):][:len(segment)] = segment
+        some = _candidates(dealt, blooms, shape, alphabet)
         found = some if found is None else found.unionByName(some)
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     return found.join(known, "near").select("word", "n", "near", "near_n")
@@ -273,7 +290,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 
 def variants(
-    words: DataFrame, ratio: int = FORM_RATIO, shard_words: int = SHARD_WORDS, round_bytes: int = ROUND_BYTES
+    words: DataFrame, ratio: int = FORM_RATIO, segment_words: int = SEGMENT_WORDS, round_bytes: int = ROUND_BYTES
 ) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` for every row of ``word, n``.
 
@@ -288,7 +305,7 @@ def variants(
             "word", empty.alias("form"), empty.alias("root"), "n",
             F.lit(0).cast("long").alias("n_near"), F.lit(None).cast("long").alias("form_n"),
         )
-    pairs = write_out(near_pairs(words, shard_words, round_bytes), "spelling-pairs")
+    pairs = write_out(near_pairs(words, segment_words, round_bytes), "spelling-pairs")
     back = pairs.select(
         F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")
     )

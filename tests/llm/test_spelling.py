@@ -83,9 +83,9 @@ def test_variants_equal_all_pairs(spark):
     assert sum(r[1] is not None for r in want) > 50
 
 
-def test_shards_and_rounds_change_nothing(spark):
+def test_segments_and_rounds_change_nothing(spark):
     words = drawn(6, 200)
-    assert result(spark, words, shard_words=30, round_bytes=100) == grouped(words)
+    assert result(spark, words, segment_words=30, round_bytes=200) == grouped(words)
 
 
 def test_ties_repeats_and_odd_words(spark):
@@ -108,7 +108,7 @@ def test_tables_from_rows(spark):
 
 def test_filter_has_no_false_negative_and_few_false_positives():
     keys = mix64(np.arange(1, 20_001, dtype=np.uint64))
-    bloom = spelling.make_filter(keys)
-    assert len(spelling.probe(bloom, keys)) == len(keys)
+    bloom = spelling.make_filter(keys, 625)
+    assert len(spelling.probe(bloom, keys, 625)) == len(keys)
     others = mix64(np.arange(1_000_000, 1_200_000, dtype=np.uint64))
-    assert len(spelling.probe(bloom, others)) < 0.004 * len(others)
+    assert len(spelling.probe(bloom, others, 625)) < 0.004 * len(others)
