@@ -12,6 +12,7 @@ from checks.tables import raw_registry, scored, six_digits, table
 from gradus import schema as S
 from gradus.functions import cleaning, decisions
 from gradus.operators import (
+    boosting,
     groups,
     knn,
     levels,
@@ -736,16 +737,40 @@ def lr_predictions(spark, sf_dir):
     return models.fit_logistic(train).score(test).select(S.POINT_ID, S.TARGET, "prediction", "probabilities")
 
 
+_FITTED: dict[tuple[str, str], models.BoostedModel] = {}
+
+
+def _boosted(spark, sf_dir):
+    """The registered boosted model (200 rounds of depth 6), fitted once a session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FITTED:
+        train, _ = _parts(spark, sf_dir)
+        _FITTED[key] = models.registry("models")["xgboost"].fit(train)
+    return _FITTED[key]
+
+
 @query()
 def gbt_predictions(spark, sf_dir):
-    """Ten rounds of depth 3 keep the check short; the registered model uses 200 of depth 6."""
-    train, test = _parts(spark, sf_dir)
-    model = models.fit_boosted(train, rounds=10, depth=3)
-    return models.score_with(model, test, S.CLASS0_THRESHOLD).select(
+    _, test = _parts(spark, sf_dir)
+    return models.score_with(_boosted(spark, sf_dir), test, S.CLASS0_THRESHOLD).select(
         S.POINT_ID, S.TARGET, "prediction", "probabilities"
     )
 
 
+@query(C.FIRST_GAINS)
+def gbt_first_gains(spark, sf_dir):
+    """The best gain of every feature at the root of every class's first tree."""
+    train, _ = _parts(spark, sf_dir)
+    return six_digits(boosting.first_gains(train))
+
+
+@query(C.FIRST_TREES)
+def gbt_first_trees(spark, sf_dir):
+    """Every node of the first round of the registered model."""
+    nodes = _boosted(spark, sf_dir).nodes(spark).filter("round = 0")
+    return six_digits(nodes.select("tree_class", "node", "depth", "feature", "threshold", "gain", "value"))
+
+
 _TEST_ROWS = f"""WITH {C.USABLE}, {C.sql_split('usable', 'id_pdc_itinerance', 'label')}
 SELECT id_pdc_itinerance, label, TRUE AS sums_to_one, TRUE AS by_rule, TRUE AS same_when_loaded
 FROM divided WHERE split = 'test'"""
@@ -779,8 +804,8 @@ def lr_rows(spark, sf_dir):
 
 @query(_TEST_ROWS)
 def gbt_rows(spark, sf_dir):
-    train, test = _parts(spark, sf_dir)
-    return _checked_rows(spark, models.fit_boosted(train, rounds=3, depth=3), test, S.CLASS0_THRESHOLD)
+    _, test = _parts(spark, sf_dir)
+    return _checked_rows(spark, _boosted(spark, sf_dir), test, S.CLASS0_THRESHOLD)
 
 
 @query(_TEST_ROWS)
@@ -800,8 +825,7 @@ def whatif_rows(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    train, _ = _parts(spark, sf_dir)
-    ranked = models.fit_boosted(train, rounds=5, depth=3).importances()
+    ranked = _boosted(spark, sf_dir).importances()
     return spark.createDataFrame(ranked, "feature string, importance double")
 
 

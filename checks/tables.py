@@ -226,3 +226,51 @@ sweep AS (
   FROM counted)"""
 SWEEP_OUT = ("SELECT round(seuil, 6) AS seuil, round(precision, 6) AS precision, round(rappel, 6) AS rappel, "
              "round(f1, 6) AS f1, round(accuracy, 6) AS accuracy FROM ")
+
+
+# --- Softmax boosting: the first round, by trying every value as a split -----------------------
+
+TRAIN = f"""{USABLE}, {sql_split('usable', 'id_pdc_itinerance', 'label')},
+train AS (SELECT * FROM divided WHERE split = 'train'),
+share AS (SELECT label, sum(count(*)) OVER ()::DOUBLE / (count(*) OVER () * count(*)) AS w FROM train GROUP BY label),
+weighted AS (SELECT t.*, w FROM train t JOIN share USING (label))"""
+_LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT id_pdc_itinerance AS id, {i} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM weighted"
+    for i, c in enumerate(S.FEATURES)
+) + ")"
+#: Gradient and hessian of each row and class where all classes have the same probability.
+_CHANGES = """rows AS (
+  SELECT id_pdc_itinerance AS id, k AS tree_class, w * (1.0::DOUBLE / 3 - CAST(label = k AS INT)) AS g,
+    2.0 * w * (1.0::DOUBLE / 3) * (2.0::DOUBLE / 3) AS h
+  FROM weighted, (VALUES (0), (1), (2)) AS classes(k))"""
+
+
+def _sql_level(level: int) -> str:
+    """Tables of one tree level: its candidate splits, the best one of each node, the rows below."""
+    return f""",
+run{level} AS (
+  SELECT tree_class, node, f, feature, v, sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(g) OVER every AS gt, sum(h) OVER every AS ht
+  FROM (SELECT tree_class, node, f, feature, v, sum(g) AS g, sum(h) AS h FROM at{level} JOIN long USING (id) GROUP BY ALL) AS bins
+  WINDOW upto AS (PARTITION BY tree_class, node, f ORDER BY v), every AS (PARTITION BY tree_class, node, f)),
+gain{level} AS (
+  SELECT *, CASE WHEN hl >= 1 AND ht - hl >= 1
+    THEN gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1) END AS gain FROM run{level}),
+chosen{level} AS (
+  SELECT tree_class, node, f, feature, v AS threshold, gain
+  FROM (SELECT *, max(gain) OVER (PARTITION BY tree_class, node) AS top FROM gain{level}) AS tops
+  WHERE gain >= top - 1e-9 * top AND top > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY tree_class, node ORDER BY f, v) = 1),
+at{level + 1} AS (
+  SELECT a.id, a.tree_class, CAST(2 * a.node + 1 + CAST(l.v > b.threshold AS INT) AS INT) AS node, a.g, a.h
+  FROM at{level} a JOIN chosen{level} b USING (tree_class, node) JOIN long l ON l.id = a.id AND l.f = b.f)"""
+
+
+_ROOT = f"WITH {TRAIN}, {_LONG}, {_CHANGES}, at0 AS (SELECT id, tree_class, 0 AS node, g, h FROM rows)"
+FIRST_GAINS = f"""{_ROOT}{_sql_level(0)}
+SELECT tree_class, feature, round(greatest(coalesce(max(gain), 0.0), 0.0), 6) AS gain FROM gain0 GROUP BY ALL"""
+FIRST_TREES = f"{_ROOT}{''.join(_sql_level(i) for i in range(6))}\n" + " UNION ALL ".join(
+    f"""SELECT tree_class, node, {i}::INT AS depth, any_value(feature) AS feature, round(any_value(threshold), 6) AS threshold,
+  round(coalesce(any_value(gain), 0.0), 6) AS gain, round(-0.1 * sum(g) / (sum(h) + 1), 6) AS value
+FROM at{i} LEFT JOIN {f'chosen{i}' if i < 6 else '(SELECT * FROM chosen5 WHERE FALSE) AS none'} USING (tree_class, node) GROUP BY tree_class, node"""
+    for i in range(7)
+)

@@ -12,13 +12,8 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    OneVsRestModel,
-)
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +21,8 @@ from pyspark.sql import functions as F
 
 from gradus import schema as S
 from gradus.functions.decisions import argmax_class, threshold_class
+from gradus.operators.boosting import INFO as BOOSTED_INFO
+from gradus.operators.boosting import BoostedModel
 from gradus.operators.knn import (
     BROADCAST_BYTES,
     complete,
@@ -40,7 +37,6 @@ from gradus.session import write_out
 WEIGHT = "class_weight"
 MODEL_INFO = "knn_info"
 ROWS_PER_TASK = 25_000  # distinct training rows that are worth a task of their own
-BELOW_ALL = -1e12  # stands for a missing value in trees, where only the order counts
 
 
 @contextmanager
@@ -98,14 +94,9 @@ class ScoringModel:
 
     def score(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probabilities`` and ``prediction``; the stages' own columns are dropped."""
-        last = self.pipeline.stages[-1]
-        if isinstance(last, OneVsRestModel):
-            prepared = PipelineModel(self.pipeline.stages[:-1]).transform(df)
-            probabilities = _one_vs_rest(prepared, last.models)
-        else:
-            probabilities = self.pipeline.transform(df).withColumn(
-                "probabilities", vector_to_array("probability")
-            )
+        probabilities = self.pipeline.transform(df).withColumn(
+            "probabilities", vector_to_array("probability")
+        )
         return probabilities.select(*df.columns, "probabilities").withColumn(
             "prediction", argmax_class(F.col("probabilities"))
         )
@@ -113,29 +104,6 @@ class ScoringModel:
     def save(self, path: str) -> None:
         self.pipeline.write().overwrite().save(path)
 
-    def importances(self, features: Sequence[str] = tuple(S.FEATURES)) -> list[tuple[str, float]]:
-        """Mean feature importance over the class models, largest first."""
-        last = self.pipeline.stages[-1]
-        if not isinstance(last, OneVsRestModel):
-            raise ValueError("only boosted trees have feature importances")
-        parts = [m.featureImportances.toArray() for m in last.models]
-        means = [float(sum(p[i] for p in parts) / len(parts)) for i in range(len(features))]
-        return sorted(zip(features, means), key=lambda pair: (-pair[1], pair[0]))
-
-
-def _one_vs_rest(df: DataFrame, models: Sequence[Transformer]) -> DataFrame:
-    """Class probabilities from one binary model per class, normalised to sum 1."""
-    names = []
-    for c, model in enumerate(models):
-        name = f"positive_{c}"
-        renamed = model.copy()
-        renamed.setRawPredictionCol(f"raw_{c}").setProbabilityCol(f"both_{c}")
-        renamed.setPredictionCol(f"binary_{c}")
-        df = renamed.transform(df).withColumn(name, vector_to_array(f"both_{c}")[1])
-        names.append(name)
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return df.withColumn("probabilities", F.array(*[F.col(n) / total for n in names]))
-
 
 class KnnModel:
     """Training rows that can be neighbours, as a table; scoring is a join on z-scores.
@@ -205,7 +173,7 @@ class KnnModel:
         return cls(spark.read.parquet(f"{path}/rows"), info)
 
 
-def load_model(spark: SparkSession, path: str) -> ScoringModel | KnnModel:
+def load_model(spark: SparkSession, path: str) -> ScoringModel | KnnModel | BoostedModel:
     """A saved model. ``FileNotFoundError`` if the path is missing, ``ValueError`` if it holds
     something else."""
     def there(sub: str) -> bool:
@@ -221,6 +189,8 @@ def load_model(spark: SparkSession, path: str) -> ScoringModel | KnnModel:
         raise FileNotFoundError(path)
     if there(f"/{MODEL_INFO}"):
         return KnnModel.load(spark, path)
+    if there(f"/{BOOSTED_INFO}"):
+        return BoostedModel.load(spark, path)
     if not there("/metadata"):
         raise ValueError(f"not a saved model: {path}")
     try:
@@ -258,35 +228,6 @@ def fit_logistic(
         return ScoringModel(Pipeline(stages=stages).fit(rows))
 
 
-def fit_boosted(
-    train: DataFrame, features: Sequence[str] = tuple(S.FEATURES), label: str = S.TARGET,
-    classes: Sequence[int] = S.LEVELS, rounds: int = 200, depth: int = 6, step: float = 0.1,
-    seed: int = 42,
-) -> ScoringModel:
-    """Gradient-boosted trees, one binary model per class, with balanced row weights.
-
-    A missing feature value counts as lower than any other, so that a split can set it apart.
-    """
-    with _collapsed(train, features, label, classes) as rows:
-        filled = ", ".join(
-            f"coalesce(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), {BELOW_ALL!r}D) AS `{c}_filled`"
-            for c in features
-        )
-        trees = GBTClassifier(
-            featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step,
-            seed=seed, checkpointInterval=10,
-        )
-        stages = [
-            SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"{c}_filled" for c in features], outputCol="features"),
-            OneVsRest(
-                classifier=trees, featuresCol="features", labelCol=label, weightCol=WEIGHT,
-                parallelism=len(classes),
-            ),
-        ]
-        return ScoringModel(Pipeline(stages=stages).fit(rows))
-
-
 @dataclass(frozen=True)
 class Registered:
     """One entry of the model registry."""
@@ -294,7 +235,7 @@ class Registered:
     name: str
     description: str
     path: str
-    fit: Callable[..., ScoringModel | KnnModel]
+    fit: Callable[..., ScoringModel | KnnModel | BoostedModel]
     threshold: float | None = None
 
 
@@ -311,7 +252,7 @@ def registry(folder: str, id_column: str = S.POINT_ID, rounds: int = 200) -> dic
         ),
         "xgboost": Registered(
             "Gradient-Boosted Trees", "boosted trees, balanced row weights, tuned threshold for class 0",
-            f"{folder}/xgboost", lambda train: fit_boosted(train, rounds=rounds),
+            f"{folder}/xgboost", lambda train: BoostedModel.fit(train, rounds=rounds),
             S.CLASS0_THRESHOLD,
         ),
     }
@@ -337,7 +278,7 @@ def train_all(train: DataFrame, models: dict[str, Registered]) -> None:
 
 
 def score_with(
-    model: ScoringModel | KnnModel, df: DataFrame, threshold: float | None = None,
+    model: ScoringModel | KnnModel | BoostedModel, df: DataFrame, threshold: float | None = None,
 ) -> DataFrame:
     """Scored rows; with a threshold the class-0 rule replaces the most probable class."""
     scored = model.score(df)

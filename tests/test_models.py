@@ -65,7 +65,7 @@ def test_logistic_matches_summed_loss(spark, points):
 
 def test_all_models_beat_the_majority(spark, points):
     majority = 0.47
-    for model in (M.fit_logistic(points, FEATURES), M.fit_boosted(points, FEATURES, rounds=5, depth=3)):
+    for model in (M.fit_logistic(points, FEATURES), M.BoostedModel.fit(points, FEATURES, rounds=5, depth=3)):
         scored = model.score(points)
         assert scored.columns == [*points.columns, "probabilities", "prediction"]
         assert accuracy(scored) > majority + 0.1
@@ -77,24 +77,22 @@ def test_all_models_beat_the_majority(spark, points):
 
 def test_same_seed_same_boosted_predictions(spark, points):
     runs = [
-        M.fit_boosted(points.repartition(n), FEATURES, rounds=3, depth=2).score(points).orderBy("id").collect()
+        M.BoostedModel.fit(points.repartition(n), FEATURES, rounds=3, depth=2).score(points).orderBy("id").collect()
         for n in (1, 1)
     ]
     assert [r["probabilities"] for r in runs[0]] == [r["probabilities"] for r in runs[1]]
 
 
 def test_importances(spark, points):
-    ranked = M.fit_boosted(points, FEATURES, rounds=3, depth=2).importances(FEATURES)
+    ranked = M.BoostedModel.fit(points, FEATURES, rounds=3, depth=2).importances()
     assert ranked[0][0] == "a" and dict(ranked)["c"] == 0.0
     assert math.isclose(sum(v for _, v in ranked), 1.0, rel_tol=1e-6)
-    with pytest.raises(ValueError):
-        M.fit_logistic(points, FEATURES).importances(FEATURES)
 
 
 def test_save_and_load(spark, points, tmp_path):
     fitted = {
         "lr": M.fit_logistic(points, FEATURES),
-        "gbt": M.fit_boosted(points, FEATURES, rounds=2, depth=2),
+        "gbt": M.BoostedModel.fit(points, FEATURES, rounds=2, depth=2),
         "knn": M.KnnModel.fit(points, "id", FEATURES),
     }
     for name, model in fitted.items():
@@ -127,7 +125,7 @@ def test_missing_values(spark, points):
     with pytest.raises(Exception):
         M.fit_logistic(holed, FEATURES)
     assert M.fit_logistic(holed, FEATURES, handle_invalid="skip").score(points.limit(5)).count() == 5
-    assert M.fit_boosted(holed, FEATURES, rounds=1, depth=1).score(holed).count() == 600
+    assert M.BoostedModel.fit(holed, FEATURES, rounds=1, depth=1).score(holed).count() == 600
 
 
 def test_registry(tmp_path):
