@@ -30,8 +30,8 @@ SLACK = 0.0
 CROWDS = 64
 #: Equal rows are linked over so many middle rows, which keeps the links of any one row few.
 MIDDLES = 4096
-#: Rows of a hash bucket in which rows are ranked, about.
-BUCKET_ROWS = 20_000
+#: Rows of a hash bucket in which rows are ranked, about; buckets of a small table.
+BUCKET_ROWS, LEAST_BUCKETS = 20_000, 1024
 #: Gains and kept links count up to this; beyond it they rank alike.
 MOST = 15
 
@@ -140,7 +140,7 @@ def numbered(rows: DataFrame, within: list[str], first: Column, key: str, total:
     Rows of equal ``first`` come in the order of a hash of ``key``. Buckets of the hash are counted
     and summed up (a row for each bucket, in a window over them), and rows are ranked in their bucket.
     """
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
+    buckets = max(math.ceil(total / BUCKET_ROWS), min(LEAST_BUCKETS, 1 + total // 50))
     rows = rows.withColumns({"first": first, "bucket": F.pmod(_hash("number", key), F.lit(buckets))})
     spots = [*within, "first", "bucket"]
     before = Window.partitionBy(*within).orderBy("first", "bucket").rowsBetween(Window.unboundedPreceding, -1)
