@@ -10,14 +10,9 @@ share a digest, the digest's rows are grouped anew by their bytes.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradus.llm.common import ascii_lower, modest_batches
 from gradus.session import scratch_path, write_out
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,38 +32,30 @@ BROADCAST_ROWS = 200_000
 _KEEP = "keep struct<doc_id:long,file:string,row:long>"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lowered(text: Column) -> Column:
+    """``text`` with A-Z in lower case. ``lower`` does the same where all is ASCII, and is faster."""
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def _rows(source: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Identifier, locator and bytes of each row of a Parquet scan, streaming or not."""
+    """Identifier, locator and normalised bytes of each row of a Parquet scan, streaming or not."""
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     return source.select(
         F.col(id_column).cast("long").alias("doc_id"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
-        F.coalesce(F.col(text_column).cast("binary"), F.lit(b"")).alias("bytes"),
+        ascii_lowered(text).cast("binary").alias("bytes"),
     )
 
 
 def _digested(rows: DataFrame, digest_bytes: int) -> DataFrame:
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            full = [hashlib.sha256(ascii_lower(text)) for text in batch.pop("bytes")]
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            batch["digest"] = [x.digest()[:digest_bytes] for x in full]
-            batch["text_sha256"] = [x.hexdigest() for x in full]
-            yield batch
-
-    return rows.mapInPandas(
-        digest, "doc_id long, file string, row long, digest binary, text_sha256 string"
-    )
-
-
-def _lowered(rows: DataFrame) -> DataFrame:
-    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
-            batch["bytes"] = [ascii_lower(text) for text in batch["bytes"]]
-            yield batch
-
-    return rows.mapInPandas(lower, rows.schema)
+    heads = rows.select("doc_id", "file", "row", F.sha2("bytes", 256).alias("text_sha256"))
+    digest = F.unhex(F.substring("text_sha256", 1, 2 * digest_bytes))
+    return heads.select("doc_id", "file", "row", digest.alias("digest"), "text_sha256")
 
 
 def ingest(
@@ -82,8 +69,10 @@ def ingest(
     """Bring the state in ``store`` up to what ``path`` holds now; files are read once ever.
 
     A run that was cut off goes on from the stream's own checkpoint: a batch that is done again
-    writes the same rows over its first try.
+    writes the same rows over its first try. A path with characters of a file pattern raises.
     """
+    if set(path) & set("[]{}*?\\"):
+        raise ValueError(f"characters of a pattern in the path: {path}")
     before = {key: spark.conf.get(key, None) for key in STATE}
     for key, value in STATE.items():
         spark.conf.set(key, value)
@@ -154,7 +143,6 @@ def decide(
     tests of what happens when different texts share one.
     """
     path = path.rstrip("/")
-    modest_batches(spark)
     store = store or scratch_path(spark, "dedup")
     spark.createDataFrame([], f"digest binary, n long, {_KEEP}").write.mode("overwrite").parquet(
         f"{store}/changes/none"
@@ -172,7 +160,7 @@ def decide(
         ),
         "dedup-hits",
     )
-    content = _lowered(_found(rows, hits).select("doc_id", "file", "row", "digest", "first", "bytes"))
+    content = _found(rows, hits).select("doc_id", "file", "row", "digest", "first", "bytes")
     content = write_out(content, "dedup-content")
     stays = content.where("first").select("digest", F.col("bytes").alias("stays"))
     # Written before it is made distinct, so that a digest of very many hits can be split.
@@ -208,7 +196,8 @@ def decide(
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were; see ``decide`` for which.
 
-    The rows are written once, so that locators mean something.
+    The rows are written once, so that locators mean something. The state lasts for this call;
+    ``ingest`` and ``decide`` with a ``store`` of one's own remember from run to run.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "dedup-input")

@@ -2,8 +2,9 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from gradus.llm.exact_dedup import decide, deduplicate, ingest, repeated
+from gradus.llm.exact_dedup import ascii_lowered, decide, deduplicate, ingest, repeated
 from tests.llm.helpers import LOWER, ODD, documents
 
 ROWS = ODD + [(20, "abc é"), (21, "ABC é"), (22, "abc É"), (23, "b"), (24, "B"), (25, "c")]
@@ -32,6 +33,11 @@ def test_decisions_equal_brute_force(spark, tmp_path, digest_bytes):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_patterns_are_no_paths(spark, tmp_path):
+    with pytest.raises(ValueError, match="pattern"):
+        ingest(spark, str(tmp_path / "docs[1].parquet"), str(tmp_path / "store"))
+
+
 def test_other_columns_stay(spark):
     docs = documents(spark, ROWS)
     out = deduplicate(docs)
@@ -49,3 +55,10 @@ def test_state_goes_on_when_files_arrive(spark, tmp_path):
     ingest(spark, path, store)  # nothing new
     got = repeated(spark, store).select("n", "keep.doc_id").collect()
     assert [tuple(r) for r in got] == [(2, 3)]
+
+
+def test_lower_case_of_ascii_only(spark):
+    texts = ["ABC xyz", "ÀÉ İI ABC ẞ", "Σ A", "", "\x00A\x00", "ſK"]  # the last is a Kelvin sign
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(ascii_lowered(F.col("t"))).collect()]
+    assert got == [t.translate(LOWER) for t in texts]
