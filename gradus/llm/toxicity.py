@@ -54,6 +54,8 @@ AS_IS, ITSELF, ALIKE, DROPPED = math.log(0.9), math.log(0.1), math.log(0.3), mat
 DOUBLED, KEPT, CLOSED = math.log(0.01), math.log(0.85), math.log(0.15)
 #: Characters of a token, at most, that may be a piece of a spaced word.
 SHORT = 3
+#: Entries of a memo of the channel.
+MEMO = 300_000
 
 _MARKS = "".join(LOOK_ALIKES)
 _SUSPECT = re.compile(rf"[{re.escape(_MARKS)}]|(.)\1")
@@ -119,6 +121,9 @@ class Channel:
 
     table: np.ndarray
     numbers: dict[str, int] = field(default_factory=lambda: {c: i for i, c in enumerate(ALPHABET)})
+    #: Memos: the fixed ends of a piece, and whether a blank between such ends stays.
+    ends: dict[str, tuple[str, str]] = field(default_factory=dict)
+    stays: dict[str, bool] = field(default_factory=dict)
 
     @classmethod
     def learn(cls, counts: pd.DataFrame) -> Channel:
@@ -159,6 +164,41 @@ class Channel:
             i = j
         return steps
 
+    def parts(self, row: list[str]) -> Iterator[str]:
+        """The parts of a row of short tokens whose readings hang together, of two tokens or more.
+
+        Where the two characters on either side of a blank have one reading each, what is read
+        before and behind doesn't hang on that blank: whether it stays is a matter of those
+        four characters. A row is cut where it does; decoding the parts is decoding the row.
+        """
+        start, before = 0, ""
+        for i, piece in enumerate(row):
+            fixed = self.ends.get(piece)
+            if fixed is None:
+                if len(self.ends) > MEMO:
+                    self.ends.clear()
+                fixed = self.ends[piece] = _fixed_ends(piece)
+            if before and fixed[0]:
+                four = before + fixed[0]
+                kept = self.stays.get(four)
+                if kept is None:
+                    if len(self.stays) > MEMO:
+                        self.stays.clear()
+                    kept = self.stays[four] = self._kept(four)
+                if kept:
+                    if i - start > 1:
+                        yield " ".join(row[start:i])
+                    start = i
+            before = fixed[1]
+        if len(row) - start > 1:
+            yield " ".join(row[start:])
+
+    def _kept(self, four: str) -> bool:
+        p, q, r, s = (self.numbers.get(c, OTHER) for c in four)
+        logs = self.table
+        kept = KEPT + logs[p, q, 0] + logs[q, 0, r] + logs[0, r, s]
+        return bool(kept >= CLOSED + logs[p, q, r] + logs[q, r, s])
+
     def decode(self, written: str) -> str:
         """The likeliest reading of a word, or of a row of short tokens, each of whose blanks is
         one or none; the first of equals in the lattice's order."""
@@ -203,14 +243,27 @@ class Channel:
         return _ENDS.sub("", word)
 
 
+def _fixed_ends(piece: str) -> tuple[str, str]:
+    """The first two and the last two characters of a piece, empty where they have several readings."""
+
+    def fixed(i: int, j: int) -> bool:
+        around = piece[max(i - 1, 0) : j + 1]
+        return not any(c in LOOK_ALIKES for c in piece[i:j]) and not _DOUBLE.search(around)
+
+    n = len(piece)
+    if n < 2:
+        return "", ""
+    return piece[:2] if fixed(0, 2) else "", piece[-2:] if fixed(n - 2, n) else ""
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings (marked, so that they differ from words)."""
     return [word, *[f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]]
 
 
-def tokens(text: str) -> set[str]:
-    """The distinct tokens of a text in lower case, and its rows of short ones with a blank
-    between them, whatever blanks the text has there."""
+def tokens(text: str, channel: Channel) -> set[str]:
+    """The distinct tokens of a text in lower case, and the parts of its rows of short ones with a
+    blank between them, whatever blanks the text has there."""
     parts = text.lower().split()
     found = set(parts)
     row: list[str] = []
@@ -220,15 +273,15 @@ def tokens(text: str) -> set[str]:
             if _PIECE.fullmatch(piece):
                 row.append(piece)
                 continue
-        if len(row) > 1 and _LETTER.search(joined := " ".join(row)):
-            found.add(joined)
+        if len(row) > 1:
+            found.update(joined for joined in channel.parts(row) if _LETTER.search(joined))
         row = []
     return found
 
 
-def read(text: str, restored: dict[str, str]) -> set[str]:
+def read(text: str, restored: dict[str, str], channel: Channel) -> set[str]:
     """The words that a text is read as: its tokens and rows restored."""
-    return {word for token in tokens(text) for word in restored[token].split()}
+    return {word for token in tokens(text, channel) for word in restored[token].split()}
 
 
 @dataclass
@@ -266,9 +319,9 @@ class Model:
         return Memo(self.weigh, 250_000)
 
 
-def evidence(text: str, weigher: Memo) -> float:
+def evidence(text: str, weigher: Memo, channel: Channel) -> float:
     """The strongest word counts whole, each next one ``DECAY`` times as much as before."""
-    found = sorted({pair for token in tokens(text) for pair in weigher[token]}, reverse=True)[:20]
+    found = sorted({pair for token in tokens(text, channel) for pair in weigher[token]}, reverse=True)
     return sum(value * DECAY**i for i, (value, _) in enumerate(found))
 
 
@@ -289,7 +342,8 @@ def learn_odds(sample: DataFrame, channel: Channel) -> dict[str, float]:
     shared = sample.sparkSession.sparkContext.broadcast(channel)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restored = Memo(shared.value.restore, 200_000)
+        channel = shared.value
+        restored = Memo(channel.restore, 200_000)
         toxic: Counter[str] = Counter()
         clean: Counter[str] = Counter()
 
@@ -305,7 +359,7 @@ def learn_odds(sample: DataFrame, channel: Channel) -> dict[str, float]:
         for batch in batches:
             for text, label, weight in zip(batch["text"], batch["label"], batch["weight"], strict=True):
                 into = toxic if label == 1 else clean
-                for f in {f for word in read(text, restored) for f in features(word)}:
+                for f in {f for word in read(text, restored, channel) for f in features(word)}:
                     into[f] += weight
                 if len(toxic) + len(clean) > 400_000:
                     yield flush()
@@ -358,9 +412,9 @@ def evidences(rows: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def weigh(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weigher = shared.value.weigher()
+        weigher, channel = shared.value.weigher(), shared.value.channel
         for batch in series:
-            yield pd.Series([evidence(text, weigher) for text in batch], dtype=float)
+            yield pd.Series([evidence(text, weigher, channel) for text in batch], dtype=float)
 
     return rows.withColumn("evidence", weigh("text")).drop("text")
 

@@ -192,7 +192,27 @@ def test_spaced_and_doubled_words_are_decoded_in_the_lattice(spark):
         ("it is a river and you are", set()),
     ]:
         weigher = model.weigher()
-        assert {word for token in toxicity.tokens(text) for _, word in weigher[token]} == words, text
-        assert words <= toxicity.read(text, Memo(channel.restore)), text
+        assert {word for token in toxicity.tokens(text, channel) for _, word in weigher[token]} == words, text
+        assert words <= toxicity.read(text, Memo(channel.restore), channel), text
     assert channel.decode("y o u a r e d u m b") == "you are dumb"
     assert channel.decode("it is a") == "it is a"
+
+
+def test_parts_of_a_row_are_read_as_the_whole_row():
+    draw = np.random.default_rng(11)
+    channel = toxicity.Channel((2 * draw.normal(size=(toxicity.RADIX,) * 3)).astype(np.float32))
+    cut = 0
+    for _ in range(1500):
+        row = ["".join(draw.choice(list("abcée1"), draw.integers(1, 6))) for _ in range(draw.integers(2, 8))]
+        want = channel.decode(" ".join(row)).split()
+        got, at = [], 0
+        for part in [*(p.split(" ") for p in channel.parts(row)), []]:
+            while at < len(row) and row[at : at + len(part)] != part or (not part and at < len(row)):
+                got += channel.decode(row[at]).split()  # a token by itself
+                at += 1
+            if part:
+                got += channel.decode(" ".join(part)).split()
+                at += len(part)
+                cut += len(part) < len(row)
+        assert got == want, row
+    assert cut > 500
