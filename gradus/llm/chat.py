@@ -30,6 +30,8 @@ ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # a role's number times two, plus one inside a turn
 #: Turn numbers in a chunk, and records of one (transcript, chunk) beyond which it is split.
 CHUNK_TURNS, CHUNK_RECORDS = 512, 4096
+#: Copies of one record that a task writes, at most.
+COPIES_A_TASK = 100_000
 
 # What transcripts write before a turn, by role.
 MARKERS = {
@@ -139,7 +141,8 @@ def edges(matrices: list[np.ndarray], model: Model) -> list[tuple[int, int]]:
 
 
 def records(conversations: DataFrame) -> DataFrame:
-    """``conv, own, turn, role, text, codes``: distinct records with their lines' features.
+    """``conv, own, turn, role, text, copies, codes``: distinct records, how often each is there, and
+    its lines' features.
 
     ``own`` parts transcripts without an id: each of their records is a transcript by itself.
     """
@@ -151,9 +154,9 @@ def records(conversations: DataFrame) -> DataFrame:
         F.lower(F.trim(F.col("role").cast("string"))).alias("role"),
         text.alias("text"),
     )
-    own = F.when(F.col("conv").isNull(), F.xxhash64("turn", "text")).otherwise(F.lit(0))
-    rows = rows.withColumn("own", own).dropDuplicates(["conv", "own", "turn", "text"])
-    return rows.withColumn("codes", observed("text"))
+    own = F.when(F.col("conv").isNull(), F.xxhash64("turn", "text", "role")).otherwise(F.lit(0))
+    rows = rows.withColumn("own", own).groupBy("conv", "own", "turn", "role", "text")
+    return rows.agg(F.count("*").alias("copies")).withColumn("codes", observed("text"))
 
 
 def learn(rows: DataFrame) -> Model:
@@ -234,7 +237,7 @@ def render(text: str, states: list[int]) -> tuple[str, list[str]]:
 
 
 def parse(rows: DataFrame, model: Model) -> DataFrame:
-    """``conv_id, turn, given, roles, n_turns, rendered``: one row for each of ``rows``."""
+    """``conv_id, turn, given, roles, n_turns, rendered``: each of ``rows`` as often as it is there."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     block = F.floor(F.col("turn") / CHUNK_TURNS)
     rows = write_out(rows.withColumn("block", block), "chat-records")
@@ -254,7 +257,8 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
     chunk = ["conv", "own", "block", "sub", "part"]
 
     def ordered(group: pd.DataFrame) -> pd.DataFrame:
-        return group.assign(crc=[_crc(x) for x in group["text"]]).sort_values(["turn", "crc", "text"])
+        said = group.assign(crc=[_crc(x) for x in group["text"]], said=group["role"].fillna(""))
+        return said.sort_values(["turn", "crc", "text", "said"])
 
     def measure(group: pd.DataFrame) -> pd.DataFrame:
         codes = np.concatenate(ordered(group)["codes"].to_list())
@@ -281,6 +285,7 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
                 "conv_id": group["conv"].astype("Int64"),
                 "turn": group["turn"],
                 "given": group["role"],
+                "copies": group["copies"],
                 "roles": [",".join(roles) for _, roles in out],
                 "n_turns": [len(roles) for _, roles in out],
                 "rendered": [text for text, _ in out],
@@ -305,17 +310,31 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
         F.coalesce("e.before", F.lit(STATES)).alias("before"),
         F.coalesce("e.last", F.lit(-1)).alias("last"),
     )
-    schema = "conv_id long, turn long, given string, roles string, n_turns int, rendered string"
+    schema = "conv_id long, turn long, given string, copies long, roles string, n_turns int, rendered string"
     spoken = joined.groupBy(*chunk).applyInPandas(decode, schema)
     silent = rows.where(F.size("codes") == 0).select(
         F.col("conv").alias("conv_id"),
         "turn",
         F.col("role").alias("given"),
+        "copies",
         F.lit("").alias("roles"),
         F.lit(0).alias("n_turns"),
         F.lit("").alias("rendered"),
     )
-    return spoken.unionByName(silent)
+    return _repeated(write_out(spoken.unionByName(silent), "chat-parsed"))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows as often as ``copies`` says. Where a row is there very often, its copies are dealt to
+    several tasks."""
+    most = rows.agg(F.max("copies")).first()[0] or 0
+    left = F.col("copies")
+    if most > COPIES_A_TASK:
+        parts = F.sequence(F.lit(0), F.floor((left - 1) / COPIES_A_TASK))
+        rows = rows.withColumn("deal", F.explode(parts)).repartition("deal", F.xxhash64(*rows.columns))
+        left = F.least(F.lit(COPIES_A_TASK), left - F.col("deal") * COPIES_A_TASK)
+    kept = [c for c in rows.columns if c not in ("copies", "deal")]
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), left))).select(*kept)
 
 
 def _crc(text: str) -> int:
@@ -330,12 +349,13 @@ def _keyed(group: pd.DataFrame, keys: list[str], **columns) -> pd.DataFrame:
 
 
 def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFrame:
-    """``conv_id, turn, given, roles, n_turns, rendered`` for every distinct record.
+    """``conv_id, turn, given, roles, n_turns, rendered`` for every record, repeated ones too.
 
     ``given`` is only reported: a role is an input of learning, never of decoding. Without a
     model one is learnt from the records of transcripts that aren't held out. Records that are
-    equal in transcript, turn and text count once; a NULL turn is turn 0; records of one turn
-    are in order of their texts' checksum; a record without transcript id is a transcript by
+    equal in transcript, turn, role and text are decoded and learnt from as one, and returned as often
+    as they are there; a NULL turn is turn 0; records of one turn are in order of their texts'
+    checksum, then of their role; a record without transcript id is a transcript by
     itself; a record without lines (NULL text included) has no turns. An empty table gives an
     empty result; other columns are ignored, whatever their names.
     """

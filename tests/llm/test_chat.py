@@ -93,3 +93,26 @@ def test_long_transcripts_are_decoded_as_one(spark, monkeypatch):
         monkeypatch.setattr(C, "CHUNK_RECORDS", crowd)
         got = C.format_chats(table, fitted).orderBy("turn").collect()
         assert [r.roles for r in got] == want
+
+
+def test_no_record_is_lost(spark, monkeypatch):
+    rows = [
+        (1, None, "user", "yes", 0),
+        (1, None, "user", "yes", 0),
+        (1, None, "assistant", "yes", 0),
+        (1, 3, None, "same", 0),
+        (1, 3, "user", "same", 0),
+        (None, None, "user", "alone", 0),
+        (None, None, "assistant", "alone", 0),
+        *[(None, 1, "user", "hot", 0)] * 25,
+        *[(2, 1, "user", None, 0)] * 3,
+    ]
+    fitted = model(spark)
+    for most in (100_000, 4):
+        monkeypatch.setattr(C, "COPIES_A_TASK", most)
+        got = C.format_chats(spark.createDataFrame(rows, SCHEMA), fitted).collect()
+        key = lambda conv, turn, role: (conv or -1, turn or 0, role or "")
+        assert sorted(key(r.conv_id, r.turn, r.given) for r in got) == sorted(key(*r[:3]) for r in rows)
+        assert got[0].__fields__ == ["conv_id", "turn", "given", "roles", "n_turns", "rendered"]
+        # A record without a transcript is decoded by itself.
+        assert len({(r.roles, r.rendered) for r in got if r.conv_id is None and "hot" in r.rendered}) == 1
