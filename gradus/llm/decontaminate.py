@@ -1,16 +1,18 @@
 """Benchmark passages in documents by the q-gram lemma, with edits allowed.
 
-Texts are compared in lower case with runs of blanks as one blank. Each benchmark item is cut
-into overlapping windows. A window of m characters that occurs in a document with at most k
-edits shares at least m - q + 1 - kq q-grams with it, all on diagonals that lie within k of each
-other; so shared q-grams are counted in diagonal bands that overlap by more than that, and the
-regions that reach the bound are verified by alignment within the band. Documents are one
-narrow pass for each block of the benchmark, whose size is bounded.
+Texts are compared in lower case with runs of blanks as one blank. Every stretch of a benchmark
+item as long as a window is looked for, wherever in the item it begins. A window of m characters
+that occurs in a document with at most k edits shares at least m - q + 1 - kq q-grams with it, all on
+diagonals that lie within k of each other. So the q-grams shared with an item are counted in diagonal
+bands that overlap by more than that, along the item in a sliding count, and the windows that
+reach the bound are verified by alignment within the band. The index holds each q-gram of an item
+once. Documents are one narrow pass for each block of the benchmark, whose size is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,34 +21,44 @@ from pyspark.sql import functions as F
 
 from gradus.llm.common import modest_batches, table, texts
 
-#: Characters in a q-gram, in a window and between windows; edits allowed per character.
-Q, WINDOW, STEP, RATE = 10, 80, 40, 0.075
+#: Characters in a q-gram and in a window; edits allowed per character.
+Q, WINDOW, RATE = 10, 80, 0.075
 #: Benchmark characters whose index goes to the workers at once, about 50 bytes each.
 BLOCK_CHARS = 2_000_000
 #: Characters of a document that are searched at once; pieces overlap by more than a window.
 PIECE = 20_000
+#: Shared q-grams that are counted at once, and windows that are verified at once.
+HITS, BATCH = 2_000_000, 256
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS = {1 << i: np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(8)}
 _BITS = 22
-#: What characters up to here are compared as: lower case (if it is one character), blanks as one.
-_PLAIN = np.array(
-    [
-        32 if c in (9, 10, 11, 12, 13, 0x85, 0xA0) else ord(low) if len(low := chr(c).lower()) == 1 else c
-        for c in range(0x590)
-    ],
-    dtype=np.uint32,
-)
+#: Characters from here on have no case and are no blanks.
+_CASELESS = 0x1F000
+
+
+@lru_cache(maxsize=1)
+def _plain() -> np.ndarray:
+    """What each character is compared as: lower case (if it is one character), blanks as one."""
+    out = np.arange(_CASELESS, dtype=np.uint32)
+    for c in range(_CASELESS):
+        char = chr(c)
+        if char.isspace():
+            out[c] = 32
+        elif len(low := char.lower()) == 1:
+            out[c] = ord(low)
+    return out
 
 
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the text in lower case, runs of blanks as one, none at either end; their places."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    if len(codes) and codes.max() < len(_PLAIN):
-        codes = _PLAIN[codes]
+    plain = _plain()
+    if len(codes) and codes.max() < _CASELESS:
+        codes = plain[codes]
     else:
-        known = codes < len(_PLAIN)
-        codes = np.where(known, _PLAIN[np.where(known, codes, 0)], codes)
+        known = codes < _CASELESS
+        codes = np.where(known, plain[np.where(known, codes, 0)], codes)
     blank = codes == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -85,45 +97,38 @@ def edit_budget(size: int, q: int = Q, rate: float = RATE) -> int:
 
 
 class Index:
-    """The windows of some benchmark items and where their q-grams are."""
+    """Some benchmark items and where their q-grams are."""
 
-    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, window: int = WINDOW, step: int = STEP, rate: float = RATE):
+    def __init__(self, items: list[tuple[int | None, str]], q: int = Q, window: int = WINDOW, rate: float = RATE):
         self.q = q
         self.item_ids: list[int | None] = []
-        self.codes: list[np.ndarray] = []  # of each window
-        self.window_item: list[int] = []
-        hashes, offsets, windows = [], [], []
+        self.codes: list[np.ndarray] = []  # of each item
         for item_id, text in items:
             codes, _ = normalised(text)
-            if len(codes) < q:
-                continue  # too short for a q-gram
-            self.item_ids.append(item_id)
-            last = max(0, len(codes) - window)
-            for start in sorted({*range(0, last, step), last}):
-                part = codes[start : start + window]
-                found = grams(part, q)
-                hashes.append(found)
-                offsets.append(np.arange(len(found)))
-                windows.append(np.full(len(found), len(self.codes)))
-                self.window_item.append(len(self.item_ids) - 1)
-                self.codes.append(part)
-        self.empty = not hashes
+            if len(codes) >= q:  # else too short for a q-gram
+                self.item_ids.append(item_id)
+                self.codes.append(codes)
+        self.empty = not self.codes
         if self.empty:
             return
-        flat = np.concatenate(hashes)
+        parts = [grams(codes, q) for codes in self.codes]
+        flat = np.concatenate(parts)
+        # By hash, then item, then place: a stable sort of what comes by item and place.
         order = np.argsort(flat, kind="stable")
-        self.offset = np.concatenate(offsets)[order]
-        self.window = np.concatenate(windows)[order]
+        self.place = np.concatenate([np.arange(len(p)) for p in parts])[order]
+        self.item = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order]
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.rank_item = np.repeat(np.arange(len(self.keys)), self.count) * len(parts) + self.item
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        self.size = np.array([len(part) for part in self.codes])
+        self.length = np.array([len(codes) for codes in self.codes])
+        self.size = np.minimum(self.length, window)  # of an item's windows
         self.budget = np.array([edit_budget(n, q, rate) for n in self.size])
         self.bound = self.size - q + 1 - self.budget * q
         self.reach = int((self.size + self.budget).max())
 
-    def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``window, start, end, edits`` of every verified region of a document."""
+    def regions(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """``item, place in it, start, end, edits`` of every verified window of a document."""
         if self.empty or len(codes) < self.q:
             return
         overlap = self.reach + 4 * int(self.budget.max()) + self.q
@@ -132,7 +137,7 @@ class Index:
             if at + PIECE + overlap >= len(codes):
                 break
 
-    def _search(self, codes: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    def _search(self, codes: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int, int, int, int]]:
         found = grams(codes[low:high], self.q)
         hit = self.bitmap[(found >> np.uint64(64 - _BITS)).astype(np.int64)]
         # Fewer hits in any stretch as long as a window than the least bound: nothing to count.
@@ -144,97 +149,129 @@ class Index:
         key[key == len(self.keys)] = 0
         real = self.keys[key] == found[x]
         x, key = x[real], key[real]
-        count = self.count[key]
-        if not len(x):
+        if len(x):
+            yield from self._items(codes, x + low, key, 0, len(self.codes))
+
+    def _items(self, codes: np.ndarray, x: np.ndarray, key: np.ndarray, a: int, b: int):
+        """Windows of the items from ``a`` to before ``b``; parts of them where they share too much."""
+        n = len(self.codes)
+        if (a, b) == (0, n):
+            first, count = self.first[key], self.count[key]
+        else:
+            first = np.searchsorted(self.rank_item, key * n + a)
+            count = np.searchsorted(self.rank_item, key * n + b) - first
+        hits = int(count.sum())
+        if hits > HITS and b - a > 1:
+            half = (a + b) // 2
+            yield from self._items(codes, x, key, a, half)
+            yield from self._items(codes, x, key, half, b)
+            return
+        if not hits:
             return
-        place = np.repeat(self.first[key] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        window = self.window[place]
-        diagonal = np.repeat(x + low, count) - self.offset[place]
-        step = self.budget[window] + 1
-        band = np.floor_divide(diagonal, step)
+        posting = np.repeat(first - np.cumsum(count) + count, count) + np.arange(hits)
+        item, place = self.item[posting], self.place[posting]
+        band = np.floor_divide(np.repeat(x, count) - place, self.budget[item] + 1)
         # A band and the next one below overlap by a whole step: two bands for each q-gram.
-        shift = np.int64(1) << np.int64(32)
-        half = np.int64(1) << np.int64(31)
-        both = np.concatenate([window * shift + band + half, window * shift + band - 1 + half])
-        bands, shared = np.unique(both, return_counts=True)
-        number = bands // shift
-        good = shared >= self.bound[number]
-        bands, number = bands[good], number[good]
-        for w, j in zip(number, bands % shift - half, strict=True):
-            start = int(j) * (int(self.budget[w]) + 1)
-            if (region := self.verify(codes, int(w), start)) is not None:
-                yield (int(w), *region)
-
-    def verify(self, codes: np.ndarray, w: int, diagonal: int) -> tuple[int, int, int] | None:
-        """Start, end and edits of the best alignment of a window within a band, if good enough.
-
-        The row after i characters of the window holds, for each diagonal d of the band, the
-        edits of the best alignment that ends at document place i + d.
+        item, place = np.tile(item, 2), np.tile(place, 2)
+        band = np.concatenate([band, band - 1])
+        order = np.lexsort((place, band, item))
+        item, band, place = item[order], band[order], place[order]
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (band[1:] != band[:-1])])
+        group = np.cumsum(new) - 1
+        # How many follow within a window: along all groups at once, as each has a range of its own.
+        span = int(self.length.max()) + WINDOW + 1
+        spot = group * span + place
+        last = self.size[item] - self.q
+        within = np.searchsorted(spot, spot + last, side="right") - np.arange(len(spot))
+        good = np.flatnonzero(within >= self.bound[item])
+        if not len(good):
+            return
+        # A window that begins from one to the other has the bound's q-grams from here on.
+        high = np.minimum(place[good], self.length[item[good]] - self.size[item[good]])
+        low = np.maximum(0, place[good + self.bound[item[good]] - 1] - last[good])
+        for g in np.unique(group[good]):
+            mine = group[good] == g
+            starts = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(low[mine], high[mine], strict=True)]))
+            which = int(item[good][mine][0])
+            diagonal = int(band[good][mine][0]) * (int(self.budget[which]) + 1)
+            for i in range(0, len(starts), BATCH):
+                yield from self.verify(codes, which, starts[i : i + BATCH], diagonal)
+
+    def verify(self, codes: np.ndarray, item: int, starts: np.ndarray, diagonal: int):
+        """Item, place in it, start, end and edits of the best alignment within a band of each of the
+        item's windows that is good enough.
+
+        The row after i characters of a window holds, for each diagonal d of the band, the edits
+        of the best alignment that ends at document place i + d; a matrix has a row for each window.
         """
-        part, k = self.codes[w], int(self.budget[w])
+        size, k = int(self.size[item]), int(self.budget[item])
+        part = self.codes[item].astype(np.int64)[starts[:, None] + np.arange(size)]
         width = 2 * (k + 1) + 2 * k
-        first = diagonal - k
         lane = np.arange(width)
-        row, begin = np.zeros(width, dtype=np.int64), first + lane
-        far = np.int64(1) << np.int64(40)
-        begin = begin.copy()
-        row[(begin < 0) | (begin > len(codes))] = far
-        text = np.full(width + len(part), -1, dtype=np.int64)
-        lo, hi = max(0, first), min(len(codes), first + len(text))
-        if hi > lo:
-            text[lo - first : hi - first] = codes[lo:hi]
+        first = diagonal - k + starts[:, None]
+        where = first + np.arange(width + size)
+        inside = (where >= 0) & (where < len(codes))
+        text = np.where(inside, codes[np.clip(where, 0, len(codes) - 1)].astype(np.int64), -1)
         # Without edits the window stands on one diagonal: a plain comparison tells.
-        plain = np.lib.stride_tricks.sliding_window_view(text, len(part))[:width]
-        if len(even := np.flatnonzero((plain == part).all(axis=1))):
-            start = first + int(even[0])
-            return start, start + len(part), 0
-        inside = np.arange(len(text)) + first
-        for i, c in enumerate(part.astype(np.int64)):
-            here = text[i : i + width]
-            new = row + (here != c)
-            new[(inside[i : i + width] < 0) | (inside[i : i + width] >= len(codes))] = far
+        plain = np.lib.stride_tricks.sliding_window_view(text, size, axis=1)[:, :width]
+        even = (plain == part[:, None, :]).all(axis=2)
+        done = even.any(axis=1)
+        for i in np.flatnonzero(done):
+            start = int(first[i, 0] + even[i].argmax())
+            yield item, int(starts[i]), start, start + size, 0
+        if k == 0 or done.all():
+            return
+        part, text, inside, first, starts = (m[~done] for m in (part, text, inside, first, starts))
+        far = np.int64(1) << np.int64(40)
+        begin = first + lane
+        row = np.where((begin < 0) | (begin > len(codes)), far, 0)
+        for i in range(size):
+            new = row + (text[:, i : i + width] != part[:, i : i + 1])
+            new[~inside[:, i : i + width]] = far
             # A character of the window that the text lacks comes from the next diagonal.
-            take = row[1:] + 1 < new[:-1]
+            take = row[:, 1:] + 1 < new[:, :-1]
+            new[:, :-1] = np.where(take, row[:, 1:] + 1, new[:, :-1])
             came = begin.copy()
-            new[:-1][take] = row[1:][take] + 1
-            came[:-1][take] = begin[1:][take]
+            came[:, :-1] = np.where(take, begin[:, 1:], begin[:, :-1])
             # Characters that only the text has: running least, plus one for each step.
             slack = new - lane
-            least = np.minimum.accumulate(slack)
-            source = np.maximum.accumulate(np.where(slack == least, lane, 0))
-            row, begin = least + lane, came[source]
-            if row.min() > k:
-                return None
-        best = int(row.argmin())
-        if row[best] > k:
-            return None
-        return int(begin[best]), int(first + len(part) + best), int(row[best])
+            least = np.minimum.accumulate(slack, axis=1)
+            source = np.maximum.accumulate(np.where(slack == least, lane, 0), axis=1)
+            row, begin = least + lane, np.take_along_axis(came, source, axis=1)
+            alive = row.min(axis=1) <= k
+            if not alive.all():
+                if not alive.any():
+                    return
+                row, begin, part, text, inside, first, starts = (
+                    m[alive] for m in (row, begin, part, text, inside, first, starts)
+                )
+        best = row.argmin(axis=1)
+        for i, j in enumerate(best):
+            if row[i, j] <= k:
+                yield item, int(starts[i]), int(begin[i, j]), int(first[i, 0] + size + j), int(row[i, j])
 
     def contains_any(self, text: str) -> bool:
         return next(self.regions(normalised(text)[0]), None) is not None
 
     def hits(self, text: str) -> list[tuple[int | None, int, int, int, int]]:
-        """``item_id, start, end, windows, edits`` by item: the span of its regions in the text
-        (code points, end exclusive), the windows found and the least edits of one."""
+        """``item_id, start, end, windows, edits`` by item and passage: what windows of an item
+        that overlap in the text span there (code points, end exclusive), how many places of the
+        item these windows have, and the least edits of one."""
         codes, places = normalised(text)
-        best: dict[int, dict[int, tuple[int, int, int]]] = {}
-        for w, start, end, edits in self.regions(codes):
-            into = best.setdefault(self.window_item[w], {})
-            if w not in into or edits < into[w][2]:
-                into[w] = (start, end, edits)
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
+        for item, at, start, end, edits in self.regions(codes):
+            found.setdefault(item, []).append((start, end, at, edits))
         out = []
-        for item, found in sorted(best.items()):
-            start = min(r[0] for r in found.values())
-            end = max(r[1] for r in found.values())
-            out.append(
-                (
-                    self.item_ids[item],
-                    int(places[start]),
-                    int(places[end - 1]) + 1,
-                    len(found),
-                    min(r[2] for r in found.values()),
-                )
-            )
+        for item, regions in sorted(found.items()):
+            passages: list[list] = []
+            for start, end, at, edits in sorted(regions):
+                if not passages or start >= passages[-1][1]:
+                    passages.append([start, end, set(), edits])
+                now = passages[-1]
+                now[1], now[3] = max(now[1], end), min(now[3], edits)
+                now[2].add(at)
+            for start, end, seen, edits in passages:
+                out.append((self.item_ids[item], int(places[start]), int(places[end - 1]) + 1, len(seen), edits))
         return out
 
 
@@ -258,8 +295,8 @@ def indexes(benchmark: DataFrame, id_column: str = "item_id", text_column: str =
 def find_passages(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """``doc_id, item_id, start, end, windows, edits``: documents with passages of items.
 
-    One row for each row of ``docs`` and item of which a window occurs within its edits. A NULL
-    or empty text has no passage; an item with fewer than ``Q`` characters is in none; NULL ids
+    One row for each row of ``docs`` and passage in it where a window of an item occurs within its
+    edits; windows that overlap in the document are one passage. A NULL or empty text has no passage; an item with fewer than ``Q`` characters is in none; NULL ids
     stay NULL; repeated rows and items give repeated results; empty tables give an empty result;
     other columns are ignored, whatever their names.
     """
