@@ -189,11 +189,12 @@ class Index:
         # A window that begins from one to the other has the bound's q-grams from here on.
         high = np.minimum(place[good], self.length[item[good]] - self.size[item[good]])
         low = np.maximum(0, place[good + self.bound[item[good]] - 1] - last[good])
-        for g in np.unique(group[good]):
-            mine = group[good] == g
-            starts = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(low[mine], high[mine], strict=True)]))
-            which = int(item[good][mine][0])
-            diagonal = int(band[good][mine][0]) * (int(self.budget[which]) + 1)
+        item, band, group = item[good], band[good], group[good]
+        ends = [*np.flatnonzero(np.diff(group)) + 1, len(good)]
+        for a, b in zip([0, *ends], ends):
+            starts = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(low[a:b], high[a:b], strict=True)]))
+            which = int(item[a])
+            diagonal = int(band[a]) * (int(self.budget[which]) + 1)
             for i in range(0, len(starts), BATCH):
                 yield from self.verify(codes, which, starts[i : i + BATCH], diagonal)
 
@@ -205,23 +206,34 @@ class Index:
         of the best alignment that ends at document place i + d; a matrix has a row for each window.
         """
         size, k = int(self.size[item]), int(self.budget[item])
-        part = self.codes[item].astype(np.int64)[starts[:, None] + np.arange(size)]
         width = 2 * (k + 1) + 2 * k
         lane = np.arange(width)
-        first = diagonal - k + starts[:, None]
-        where = first + np.arange(width + size)
+        whole, low, high = self.codes[item].astype(np.int64), int(starts[0]), int(starts[-1]) + size
+        # Without edits a window stands on one diagonal: how many of its characters agree there.
+        along = np.arange(low, high)
+        where = diagonal - k + lane[:, None] + along
         inside = (where >= 0) & (where < len(codes))
-        text = np.where(inside, codes[np.clip(where, 0, len(codes) - 1)].astype(np.int64), -1)
-        # Without edits the window stands on one diagonal: a plain comparison tells.
-        plain = np.lib.stride_tricks.sliding_window_view(text, size, axis=1)[:, :width]
-        even = (plain == part[:, None, :]).all(axis=2)
-        done = even.any(axis=1)
+        agree = inside & (codes[np.clip(where, 0, len(codes) - 1)] == whole[along])
+        run = np.zeros((width, len(along) + 1), dtype=np.int32)
+        np.cumsum(agree, axis=1, out=run[:, 1:])
+        even = run[:, starts - low + size] - run[:, starts - low] == size
+        done = even.any(axis=0)
         for i in np.flatnonzero(done):
-            start = int(first[i, 0] + even[i].argmax())
+            start = diagonal - k + int(even[:, i].argmax()) + int(starts[i])
             yield item, int(starts[i]), start, start + size, 0
-        if k == 0 or done.all():
+        # The same lemma for grams half as long, on the band's diagonals only, spares most alignments.
+        short = max(2, self.q // 2)
+        shared = (run[:, short:] - run[:, :-short] == short).any(axis=0)
+        count = np.concatenate([[0], np.cumsum(shared)])
+        at = starts - low
+        starts = starts[~done & (count[at + size - short + 1] - count[at] >= size - short + 1 - k * short)]
+        if k == 0 or not len(starts):
             return
-        part, text, inside, first, starts = (m[~done] for m in (part, text, inside, first, starts))
+        part = whole[starts[:, None] + np.arange(size)]
+        first = diagonal - k + starts[:, None]
+        where = first + np.arange(width + size)
+        inside = (where >= 0) & (where < len(codes))
+        text = np.where(inside, codes[np.clip(where, 0, len(codes) - 1)].astype(np.int64), -1)
         far = np.int64(1) << np.int64(40)
         begin = first + lane
         row = np.where((begin < 0) | (begin > len(codes)), far, 0)
