@@ -33,6 +33,7 @@ from gradus import schema as S
 from gradus.functions.cleaning import nan_as_null
 from gradus.functions.decisions import argmax_class
 from gradus.operators.splitting import known_label
+from gradus.operators.sums import array_sum
 from gradus.session import write_out
 
 MOST_BINS = 255
@@ -355,26 +356,17 @@ def _sums_by_job(
     """The sums of a level over written rows with their margins, as one job."""
     shared = state.sparkSession.sparkContext.broadcast((list(earlier), trees))
 
-    def level_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def level_sums(batch: pd.DataFrame) -> np.ndarray:
         before, current = shared.value
-        total = None
-        for batch in batches:
-            if len(batch):
-                rows = _read(batch, layout, before)
-                rows.begin()
-                for _ in range(1, level):
-                    for k in range(classes):
-                        rows.nodes[:, k] = current.descend(rows.bins, rows.nodes[:, k], k, layout.missing)
-                own = rows.sums(current, level).ravel()
-                total = own if total is None else total + own
-        if total is not None:
-            yield pd.DataFrame({"sums": [total]})
-
-    parts = state.mapInPandas(level_sums, "sums array<double>").select(F.posexplode("sums"))
+        rows = _read(batch, layout, before)
+        rows.begin()
+        for _ in range(1, level):
+            for k in range(classes):
+                rows.nodes[:, k] = current.descend(rows.bins, rows.nodes[:, k], k, layout.missing)
+        return rows.sums(current, level)
+
     shape = (classes, max(1, 2 ** (level - 1)), layout.width, 2)
-    out = np.zeros(math.prod(shape))
-    for r in parts.groupBy("pos").agg(F.sum("col").alias("s")).collect():  # as many as a level's sums
-        out[r["pos"]] = r["s"]
+    out = array_sum(state, level_sums, math.prod(shape))
     shared.destroy()
     return out.reshape(shape)
 

@@ -11,16 +11,13 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradus import schema as S
-from gradus.functions.decisions import argmax_class, threshold_class
+from gradus.functions.decisions import threshold_class
 from gradus.operators.boosting import INFO as BOOSTED_INFO
 from gradus.operators.boosting import BoostedModel
 from gradus.operators.knn import (
@@ -31,6 +28,9 @@ from gradus.operators.knn import (
     only_useful,
     vote_here,
 )
+from gradus.operators.logistic import INFO as LOGISTIC_INFO
+from gradus.operators.logistic import LogisticModel, newton
+from gradus.operators.logistic import complete as complete_row
 from gradus.operators.splitting import known_label
 from gradus.session import write_out
 
@@ -42,8 +42,9 @@ ROWS_PER_TASK = 25_000  # distinct training rows that are worth a task of their
 @contextmanager
 def _collapsed(
     train: DataFrame, features: Sequence[str], label: str, classes: Sequence[int]
-) -> Iterator[DataFrame]:
-    """Equal training rows as one persisted row with ``copies`` and the sum of their balanced weights.
+) -> Iterator[tuple[DataFrame, list[int], int]]:
+    """Equal training rows as one persisted row with ``copies`` and the sum of their balanced weights,
+    the classes that they have, and the number of partitions.
 
     A weighted loss over the collapsed rows is the loss over all rows, so every later pass of
     a fit reads the distinct rows only. Flags and codes repeat massively in a registry.
@@ -61,16 +62,16 @@ def _collapsed(
         weight = {c: total / (len(per_class) * n) for c, n in per_class.items()}
         factor = F.create_map(*[F.lit(v) for pair in weight.items() for v in pair])[F.col(label)]
         # A fit is many short passes: a small table in many partitions is mostly scheduling.
-        yield rows.coalesce(tasks).withColumn(WEIGHT, F.col("copies") * factor)
+        yield rows.coalesce(tasks).withColumn(WEIGHT, F.col("copies") * factor), sorted(per_class), tasks
     finally:
         rows.unpersist()
 
 
-def _scaler(rows: DataFrame, features: Sequence[str]) -> tuple[SQLTransformer, int]:
-    """Population z-score of collapsed rows as a fixed projection, and the number of rows.
+def _scale(rows: DataFrame, features: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Population mean and deviation of collapsed rows (1 for a constant column), and the number of rows.
 
-    A constant column gives 0. The sums are taken around some row's values, so that the
-    variance does not vanish in the rounding of large numbers.
+    The sums are taken around some row's values, so that the variance does not vanish in the
+    rounding of large numbers.
     """
     some = rows.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).first()
     moments = []
@@ -78,31 +79,11 @@ def _scaler(rows: DataFrame, features: Sequence[str]) -> tuple[SQLTransformer, i
         gap = F.col(c).cast("double") - F.lit(shift)
         moments += [F.sum(gap * F.col("copies")), F.sum(gap * gap * F.col("copies"))]
     n, *sums = rows.agg(F.sum("copies"), *moments).first()
-    columns = []
-    for i, (c, shift) in enumerate(zip(features, some)):
-        mean, square = sums[2 * i] / n, sums[2 * i + 1] / n
-        deviation = math.sqrt(max(square - mean * mean, 0.0)) or 1.0
-        columns.append(f"(CAST(`{c}` AS DOUBLE) - {shift + mean!r}D) / {deviation!r}D AS `{c}_scaled`")
-    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__"), n
-
-
-class ScoringModel:
-    """A fitted pipeline with a uniform ``score``."""
-
-    def __init__(self, pipeline: PipelineModel):
-        self.pipeline = pipeline
-
-    def score(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``probabilities`` and ``prediction``; the stages' own columns are dropped."""
-        probabilities = self.pipeline.transform(df).withColumn(
-            "probabilities", vector_to_array("probability")
-        )
-        return probabilities.select(*df.columns, "probabilities").withColumn(
-            "prediction", argmax_class(F.col("probabilities"))
-        )
-
-    def save(self, path: str) -> None:
-        self.pipeline.write().overwrite().save(path)
+    mean, square = np.array(sums[0::2]) / n, np.array(sums[1::2]) / n
+    deviation = np.sqrt(np.maximum(square - mean * mean, 0.0))
+    # What is left of a constant's variance by rounding is no variance.
+    deviation[deviation <= 1e-12 * np.maximum(1.0, np.abs(mean))] = 0.0
+    return np.array(some) + mean, np.where(deviation > 0, deviation, 1.0), n
 
 
 class KnnModel:
@@ -173,7 +154,7 @@ class KnnModel:
         return cls(spark.read.parquet(f"{path}/rows"), info)
 
 
-def load_model(spark: SparkSession, path: str) -> ScoringModel | KnnModel | BoostedModel:
+def load_model(spark: SparkSession, path: str) -> LogisticModel | KnnModel | BoostedModel:
     """A saved model. ``FileNotFoundError`` if the path is missing, ``ValueError`` if it holds
     something else."""
     def there(sub: str) -> bool:
@@ -191,41 +172,32 @@ def load_model(spark: SparkSession, path: str) -> ScoringModel | KnnModel | Boos
         return KnnModel.load(spark, path)
     if there(f"/{BOOSTED_INFO}"):
         return BoostedModel.load(spark, path)
-    if not there("/metadata"):
-        raise ValueError(f"not a saved model: {path}")
-    try:
-        return ScoringModel(PipelineModel.load(path))
-    except Exception as error:
-        raise ValueError(f"not a saved pipeline: {path}") from error
+    if there(f"/{LOGISTIC_INFO}"):
+        return LogisticModel.load(spark, path)
+    raise ValueError(f"not a saved model: {path}")
 
 
 def fit_logistic(
     train: DataFrame, features: Sequence[str] = tuple(S.FEATURES), label: str = S.TARGET,
     classes: Sequence[int] = S.LEVELS, c: float = 1.0, max_iter: int = 1000,
     handle_invalid: str = "error",
-) -> ScoringModel:
-    """Scaled multinomial regression with balanced class weights.
+) -> LogisticModel:
+    """Scaled multinomial regression with balanced class weights: the minimum of the summed weighted
+    loss plus half of 1/C times the squared slopes, by Newton steps over the distinct rows.
 
-    The library averages the loss over the weights where others sum it, so the ridge strength
-    1/C becomes 1/(C * total weight). Balanced weights sum to the number of rows.
+    A row with a missing feature fails the job, or is left out of the fit under ``skip``.
     """
+    whole = complete_row(features)
     if handle_invalid == "skip":
-        train = train.na.drop(subset=list(features))
-    with _collapsed(train, features, label, classes) as rows:
-        scaler, total = _scaler(rows, features)
-        stages = [
-            scaler,
-            VectorAssembler(
-                inputCols=[f"{c}_scaled" for c in features], outputCol="features",
-                handleInvalid=handle_invalid,
-            ),
-            LogisticRegression(
-                family="multinomial", labelCol=label, weightCol=WEIGHT, featuresCol="features",
-                maxIter=max_iter, regParam=1.0 / (c * total), elasticNetParam=0.0,
-                standardization=False,
-            ),
-        ]
-        return ScoringModel(Pipeline(stages=stages).fit(rows))
+        train = train.filter(whole)
+    with _collapsed(train, features, label, classes) as (rows, present, parts):
+        holed = F.when(whole, F.col(WEIGHT)).otherwise(F.raise_error(F.lit("a feature is missing")))
+        rows = rows.select(label, "copies", *[F.col(f).cast("double").alias(f) for f in features], holed.alias(WEIGHT))
+        means, deviations, total = _scale(rows, features)
+        theta = newton(
+            rows, features, label, WEIGHT, present, means, deviations, 1.0 / c, total, max_iter, parts
+        )
+        return LogisticModel.of(theta, present, classes, features, means, deviations, handle_invalid)
 
 
 @dataclass(frozen=True)
@@ -235,7 +207,7 @@ class Registered:
     name: str
     description: str
     path: str
-    fit: Callable[..., ScoringModel | KnnModel | BoostedModel]
+    fit: Callable[..., LogisticModel | KnnModel | BoostedModel]
     threshold: float | None = None
 
 
@@ -278,7 +250,7 @@ def train_all(train: DataFrame, models: dict[str, Registered]) -> None:
 
 
 def score_with(
-    model: ScoringModel | KnnModel | BoostedModel, df: DataFrame, threshold: float | None = None,
+    model: LogisticModel | KnnModel | BoostedModel, df: DataFrame, threshold: float | None = None,
 ) -> DataFrame:
     """Scored rows; with a threshold the class-0 rule replaces the most probable class."""
     scored = model.score(df)
