@@ -27,6 +27,14 @@ STATE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
+#: In a shared folder that is mounted as files, a checkpoint file by way of a file context takes
+#: several child processes of the executor (for links and permissions); this manager takes one.
+MOUNTED = {
+    "spark.sql.streaming.checkpointFileManagerClass": (
+        "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"
+    ),
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",  # Hadoop's own are kept there
+}
 #: Locators of repeated rows are broadcast up to this many, about 100 bytes each.
 BROADCAST_ROWS = 200_000
 _KEEP = "keep struct<doc_id:long,file:string,row:long>"
@@ -73,8 +81,11 @@ def ingest(
     """
     if set(path) & set("[]{}*?\\"):
         raise ValueError(f"characters of a pattern in the path: {path}")
-    before = {key: spark.conf.get(key, None) for key in STATE}
-    for key, value in STATE.items():
+    place = spark._jvm.org.apache.hadoop.fs.Path(store)
+    scheme = place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    settings = STATE | MOUNTED if scheme == "file" else STATE
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         # A pattern that only the path itself matches: a stream takes a single file only so.
