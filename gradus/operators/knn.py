@@ -7,12 +7,14 @@ k rows before anything else happens.
 
 * Few training vectors (counted first, at most ``broadcast_bytes``): they are broadcast as one
   matrix and each query row is answered where it lies.
-* More: training vectors are assigned to the nearest of some pivots, whose number grows with them. The pivot
-  distances give each query row a radius that surely holds k neighbours, and lower bounds for
-  the rows of every cell; the row goes only to the cells it cannot rule out. Cells with many
-  rows on either side are cut into blocks by id hash. A block of bounded size is compared
-  inside one task, which emits at most k rows per query row; a last shuffle keeps the best k
-  over all blocks.
+* More: training vectors are assigned to the nearest of some pivots, whose number grows with them, and
+  every cell is cut into rings by the distance to its pivot. A query row first meets one block of
+  the ring that it would lie in itself, which gives a true distance of k neighbours. With that radius
+  it goes to the rings it can't rule out, by the ring's inner and outer gap and by the plane
+  between two pivots, and to no other. A dense ring is cut into blocks by id hash, and so are many
+  query rows of one ring. A block of bounded size is compared inside one task, which emits at most k
+  rows per query row; a last shuffle keeps the best k over all blocks. A worker holds the
+  pivots, a row for each ring, and distances of a million (row, pivot) pairs at a time.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from gradus.session import write_out
 BROADCAST_BYTES = 8 << 20
 BLOCK_ROWS = 20_000
 PIVOTS, MOST_PIVOTS = 256, 4096
+RINGS = 32  # rings of a cell at most
+PAIRS = 1_000_000  # (row, pivot) pairs of a worker at a time: 8 MB an array
+EMIT = 10_000  # routed rows that a worker makes at a time
 DIGITS = 9
 SAMPLE = 2048  # points from which a block's search radius is taken
 
@@ -171,113 +176,241 @@ def _broadcast_join(queries: DataFrame, local, k: int, out: str) -> DataFrame:
     return queries.repartition(tasks, "query_id").mapInPandas(run, out)
 
 
-def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
+def _row_blocks(n: int, width: int):
+    """Slices of rows whose pairs with ``width`` pivots fit a worker."""
+    step = max(1, PAIRS // max(1, width))
+    return [slice(a, min(n, a + step)) for a in range(0, n, step)]
+
+
+def _gaps(vectors, centres, middle):
+    """Distances of rows to all pivots, and a bound for their rounding errors.
+
+    Measured from the middle of the pivots, as a matrix product.
+    """
     import numpy as np
 
-    spark = queries.sparkSession
-    queries = write_out(queries.withColumn("query_key", F.monotonically_increasing_id()), "knn-queries")
-    chosen = points.orderBy(F.md5(F.col("train_id").cast("string").cast("binary")), "train_id")
-    picked = [r[0] for r in chosen.select("vec").limit(pivots).collect()]
-    centres = np.unique(np.array(picked, dtype=float), axis=0)
-    centre_var = spark.sparkContext.broadcast(centres)  # pivots x width numbers
+    v, c = vectors - middle, centres - middle
+    own, other = np.einsum("ij,ij->i", v, v), np.einsum("ij,ij->i", c, c)
+    square = own[:, None] + other - 2.0 * (v @ c.T)
+    return np.sqrt(np.maximum(square, 0.0)), 1e-7 * np.sqrt(own + other.max())
+
 
-    def gaps(np, vectors):
-        c = centre_var.value
-        return np.sqrt(np.stack([((vectors - p) ** 2).sum(axis=1) for p in c], axis=1))
+def _cells(points: DataFrame, centres, middle) -> DataFrame:
+    """Points with the ``cell`` of their nearest pivot and the ``gap`` to it."""
+    shared = points.sparkSession.sparkContext.broadcast((centres, middle))
 
     def assign(batches):
         import numpy as np
 
+        pivots, origin = shared.value
         for batch in batches:
-            if not batch.empty:
-                gap = gaps(np, np.array(batch["vec"].tolist(), dtype=float))
-                yield batch.assign(cell=gap.argmin(axis=1).astype("int32"), gap=gap.min(axis=1))
+            if batch.empty:
+                continue
+            vectors = np_array(batch["vec"])
+            cell = np.concatenate([
+                _gaps(vectors[part], pivots, origin)[0].argmin(axis=1)
+                for part in _row_blocks(len(vectors), len(pivots))
+            ])
+            gap = np.sqrt(((vectors - pivots[cell]) ** 2).sum(axis=1))
+            yield batch.assign(cell=cell.astype("int32"), gap=gap)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    placed = write_out(points.mapInPandas(assign, f"{fields}, cell int, gap double"), "knn-cells")
-    # Per cell: rows, smallest and largest gap to the pivot, and the gap within which k rows lie.
-    by_gap = Window.partitionBy("cell").orderBy("gap")
-    nearest = placed.withColumn("at", F.row_number().over(by_gap)).filter(F.col("at") <= k)
-    cells = {
-        r["cell"]: r
-        for r in placed.groupBy("cell").agg(
-            F.count(F.lit(1)).alias("n"), F.min("gap").alias("inner"), F.max("gap").alias("outer")
-        ).join(nearest.groupBy("cell").agg(F.max("gap").alias("kth")), "cell").collect()
-    }
-    used = np.array(sorted(cells))
-    sizes, inner, outer, kth = (
-        np.array([cells[c][name] for c in used]) for name in ("n", "inner", "outer", "kth")
-    )
-    apart = np.sqrt(((centres[:, None, :] - centres[None, used, :]) ** 2).sum(axis=2))
+    return points.mapInPandas(assign, f"{fields}, cell int, gap double")
 
-    def route(batches):
-        import numpy as np
 
-        for batch in batches:
-            if batch.empty:
-                continue
-            every = gaps(np, np.array(batch["vec"].tolist(), dtype=float))
-            gap, home = every[:, used], every.argmin(axis=1)
-            # Upper bound for the k-th distance: k rows of one cell, or all rows of several.
-            far = gap + outer
-            order = np.argsort(far, axis=1)
-            held = np.cumsum(sizes[order], axis=1)
-            enough = np.where(held[:, -1] >= k, (held >= k).argmax(axis=1), len(used) - 1)
-            at = np.arange(len(gap))
-            reach = far[at, order[at, enough]]
-            reach = np.minimum(reach, np.where(sizes >= k, gap + kth, np.inf).min(axis=1))
-            # Lower bound for any row of a cell: its ring around the pivot, and the plane
-            # halfway between its pivot and the pivot nearest to the query row.
-            between = apart[home]
-            plane = (gap ** 2 - (every.min(axis=1) ** 2)[:, None]) / np.where(between > 0, 2 * between, np.inf)
-            least = np.maximum(np.maximum(gap - outer, inner - gap), plane)
-            rows, cols = np.nonzero(least <= (reach + 1e-6 * (1.0 + reach))[:, None])
-            yield batch.iloc[rows].assign(cell=used[cols].astype("int32"))
-
-    query_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
-    routed = write_out(queries.mapInPandas(route, f"{query_fields}, cell int"), "knn-routed")
-    visits = {r["cell"]: r["n"] for r in routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def blocks(counts: dict[int, int]) -> Column:
-        pairs = [F.lit(int(v)) for c, n in counts.items() for v in (c, math.ceil(n / block_rows))]
-        return F.create_map(*pairs)[F.col("cell")].cast("bigint")
-
-    point_blocks, query_blocks = blocks({c: r["n"] for c, r in cells.items()}), blocks(visits)
-    first_block = F.lit(0).cast("bigint")
-    # Every point block of a cell meets every query block of it: each side is hashed into its
-    # own blocks and copied once per block of the other side.
-    left = (
-        routed.withColumn("query_block", F.pmod(F.xxhash64("query_key"), query_blocks))
-        .withColumn("point_block", F.explode(F.sequence(first_block, point_blocks - 1)))
+def _rings(placed: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Points with their ``ring`` and ``block``, and a row for each ring: rows, blocks, gaps.
+
+    The rings of a cell have about as many rows each; what a ring has beyond ``block_rows`` is cut
+    into blocks by a hash of the id.
+    """
+    ranks = [i / RINGS for i in range(1, RINGS)]
+    edges = placed.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("gap", ranks, 10 * RINGS).alias("edges")
+    )
+    wanted = F.least(F.lit(RINGS), F.ceil(F.col("n") / block_rows)).cast("int")
+    # Every (RINGS / wanted)-th edge.
+    kept = F.transform(
+        F.sequence(F.lit(1), wanted - 1), lambda i: F.col("edges")[F.floor(i * RINGS / wanted).cast("int") - 1]
     )
-    right = (
-        placed.filter(F.col("cell").isin([int(c) for c in visits]))
-        .withColumn("point_block", F.pmod(F.xxhash64("train_id"), point_blocks))
-        .withColumn("query_block", F.explode(F.sequence(first_block, query_blocks - 1)))
+    cuts = edges.select("cell", F.when(wanted > 1, kept).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    ring = F.size(F.filter("cuts", lambda x: x < F.col("gap")))
+    ringed = write_out(placed.join(cuts, "cell").withColumn("ring", ring).drop("cuts"), "knn-rings")
+    stats = ringed.groupBy("cell", "ring").agg(
+        F.count(F.lit(1)).alias("n"), F.min("gap").alias("inner"), F.max("gap").alias("outer")
     )
+    stats = write_out(stats.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int")), "knn-ring-stats")
+    blocks = stats.select("cell", "ring", "blocks")
+    block = F.pmod(F.xxhash64("train_id"), F.col("blocks")).cast("int")
+    return ringed.join(blocks, ["cell", "ring"]).withColumn("block", block).drop("blocks", "gap"), stats
+
+
+def _meet(left: DataFrame, right: DataFrame, k: int, block_rows: int, out: str, row_of) -> DataFrame:
+    """Query rows (with cell, ring, block) compared with the points of their block.
+
+    Many query rows of one block are cut by a hash of their key, and the block's points are
+    copied for each part. ``row_of`` makes the result from a task's query rows and findings.
+    """
+    keys = ["cell", "ring", "block"]
+    visits = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    visits = write_out(visits, "knn-visits")
+    many = visits.filter("parts > 1")
+    part = F.pmod(F.xxhash64("query_key"), F.coalesce("parts", F.lit(1))).cast("int")
+    left = left.join(many, keys, "left").withColumn("part", part).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    right = right.join(visits, keys).withColumn("part", copies).drop("parts")
     search = _searcher(k)
 
     def compare(queries_pdf, points_pdf):
-        import numpy as np
-        import pandas as pd
+        if not len(queries_pdf):
+            return row_of(queries_pdf, points_pdf, [])
+        found = []
+        if len(points_pdf):
+            found = list(search(np_array(queries_pdf["vec"]), np_array(points_pdf["vec"]), points_pdf["train_id"].to_numpy()))
+        return row_of(queries_pdf, points_pdf, found)
+
+    return left.groupBy(*keys, "part").cogroup(right.groupBy(*keys, "part")).applyInPandas(compare, out)
+
+
+def _found_rows(queries_pdf, points_pdf, found):
+    """A row for each finding."""
+    import pandas as pd
 
-        parts = []
-        if len(queries_pdf) and len(points_pdf):
-            vectors = np.array(queries_pdf["vec"].tolist(), dtype=float)
-            matrix = np.array(points_pdf["vec"].tolist(), dtype=float)
+    parts = [
+        queries_pdf[["query_key", "query_id"]].iloc[rows].reset_index(drop=True).assign(
+            rank=rank, train_id=points_pdf["train_id"].to_numpy()[cols], dist2=dist,
+            label=points_pdf["label"].to_numpy()[cols],
+        )
+        for rows, rank, cols, dist in found
+    ]
+    empty = pd.DataFrame({c: [] for c in ("query_key", "query_id", "rank", "train_id", "dist2", "label")})
+    return pd.concat(parts) if parts else empty
+
+
+def _partitioned_join(queries, points, k, out, block_rows, pivots) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    spark = queries.sparkSession
+    queries = write_out(queries.withColumn("query_key", F.monotonically_increasing_id()), "knn-queries")
+    chosen = points.orderBy(F.md5(F.col("train_id").cast("string").cast("binary")), "train_id")
+    picked = [r[0] for r in chosen.select("vec").limit(pivots).collect()]
+    centres = np.unique(np.array(picked, dtype=float), axis=0)
+    middle = centres.mean(axis=0)
+    placed = write_out(_cells(points, centres, middle), "knn-cells")
+    blocked, stats = _rings(placed, block_rows)
+    blocked = write_out(blocked, "knn-blocks")
+    # A row for each ring: at most the rows over ``block_rows``, and one more for each cell.
+    rings = stats.orderBy("cell", "ring").toPandas()
+    cell_at = np.unique(rings["cell"].to_numpy(), return_index=True)
+    shared = spark.sparkContext.broadcast((centres, middle, rings, *cell_at))
+
+    def near(vectors):
+        """Distances to all pivots, their rounding errors, and distances to the pivots with a cell."""
+        pivots_, middle_, _, used, _ = shared.value
+        every, slack = _gaps(vectors, pivots_, middle_)
+        return every, slack, every[:, used]
+
+    def spread(cells_of_rows, starts, total):
+        """All (row, ring) pairs of (row, cell) pairs: positions of the pair and of the ring."""
+        ends = np.append(starts[1:], total)
+        count = ends[cells_of_rows] - starts[cells_of_rows]
+        pair = np.repeat(np.arange(len(count)), count)
+        first = np.repeat(np.cumsum(count) - count, count)
+        return pair, starts[cells_of_rows][pair] + np.arange(len(pair)) - first
+
+    def at_home(batches):
+        _, _, table, _, starts = shared.value
+        n, inner, outer = (table[c].to_numpy() for c in ("n", "inner", "outer"))
+        for batch in batches:
+            if batch.empty:
+                continue
+            vectors, picks = np_array(batch["vec"]), []
+            for part in _row_blocks(len(vectors), len(shared.value[0])):
+                gap = near(vectors[part])[2]
+                home = gap.argmin(axis=1)
+                row, ring = spread(home, starts, len(table))
+                own = gap[np.arange(len(gap)), home][row]
+                off = np.maximum(np.maximum(inner[ring] - own, own - outer[ring]), 0.0)
+                # The nearest ring that has k rows in its first block, else the one with most rows.
+                off = np.where(n[ring] >= 2 * k, off, 1e200 / n[ring])
+                order = np.lexsort((off, row))
+                picks.append(ring[order[np.flatnonzero(np.diff(row[order], prepend=-1))]])
+            ring = np.concatenate(picks)
+            yield batch.assign(
+                cell=table["cell"].to_numpy()[ring], ring=table["ring"].to_numpy()[ring], block=np.int32(0)
+            )
+
+    def with_findings(queries_pdf, points_pdf, found):
+        """A row for each query row, its findings as arrays."""
+        rows = queries_pdf.drop(columns=["part", "block"]).reset_index(drop=True)
+        held = [([], [], []) for _ in range(len(rows))]
+        if found:
             ids, labels = points_pdf["train_id"].to_numpy(), points_pdf["label"].to_numpy()
-            query_ids = queries_pdf[["query_key", "query_id"]]
-            for rows, rank, cols, dist in search(vectors, matrix, ids):
-                parts.append(
-                    query_ids.iloc[rows].reset_index(drop=True).assign(
-                        rank=rank, train_id=ids[cols], dist2=dist, label=labels[cols]
+            for at, _, cols, dist in found:
+                for i, j, d in zip(at, cols, dist):
+                    for into, value in zip(held[i], (ids[j], float(d), int(labels[j]))):
+                        into.append(value)
+        names = ("train_ids", "dists", "labels")
+        return rows.assign(**{name: pd.Series([h[i] for h in held], dtype=object) for i, name in enumerate(names)})
+
+    def onward(batches):
+        _, _, table, _, starts = shared.value
+        inner, outer, blocks = (table[c].to_numpy() for c in ("inner", "outer", "blocks"))
+        cell, ring_no = table["cell"].to_numpy(), table["ring"].to_numpy()
+        sizes = np.add.reduceat(table["n"].to_numpy(), starts)
+        widest = np.maximum.reduceat(outer, starts)
+        closest = np.minimum.reduceat(inner, starts)
+        for batch in batches:
+            if batch.empty:
+                continue
+            vectors, seen = np_array(batch["vec"]), batch["dists"].to_numpy()
+            for part in _row_blocks(len(vectors), len(shared.value[0])):
+                every, slack, gap = near(vectors[part])
+                at = np.arange(len(gap))
+                reach = np.array([math.sqrt(d[k - 1]) if len(d) >= k else np.inf for d in seen[part]])
+                # Where home had too few rows: all rows of the cells that surely hold k.
+                far = gap + widest
+                order = np.argsort(far, axis=1)
+                held = np.cumsum(sizes[order], axis=1)
+                enough = np.where(held[:, -1] >= k, (held >= k).argmax(axis=1), len(sizes) - 1)
+                reach = np.minimum(reach, np.where(held[:, -1] >= k, far[at, order[at, enough]], np.inf))
+                reach = reach + 1e-6 * (1.0 + reach) + slack
+                # The plane halfway between a cell's pivot and the one nearest to the row.
+                nearest = every.argmin(axis=1)
+                between = _gaps(shared.value[0][nearest], shared.value[0], shared.value[1])[0][:, shared.value[3]]
+                plane = (gap**2 - (every.min(axis=1) ** 2)[:, None]) / np.where(between > 0, 2 * between, np.inf)
+                least = np.maximum(np.maximum(gap - widest, closest - gap), plane)
+                row, column = np.nonzero(least <= reach[:, None])
+                pair, ring = spread(column, starts, len(table))
+                row = row[pair]
+                own = gap[row, column[pair]]
+                inside = np.maximum(own - outer[ring], inner[ring] - own) <= reach[row]
+                row, ring = row[inside], ring[inside]
+                copy = np.repeat(np.arange(len(row)), blocks[ring])
+                block = np.arange(len(copy)) - np.repeat(np.cumsum(blocks[ring]) - blocks[ring], blocks[ring])
+                row, ring = row[copy] + part.start, ring[copy]
+                done = (block == 0) & (cell[ring] == batch["cell"].to_numpy()[row]) & (
+                    ring_no[ring] == batch["ring"].to_numpy()[row])
+                row, ring, block = row[~done], ring[~done], block[~done]
+                # Vectors are copied by row: some of the pairs at a time.
+                for some in _row_blocks(len(row), PAIRS // EMIT):
+                    kept = batch[["query_id", "vec", "query_key"]].iloc[row[some]]
+                    yield kept.assign(
+                        cell=cell[ring[some]], ring=ring_no[ring[some]], block=block[some].astype("int32")
                     )
-                )
-        empty = pd.DataFrame({c: [] for c in ("query_key", "query_id", "rank", "train_id", "dist2", "label")})
-        return pd.concat(parts) if parts else empty
 
-    keys = ["cell", "query_block", "point_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, out)
+    kinds = {f.name: f.dataType.simpleString() for f in (*queries.schema.fields, *points.schema.fields)}
+    fields = f"query_id {kinds['query_id']}, vec array<double>, query_key bigint, cell int, ring int"
+    queries = queries.select("query_id", "vec", "query_key")
+    home = write_out(queries.mapInPandas(at_home, f"{fields}, block int"), "knn-home")
+    arrays = f"train_ids array<{kinds['train_id']}>, dists array<double>, labels array<int>"
+    first = write_out(_meet(home, blocked, k, block_rows, f"{fields}, {arrays}", with_findings), "knn-first")
+    routed = write_out(first.mapInPandas(onward, f"{fields}, block int"), "knn-routed")
+    second = _meet(routed, blocked, k, block_rows, out, _found_rows)
+    each = F.inline(F.arrays_zip("train_ids", "dists", "labels")).alias("train_id", "dist2", "label")
+    own = first.select("query_key", "query_id", F.lit(0).alias("rank"), each)
+    return second.unionByName(own)
 
 
 def few_points(points: DataFrame, width: int, broadcast_bytes: int = BROADCAST_BYTES) -> bool:

@@ -104,3 +104,33 @@ def test_no_training_rows(spark):
     a, b = frames(spark, [[0.0]], [[1.0]], [0])
     with pytest.raises(ValueError):
         K.knn_join(a, b.limit(0), "vec", "id", "id")
+
+
+def test_visits_stay_flat_as_training_rows_grow(spark, monkeypatch):
+    visits = {}
+
+    def noted(df, name, write=K.write_out):
+        out = write(df, name)
+        visits[name] = out.count()
+        return out
+
+    monkeypatch.setattr(K, "write_out", noted)
+    rng = np.random.default_rng(3)
+    test = rng.normal(size=(200, 3))
+    per_query = []
+    for n in (2_000, 20_000):
+        a, b = frames(spark, rng.normal(size=(n, 3)), test, rng.integers(0, 3, n))
+        rows = K.knn_join(a, b, "vec", "id", "id", k=7, broadcast_bytes=0, pivots=int(n**0.5), block_rows=100)
+        assert rows.count() == 7 * len(test)
+        per_query.append(visits["knn-routed"] / len(test))
+    assert per_query[1] < 1.5 * per_query[0] and per_query[1] < 0.2 * 20_000 / 100
+
+
+def test_values_far_from_zero_keep_their_neighbours(spark):
+    train, test, labels = data("normal", 500, 40)
+    a, b = frames(spark, train + 1e7, test + 1e7, labels)
+    for options in (ROUTES["broadcast"], ROUTES["partitioned"]):
+        rows = K.knn_join(a, b, "vec", "id", "id", k=7, **options)
+        got = {(r.query_id, r.rank): r.dist2 for r in rows.collect()}
+        want = {row[:2]: row[3] for row in brute(train + 1e7, test + 1e7, labels, 7)}
+        assert got == want
