@@ -65,9 +65,34 @@ _TAIL = re.compile(r"([^\w])\1+$|[.,;:?\"')\]}…»]+$")
 _HEAD = re.compile(r"^[\"'(\[{«¿.,;:]+")
 _JOINED = re.compile(r"^\w(?:[.\-_*·~/]+\w){2,}$")
 _DOUBLE = re.compile(r"(.)\1")
+_SEPARATORS = re.compile(r"[.\-_*·~/]+")
+_RUNS = re.compile(r"(.)\1+")
 _PIECE = re.compile(rf"[\w{re.escape(_MARKS)}]{{1,{SHORT}}}")
 
 
+def _classes() -> dict[int, str]:
+    """A class for each character: look-alikes and all letters that they may stand for are one."""
+    one: dict[str, str] = {}
+
+    def find(c: str) -> str:
+        while one.setdefault(c, c) != c:
+            c = one[c]
+        return c
+
+    for mark, letters in LOOK_ALIKES.items():
+        for letter in letters:
+            one[find(letter)] = find(mark)
+    return {ord(c): find(c) for c in list(one)}
+
+
+_CLASSES = _classes()
+
+
+def outline(written: str) -> str:
+    """What all readings of a word have in common: the classes of its characters, each run once."""
+    return _RUNS.sub(r"\1", written.translate(_CLASSES))
+
+
 def symbol_table() -> np.ndarray:
     """Symbol number of each character below U+0250; blanks count as a blank."""
     out = np.full(0x250, OTHER, dtype=np.int64)
@@ -234,7 +259,7 @@ class Channel:
         if " " in token:
             return " ".join(_ENDS.sub("", word) for word in self.decode(token).split())
         if _JOINED.match(token) and _LETTER.search(token):
-            token = re.sub(r"[.\-_*·~/]+", "", token)
+            token = _SEPARATORS.sub("", token)
         if token.isalpha() and not _DOUBLE.search(token):
             return token
         word = _HEAD.sub("", _TAIL.sub("", token))
@@ -291,26 +316,37 @@ class Model:
     curve: tuple[float, float]
 
     def __post_init__(self) -> None:
-        #: What a word with evidence begins with: four characters, or all of a shorter one.
-        self.heads = {f[:4] for f in self.odds}
+        #: Outlines of what a word with evidence begins with, and of those that are shorter.
+        self.heads = {outline(f[:4]) for f in self.odds if len(f) >= 4}
+        self.shorts = {outline(f) for f in self.odds if len(f) < 4}
 
     def strongest(self, word: str) -> float:
         """Evidence of a restored word: the highest log-odds of its features, 0 at least."""
         odds = self.odds
         return max((odds.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def hopeless(self, row: str) -> bool:
-        """Whether no reading of a row has evidence, as none of its words begins like one that
-        has; never where a character itself may be read in several ways."""
-        letters = row.replace(" ", "")
-        if not letters.isalpha() or _DOUBLE.search(row):
-            return False
-        ends = range(len(letters))
-        return self.heads.isdisjoint(letters[i : i + n] for n in range(1, 5) for i in ends)
+    def hopeless(self, token: str) -> bool:
+        """Whether no reading of a token or row has evidence, as its outline begins like that of no
+        word that has. A word of a row begins where one of its tokens does."""
+        if " " in token:
+            pieces = token.split(" ")
+            begins = ["".join(pieces[i:]) for i in range(len(pieces))]
+            shorts = self.heads | self.shorts if self.shorts else self.heads
+        else:
+            if _JOINED.match(token) and _LETTER.search(token):
+                token = _SEPARATORS.sub("", token)
+            begins, shorts = [token if token.isalpha() else _HEAD.sub("", _TAIL.sub("", token))], self.heads
+        for word in begins:
+            if not word[:1].isalnum():
+                return False  # what is stripped from its reading isn't known
+            shape = outline(word)
+            if any(shape[:n] in shorts for n in (1, 2, 3, 4)) or shape in self.shorts:
+                return False
+        return True
 
     def weigh(self, token: str) -> tuple[tuple[float, str], ...]:
         """Evidence of the words that a token or row is read as, and the words where it counts."""
-        if " " in token and self.hopeless(token):
+        if self.hopeless(token):
             return ()
         words = self.channel.restore(token).split()
         return tuple((value, word) for word in words if (value := self.strongest(word)))

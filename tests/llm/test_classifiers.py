@@ -216,3 +216,29 @@ def test_parts_of_a_row_are_read_as_the_whole_row():
                 cut += len(part) < len(row)
         assert got == want, row
     assert cut > 500
+
+
+def test_tokens_without_hope_have_no_evidence():
+    draw = np.random.default_rng(7)
+    channel = toxicity.Channel(draw.normal(size=(toxicity.RADIX,) * 3).astype(np.float32))
+    odds = {w: 3.0 for w in ("idiot", "idio-", "stup-", "as", "moron", "1337", "loser")}
+    model = toxicity.Model(channel, odds, (1.0, -4.0))
+    letters, marks = list("idotsupmrnlea"), list("01!$*@35|7.-'")
+    tokens = [
+        "".join(str(draw.choice(letters if draw.random() < 0.75 else marks)) for _ in range(draw.integers(1, 10)))
+        for _ in range(3000)
+    ]
+    for word in ("idiot", "stupid", "as", "moron", "1337", "loser"):  # and what is like them
+        for _ in range(300):
+            out = [c * int(draw.integers(1, 3)) if draw.random() < 0.3 else c for c in word]
+            at = int(draw.integers(0, len(out)))
+            out[at] = str(draw.choice(marks)) if draw.random() < 0.7 else out[at]
+            tokens.append((" " if draw.random() < 0.3 else "").join(out))
+    skipped, found = 0, 0
+    for token in tokens:
+        got, hopeless = model.weigh(token), model.hopeless(token)
+        words = channel.restore(token).split()
+        want = tuple((v, w) for w in words if (v := model.strongest(w)))
+        assert got == want, (token, words)
+        skipped, found = skipped + hopeless, found + bool(want)
+    assert skipped > 1500 and found > 30
