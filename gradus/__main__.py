@@ -20,6 +20,7 @@ from gradus.plans.explore import explore as explore_tables
 from gradus.plans.explore import write_tables
 from gradus.session import build_session, run_folder
 from gradus.sources.registry import read_raw_csv, read_raw_parquet
+from gradus.sources.tables import read_run_counts
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> None:
             if args.format == "csv" or (args.format is None and named):
                 raw = read_raw_csv(spark, args.raw, wide, args.multiline)
             else:
-                raw = read_raw_parquet(spark, args.raw)
+                raw = read_raw_parquet(spark, args.raw, wide)
             if args.command == "explore":
                 write_tables(explore_tables(raw, args.operator), f"{args.out}/explore")
                 return
@@ -68,6 +69,7 @@ def main(argv: list[str] | None = None) -> None:
                 missing=args.missing, validation_size=args.validation,
             )
             split.write.mode("overwrite").parquet(split_path)
+            read_run_counts(spark, f"{args.out}/labelled_counts").show(truncate=False)
             split.groupBy(S.TARGET, SPLIT).count().orderBy(S.TARGET, SPLIT).show()
             return
         split = spark.read.parquet(split_path)

@@ -37,6 +37,7 @@ SPLIT_BUDGET = 4096      # new slices per later round
 GROUPS_TO_BROADCAST = 200_000
 BROADCAST_BYTES = 32 << 20  # texts of the groups and their levels, at most, in a broadcast
 PARALLEL_FITS = 5
+SLICES = 64              # of the distinct sizes, for the silhouette's running sums
 HOT_SHARE = 10_000       # a group above 1/10,000 of all points is hot: at most 10,000 groups are
 
 
@@ -357,11 +358,19 @@ def elbow(sizes: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), size: str =
     )
 
 
+def _slice(hist: DataFrame, size: Column) -> Column:
+    """Number of the slice of the distinct sizes that a size is in; slices are in order."""
+    ranks = [i / SLICES for i in range(1, SLICES)]
+    edges = hist.agg(F.percentile_approx("size", ranks, 20 * SLICES)).first()[0] or []
+    listed = F.array(*[F.lit(e) for e in sorted(set(edges))]).cast("array<bigint>")
+    return F.size(F.filter(listed, lambda e: e < size))
+
+
 def silhouette(sizes: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), size: str = SIZE) -> DataFrame:
     """Euclidean silhouette per k, without comparing pairs.
 
     Clusters are intervals, so the summed distance of a value to its own cluster follows
-    from running sums, and the mean distance to another cluster is the distance to its mean;
+    from running sums (over slices of the sizes, then inside them), and the mean distance to another cluster is the distance to its mean;
     only the two neighbouring clusters can be nearest.
     """
     fits = {k: f for k, f in fit_levels(sizes, ks, size).items() if f.k > 1}
@@ -382,13 +391,23 @@ def silhouette(sizes: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), size: s
         hist.select("size", "n", x.alias("x"), F.explode(F.array(*map(per_level, fits.values()))).alias("f"))
         .select("size", "n", "x", "f.*")
     )
-    upto = Window.partitionBy("k", "level").orderBy("size").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
+    rows = rows.withColumn("slice", _slice(hist, F.col("size")))
     n_all, s_all = F.get("counts", F.col("level")), F.get("sums", F.col("level"))
-    running = rows.withColumns(
-        {"n_to": F.sum("n").over(upto), "s_to": F.sum(F.col("x") * F.col("n")).over(upto)}
+    weighted = F.col("x") * F.col("n")
+    # Running sums: those of the slices before (a few dozen rows), then inside a slice.
+    before = Window.partitionBy("k", "level").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("k", "level", "slice").agg(F.sum("n").alias("n"), F.sum(weighted).alias("s")).select(
+        "k", "level", "slice",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"),
+        F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("s_before"),
     )
+    upto = Window.partitionBy("k", "level", "slice").orderBy("size").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    running = rows.join(F.broadcast(earlier), ["k", "level", "slice"]).withColumns({
+        "n_to": F.col("n_before") + F.sum("n").over(upto),
+        "s_to": F.col("s_before") + F.sum(weighted).over(upto),
+    })
     own_sum = (
         F.col("x") * F.col("n_to") - F.col("s_to")
         + (s_all - F.col("s_to")) - F.col("x") * (n_all - F.col("n_to"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradus import schema as S
+from gradus.session import write_out
 
 SPLIT = "split"
 TEST, TRAIN, VALIDATION = "test", "train", "validation"
@@ -126,6 +127,33 @@ def fit_split(
     return StratifiedSplit(id_column, label, seed, {r[0]: (r[1], r[2]) for r in cut}, row_key)
 
 
+def with_row_key(df: DataFrame, name: str = S.ROW_KEY) -> DataFrame:
+    """``df``, written, with a key that tells its rows apart: a hash of the row's content and its number
+    among equal rows.
+
+    The keys of a table are the same on any partitioning, so a split by them is, too. Only rows
+    that repeat are numbered: within a written partition, behind the partitions before, so no task
+    orders all copies of a row.
+    """
+    content, part, n = (f"_{name}_{x}" for x in ("content", "part", "n"))
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    rows = write_out(df.withColumns({content: F.md5(text.cast("binary")), part: F.spark_partition_id()}), "row-keys")
+    counts = rows.groupBy(content, part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(content).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum(n).over(Window.partitionBy(content))
+    repeated = counts.withColumns({"start": F.coalesce(F.sum(n).over(before), F.lit(0)), "all": whole})
+    repeated = write_out(repeated.filter(F.col("all") > 1).select(content, part, "start"), "row-repeats")
+    plain = rows.withColumn(name, F.concat(content, F.lit("-0")))
+    if repeated.isEmpty():
+        return plain.drop(content, part)
+    number = F.row_number().over(Window.partitionBy(content, part).orderBy(content)) - 1
+    many = rows.join(repeated, [content, part]).withColumn(
+        name, F.concat(content, F.lit("-"), (F.col("start") + number).cast("string"))
+    )
+    once = plain.join(repeated.select(content, part), [content, part], "left_anti")
+    return once.select(*df.columns, name).unionByName(many.select(*df.columns, name))
+
+
 def split_overlap(split: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: keys on both sides, and keys of the whole on neither side. Both should be 0."""
     test = split.filter(F.col(SPLIT) == TEST).select(*columns)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gradus import schema as S
@@ -25,18 +25,36 @@ from gradus.operators.models import (
     score_with,
     train_all,
 )
-from gradus.operators.splitting import SPLIT, TEST, TRAIN, VALIDATION, fit_split
+from gradus.operators.splitting import SPLIT, TEST, TRAIN, VALIDATION, fit_split, with_row_key
 from gradus.plans.explore import report as dashboard
 from gradus.session import write_out
-from gradus.sources.registry import clean_points, keep_operator
-from gradus.sources.tables import write_labelled, write_metrics
+from gradus.sources.registry import keep_operator, with_features
+from gradus.sources.tables import write_labelled, write_metrics, write_run_counts
 
 
-def prepare(raw: DataFrame, operator: str) -> DataFrame:
-    """Raw registry rows to labelled points of one operator, with their id."""
-    cleaned = clean_points(keep_operator(raw, operator))
+def prepare(raw: DataFrame, operator: str) -> tuple[DataFrame, dict[str, int]]:
+    """Raw registry rows to labelled points of one operator, written with their id and a row key,
+    and what became of the rows.
+
+    The counts ride on the writes: rows of the operator, those without a power, those whose
+    group is missing, labelled ones, and of these how many miss a feature.
+    """
+    encoded = with_features(keep_operator(raw, operator))
+    read, done = Observation("read"), Observation("labelled")
+    encoded = encoded.observe(
+        read, F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col(S.POWER).isNull()).alias("without_power")
+    )
     kept = [S.POINT_ID, S.GROUP, "latitude", "longitude", *S.FEATURES]
-    return label_points(write_out(cleaned.select(*kept), "cleaned"))
+    cleaned = write_out(encoded.na.drop(subset=[S.POWER]).select(*kept), "cleaned")
+    keyed = with_row_key(label_points(cleaned))
+    kinds = dict(keyed.dtypes)
+    hole = reduce(or_, [nan_as_null(F.col(c), kinds[c]).isNull() for c in S.FEATURES])
+    labelled = write_out(
+        keyed.observe(done, F.count(F.lit(1)).alias("labelled"), F.count_if(hole).alias("without_feature")), "labelled"
+    )
+    counts = {**read.get, **done.get}
+    counts["without_group"] = counts["rows_read"] - counts["without_power"] - counts["labelled"]
+    return labelled, counts
 
 
 def missing_counts(points: DataFrame, features: Sequence[str] = tuple(S.FEATURES)) -> DataFrame:
@@ -79,12 +97,13 @@ def prepare_and_train(
 ) -> DataFrame:
     """Label, export the 13 columns, split, train and save; returns points with their split.
 
+    What became of the rows read is stored beside the labelled table, under its path and ``_counts``.
     ``missing`` says what becomes of rows that miss a feature, for all models alike. With a
     ``validation_size`` that share of the training side is set apart (``validation``) for the
     choice of a threshold, so that neither test nor training rows decide it.
     """
-    keyed = prepare(raw, operator).withColumn(S.ROW_KEY, F.monotonically_increasing_id())
-    labelled = write_out(keyed, "labelled")
+    labelled, counts = prepare(raw, operator)
+    write_run_counts(raw.sparkSession, counts, f"{labelled_path}_counts")
     write_labelled(labelled, labelled_path)
     usable = treat_missing(labelled, missing)
     split = fit_split(usable, S.POINT_ID, S.TARGET, test_size, seed, row_key=S.ROW_KEY).apply(usable)

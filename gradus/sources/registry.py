@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gradus import schema as S
 from gradus.functions.cleaning import (
@@ -18,6 +20,9 @@ from gradus.functions.cleaning import (
 )
 
 
+CORRUPT = "_corrupt_record"
+
+
 def read_raw_csv(
     spark: SparkSession, path: str, columns: Sequence[str] | None = tuple(S.RAW_COLUMNS),
     multiline: bool = False,
@@ -26,7 +31,7 @@ def read_raw_csv(
 
     The header is the schema, so extra columns and any column order are fine and there is no
     inference pass; ``columns=None`` keeps all. All files of a folder must have one header: a
-    file whose header differs fails the job (``read_raw_csvs`` takes such files). Keep
+    file whose header differs fails the job (``read_raw_folder`` takes such files). Keep
     ``multiline`` off unless quoted line breaks occur: it makes each file one task.
     """
     raw = (
@@ -50,13 +55,93 @@ def read_raw_csvs(
     return raw.select(*columns) if columns else raw
 
 
-def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
+def _first_lines(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of a folder by their first line; one line of each file is read, many files at once."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found, listing = [], fs.listFiles(root, True)
+    while listing.hasNext():
+        status = listing.next()
+        name = status.getPath().getName()
+        if status.getLen() and not name.startswith(("_", ".")):
+            found.append(status.getPath())
+
+    def first(file) -> tuple[str, str]:
+        codec = codecs.getCodec(file)
+        stream = fs.open(file)
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            return reader.readLine(), file.toString()
+        finally:
+            reader.close()
+
+    out: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for line, file in pool.map(first, found):
+            out.setdefault(line.removeprefix("\ufeff"), []).append(file)
+    return out
+
+
+def read_raw_folder(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = tuple(S.RAW_COLUMNS),
+    multiline: bool = False,
+) -> DataFrame:
+    """All CSV files under ``path``, whatever header each has, by column name.
+
+    Files are grouped by their header, and each group is one scan. A column that a file lacks is
+    NULL in its rows. A row whose cells don't fit its header keeps its text in ``CORRUPT`` (NULL
+    in sound rows), see ``sound_rows`` and ``broken_count``.
+    """
+    parts = []
+    for _, files in sorted(_first_lines(spark, path).items()):
+        options = {"header": True, "escape": '"', "encoding": "UTF-8", "multiLine": multiline}
+        names = spark.read.options(**options).csv(files[0]).columns
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, CORRUPT)])
+        # Without pruning, as a row is only held against its header where all its cells are parsed.
+        raw = spark.read.schema(schema).options(
+            **options, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
+        ).csv(files)
+        # Spark refuses a scan of the corrupt texts alone: they always come with a cell (none of it).
+        cell = F.substring(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")), 1, 0)
+        broken = F.concat(F.col(CORRUPT), cell).alias(CORRUPT)
+        parts.append(raw.select(*[text_or_null(F.col(f"`{c}`")).alias(c) for c in names], broken))
+    if not parts:
+        raise FileNotFoundError(path)
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if columns is None:
+        return raw.select(*[c for c in raw.columns if c != CORRUPT], CORRUPT)
+    lacking = {c: F.lit(None).cast("string") for c in columns if c not in raw.columns}
+    return raw.withColumns(lacking).select(*columns, CORRUPT)
+
+
+def sound_rows(raw: DataFrame) -> DataFrame:
+    """Rows that fit their file's header, without the channel for the others."""
+    return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def broken_count(raw: DataFrame) -> DataFrame:
+    """One row: all rows and those that don't fit their file's header."""
+    return raw.agg(F.count(F.lit(1)).alias("n_rows"), F.count(CORRUPT).alias("n_broken"))
+
+
+def read_raw_parquet(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = tuple(S.RAW_COLUMNS),
+) -> DataFrame:
     """The same registry as Parquet; texts for "missing" become NULL as from CSV.
 
-    The operator's name alone stays as it is, so that a filter on it reaches the scan.
+    ``columns=None`` keeps all that the files have. The operator's name alone stays as it is, so
+    that a filter on it reaches the scan.
     """
-    raw = spark.read.schema(S.RAW_SCHEMA).parquet(path)
-    cleaned = {c: text_or_null(F.col(c)) for c in S.RAW_COLUMNS if c != S.OPERATOR}
+    if columns is None:
+        raw = spark.read.parquet(path)
+    else:
+        raw = spark.read.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).parquet(path)
+    kinds = dict(raw.dtypes)
+    cleaned = {c: text_or_null(F.col(f"`{c}`")) for c in raw.columns if c != S.OPERATOR and kinds[c] == "string"}
     return raw.withColumns(cleaned)
 
 

@@ -40,6 +40,20 @@ def read_labelled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
         raise
 
 
+RUN_COUNTS = ["rows_read", "without_power", "without_group", "labelled", "without_feature"]
+
+
+def write_run_counts(spark: SparkSession, counts: Mapping[str, int], path: str) -> None:
+    """What became of the rows of a run: ``step, rows``, a row for each step."""
+    rows = [(i, name, int(counts[name])) for i, name in enumerate(RUN_COUNTS)]
+    table = spark.createDataFrame(rows, "position int, step string, rows long")
+    table.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_run_counts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).orderBy("position").select("step", "rows")
+
+
 def metrics_table(spark: SparkSession, rows: Iterable[Mapping[str, object]]) -> DataFrame:
     """Metrics rows, one per model, with the fixed column order."""
     names = S.METRICS_SCHEMA.fieldNames()
