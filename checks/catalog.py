@@ -23,7 +23,7 @@ from gradus.operators import (
     splitting,
     thresholds,
 )
-from gradus.plans import explore
+from gradus.plans import explore, pipeline
 from gradus.session import scratch_path, write_out
 from gradus.sources import registry, tables
 
@@ -162,6 +162,53 @@ def drop_missing_counts(spark, sf_dir):
     return registry.drop_counts(registry.keep_operator(raw_registry(spark, sf_dir), C.OPERATOR))
 
 
+@query(f"""WITH {C.RAW}, keyed AS (SELECT *, CAST(id_pdc_itinerance AS BIGINT) AS key FROM raw)
+SELECT count(*) + count(*) FILTER (key % 97 = 0) AS n_rows, count(*) FILTER (key % 97 = 0) AS n_broken,
+  count(puissance_nominale) AS n_power, count(consolidated_commune) AS n_group,
+  count(condition_acces) FILTER (key % 2 = 0) AS n_access FROM keyed""")
+def csv_folder(spark, sf_dir):
+    """A folder whose files have three headers, and rows with too few cells in some of them."""
+    path = scratch_path(spark, "folder")
+    key = F.col(S.POINT_ID).cast("long")
+    raw = raw_registry(spark, sf_dir)
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.filter(key % 2 == 0).write.options(**plain).csv(path)
+    turned = [c for c in reversed(raw.columns) if c != S.ACCESS]
+    raw.filter(key % 2 != 0).select(*turned, F.lit("x").alias("more")).write.mode("append").options(**plain).csv(path)
+    line = F.concat(F.col(S.POINT_ID), F.lit(",F")).alias(f"{S.POINT_ID},{S.OPERATOR},{S.POWER}")
+    raw.filter(key % 97 == 0).select(line).write.mode("append").options(header=True, sep="\t").csv(path)
+    back = registry.read_raw_folder(spark, path)
+    sound = registry.sound_rows(back).agg(
+        F.count(S.POWER).alias("n_power"), F.count(S.GROUP).alias("n_group"), F.count(S.ACCESS).alias("n_access")
+    )
+    return registry.broken_count(back).join(F.broadcast(sound))  # one row each
+
+
+@query(f"""WITH {C.LEVELLED}, counts AS (SELECT
+  (SELECT count(*) FROM encoded) AS rows_read,
+  (SELECT count(*) FROM encoded WHERE puissance_nominale IS NULL) AS without_power,
+  (SELECT count(*) FROM cleaned WHERE consolidated_commune IS NULL) AS without_group,
+  (SELECT count(*) FROM labelled) AS labelled,
+  (SELECT count(*) FROM labelled WHERE nbre_pdc IS NULL) AS without_feature)
+SELECT step, "rows" FROM (UNPIVOT counts ON COLUMNS(*) INTO NAME step VALUE "rows")""")
+def run_counts(spark, sf_dir):
+    """What the training run reports and stores about the rows that it read."""
+    _, counts = pipeline.prepare(raw_registry(spark, sf_dir), C.OPERATOR)
+    path = scratch_path(spark, "run-counts")
+    tables.write_run_counts(spark, counts, path)
+    return tables.read_run_counts(spark, path)
+
+
+@query(f"""WITH {C.USABLE}, {C.sql_split('usable', 'id_pdc_itinerance', 'label')}
+SELECT label, split, count(*) AS n FROM divided GROUP BY ALL""")
+def split_by_content(spark, sf_dir):
+    """Quotas of a split whose rows are told apart by their content, as no row has an id."""
+    usable = _labelled(spark, sf_dir).na.drop(subset=S.FEATURES).select(*S.FEATURES, S.TARGET)
+    keyed = write_out(splitting.with_row_key(usable.withColumn(S.POINT_ID, F.lit(None).cast("string"))), "keyed")
+    split = splitting.fit_split(keyed, S.POINT_ID, row_key=S.ROW_KEY).apply(keyed)
+    return split.groupBy(S.TARGET, splitting.SPLIT).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {C.ENCODED} SELECT id_pdc_itinerance, latitude, longitude FROM encoded
 WHERE longitude BETWEEN -5.5 AND 10.5 AND latitude BETWEEN 41 AND 52""")
 def bbox_filter(spark, sf_dir):
@@ -313,6 +360,14 @@ def group_centroids(spark, sf_dir):
     return six_digits(groups.group_centroids(_cleaned(spark, sf_dir)))
 
 
+@query(f"""WITH {C.CLEANED} SELECT consolidated_commune, round(avg(latitude), 6) AS latitude, round(avg(longitude), 6) AS longitude
+FROM cleaned WHERE consolidated_commune = (SELECT min(consolidated_commune) FROM cleaned) GROUP BY ALL""")
+def centroid_lookup(spark, sf_dir):
+    """The mean position of one group, as the station form asks for it."""
+    points = _cleaned(spark, sf_dir)
+    return six_digits(groups.centroid_of(points, points.agg(F.min(S.GROUP)).first()[0]))
+
+
 _LEVEL_NAME = "CASE label WHEN 0 THEN 'Sous-équipé' WHEN 1 THEN 'Normalement équipé' ELSE 'Bien équipé' END"
 
 
@@ -731,6 +786,35 @@ def _parts(spark, sf_dir):
     return split.filter(side == splitting.TRAIN), split.filter(side == splitting.TEST)
 
 
+_LR_COLUMNS = [*S.FEATURES, "(intercept)"]
+
+
+@query("SELECT class, feature, 0.0::DOUBLE AS gradient FROM (VALUES (0), (1), (2)) AS c(class), (VALUES "
+       + ", ".join(f"('{c}')" for c in _LR_COLUMNS) + ") AS f(feature)")
+def lr_gradient(spark, sf_dir):
+    """Gradient of the summed, weighted and penalised loss at the stored coefficients: 0 where, and only
+    where, the loss is least, as it is convex. Written here in SQL over the training rows."""
+    train, _ = _parts(spark, sf_dir)
+    path = scratch_path(spark, "logistic")
+    models.fit_logistic(train).save(path)
+    coefficients = spark.read.parquet(f"{path}/coefficients")
+    values = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in S.FEATURES)
+    return spark.sql(
+        f"""
+        WITH long AS (SELECT {S.POINT_ID} AS id, label, stack({len(_LR_COLUMNS)}, {values}, '(intercept)', 1D) AS (feature, v) FROM {{train}}),
+        z AS (SELECT id, label, feature, class, coefficient, (v - mean) / deviation AS x FROM long JOIN {{coefficients}} USING (feature)),
+        logit AS (SELECT id, label, class, sum(coefficient * x) AS s FROM z GROUP BY id, label, class),
+        share AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY id) AS p FROM logit),
+        n AS (SELECT label, count(*) AS m FROM {{train}} GROUP BY label),
+        w AS (SELECT label, sum(m) OVER () / (count(*) OVER () * m) AS w FROM n)
+        SELECT z.class, z.feature, round(abs(sum(w * (p - CAST(z.label = z.class AS INT)) * x)
+          + max(CASE WHEN z.feature = '(intercept)' THEN 0D ELSE coefficient END)), 5) AS gradient
+        FROM z JOIN share ON share.id = z.id AND share.class = z.class JOIN w ON w.label = z.label
+        GROUP BY z.class, z.feature""",
+        train=train, coefficients=coefficients,
+    )
+
+
 @query()
 def lr_predictions(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
