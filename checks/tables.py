@@ -100,11 +100,8 @@ def six_digits(df: DataFrame) -> DataFrame:
 
 # --- Building blocks of the checking SQL -------------------------------------------------
 
-_NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
-
-
 def sql_number(column: str) -> str:
-    return f"CASE WHEN regexp_matches({column}, '{_NUMBER}') THEN TRY_CAST(trim({column}) AS DOUBLE) END"
+    return f"TRY_CAST(trim({column}) AS DOUBLE)"
 
 
 def sql_flag(column: str) -> str:
