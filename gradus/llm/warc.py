@@ -1,7 +1,8 @@
 """Web archives with repeated payloads resolved to revisit records.
 
-Headers alone are shuffled by payload digest; a record whose payload another record keeps is
-written as a revisit of it, without the payload. Archives are WARC/1.1 text written by Spark's
+Headers alone are shuffled by payload digest to find which payloads repeat and who keeps them; a
+record whose payload another record keeps is written as a revisit of it, without the payload.
+Where so many payloads repeat that their list can't be broadcast, rows are shuffled to it. Archives are WARC/1.1 text written by Spark's
 own text writer, so any storage that Spark reaches will do: a record is one value, the blank
 line behind its block is half in the value and half the line separator. All of writing runs in
 the JVM. Reading streams through the archives' lines and ends records by their Content-Length,
@@ -13,16 +14,19 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gradus.llm.common import table
 from gradus.session import scratch_path, write_out
 
-#: Records in one archive file, at most.
-ARCHIVE_RECORDS = 50_000
+#: Records in one archive file, at most, and its bytes of payload, about.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 50_000, 1 << 30
+#: What stands before a response's payload in its block, with the payload's size.
+HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 #: Payloads with at least so many bytes are resolved; smaller ones are all responses.
 LEAST_BYTES = 0
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,7 +43,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def resolve(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``digest, bytes, keeper`` of payloads that two records or more have.
+    """``digest, bytes, keeper, keeper_url`` of payloads that two records or more have.
 
     Counts and maxima are summed before the shuffle: a payload of a third of all records is one
     row of each task. The keeper is the largest identifier, NULL being smaller than any.
@@ -47,9 +51,14 @@ def resolve(heads: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return (
         heads.where(F.col("payload_bytes") >= least_bytes)
         .groupBy("payload_digest", "payload_bytes")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies"))
+        .agg(F.max(F.struct("page_id", "url")).alias("keeper"), F.count("*").alias("copies"))
         .where("copies > 1")
-        .drop("copies")
+        .select(
+            "payload_digest",
+            "payload_bytes",
+            F.col("keeper.page_id").alias("keeper"),
+            F.col("keeper.url").alias("keeper_url"),
+        )
     )
 
 
@@ -67,10 +76,15 @@ def write_archives(
     id_column: str = "page_id",
     url_column: str = "url",
     payload_column: str = "html",
+    date: str | None = None,
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
     """Write one record per row of ``pages`` to gzip-compressed archives in the folder ``path``.
 
-    A NULL payload is empty; a NULL url gives a record without target; a NULL identifier gives a
+    A response's block is an HTTP response with the payload; every record has an identifier of its
+    own and the date of writing (``date``: another one, such as 2024-05-01T00:00:00Z). An archive has
+    at most ``records_per_archive`` records, and so few that about ``archive_bytes`` of payload of
+    mean size fill it. A NULL payload is empty; a NULL url gives a record without target; a NULL identifier gives a
     record without page number. Of equal payloads the record with the largest identifier is the
     response; where several rows repeat that identifier, all of them are. Other columns are
     ignored. An empty table writes archives without records.
@@ -85,22 +99,31 @@ def write_archives(
             "payload_bytes": F.octet_length("payload").cast("long"),
         }
     )
-    keepers = write_out(resolve(rows, least_bytes), "warc-keepers")
+    sizes = Observation("warc")
+    seen = rows.observe(sizes, F.count(F.lit(1)).alias("n"), F.sum("payload_bytes").alias("bytes"))
+    keepers = write_out(resolve(seen, least_bytes), "warc-keepers")
+    mean = max(1.0, (sizes.get["bytes"] or 0) / max(1, sizes.get["n"]))
+    records_per_archive = max(1, min(records_per_archive, int(archive_bytes / mean)))
+    written = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    head = F.format_string(HTTP_HEAD, F.col("payload_bytes"))
+    block_bytes = F.col("payload_bytes") + F.octet_length(head)
     revisit = F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id"))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.format_string("<urn:page:%s>", F.col("page_id").cast("string"))),
+        _line("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
+        _line("WARC-Date", F.lit(written)),
         _line("WARC-Page-ID", F.col("page_id").cast("string")),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("WARC-Profile", F.when(revisit, PROFILE)),
-        _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<urn:page:"), F.col("keeper"), F.lit(">")))),
+        _line("WARC-Refers-To-Target-URI", F.when(revisit, F.col("keeper_url"))),
+        _line("WARC-Refers-To-Date", F.when(revisit, F.lit(written))),
         _line("WARC-Refers-To-Page-ID", F.when(revisit, F.col("keeper").cast("string"))),
-        _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.when(revisit, "0").otherwise(F.col("payload_bytes").cast("string"))),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", F.when(revisit, "0").otherwise(block_bytes.cast("string"))),
         F.lit("\r\n"),
-        F.when(revisit, "").otherwise(F.col("payload")),
+        F.when(revisit, "").otherwise(F.concat(head, F.col("payload"))),
         F.lit("\r\n"),
     )
     # A large list of keepers makes this a shuffle join whose hot digests are split at run time;
@@ -155,7 +178,7 @@ class _Parser:
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Every record under ``path``: headers, and the payload's size and digest as read.
 
-    ``page_id, url, record_type, refers_to, stated_digest, payload_bytes, payload_digest,
+    The payload is what follows the HTTP head of a response's block. ``page_id, url, record_type, refers_to, stated_digest, payload_bytes, payload_digest,
     payload``; the last three are NULL for revisits, the last one also without ``payloads``.
     Compressed archives aren't split, so a task has the lines of whole archives in order; it
     holds one batch of lines and one record at a time.
@@ -171,6 +194,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 head, block = record
                 page, refers = head.get("WARC-Page-ID"), head.get("WARC-Refers-To-Page-ID")
                 full = head["WARC-Type"] == "response"
+                if full:
+                    block = block.partition(b"\r\n\r\n")[2]
                 out.append(
                     (
                         int(page) if page else None,

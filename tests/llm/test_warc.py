@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import re
 from collections import defaultdict
 
 import pytest
@@ -63,3 +65,38 @@ def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "archives")
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert read_archives(spark, path).count() == 0
+
+
+def test_every_record_has_its_mandatory_headers(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    rows = [*PAGES, (1, "http://a", "a", 0), (None, "n", "a", 0), (None, "n", "a", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest int")
+    write_archives(pages.coalesce(1), path, date="2024-05-01T00:00:00Z", archive_bytes=100_000)
+    archives = list((tmp_path / "archives").glob("*.gz"))
+    assert len(archives) > 1  # about four payloads of the mean size each
+    ids, kinds = [], []
+    for archive in archives:
+        data = gzip.decompress(archive.read_bytes())
+        while data:
+            head, _, data = data.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            size = int(fields["Content-Length"])
+            block, data = data[:size], data[size:]
+            assert version == "WARC/1.1" and fields["WARC-Date"] == "2024-05-01T00:00:00Z"
+            assert fields["Content-Type"] == "application/http; msgtype=response"
+            assert data.startswith(b"\r\n\r\n")
+            data = data[4:]
+            ids.append(fields["WARC-Record-ID"])
+            kinds.append(fields["WARC-Type"])
+            if fields["WARC-Type"] == "response":
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in http
+                digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                assert fields["WARC-Payload-Digest"] == f"sha1:{digest}"
+            else:
+                assert fields["WARC-Profile"].endswith("identical-payload-digest") and not block
+                assert fields["WARC-Refers-To-Date"] == "2024-05-01T00:00:00Z"
+    assert len(ids) == len(rows) == len(set(ids))
+    assert all(re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", x) for x in ids)
+    assert kinds.count("revisit") > 3
