@@ -1,11 +1,11 @@
 """Secrets in texts: three fixed patterns, and random strings by two character Markov models.
 
 Everything is DataFrame functions. One model is of random strings, the values that the patterns
-find; the other is of ordinary identifiers, the long runs of letters or of digits that they
-leave. Each distinct string
-of either label counts once. What no pattern covers of a run is a secret if its log-likelihood
-ratio under the two models is high enough, or else each stretch of it whose ratio is. What looks like a secret among the ordinary samples
-is left out when the models are fitted for the second time.
+find; the other is of ordinary identifiers, the long runs that they leave, paths, versions and
+names with numbers among them. Each distinct string of either label counts once. What no pattern
+covers of a run is a secret if its log-likelihood ratio under the two models is high enough, or
+else each stretch of it whose ratio is. What looks like a secret among the ordinary samples is
+left out when the models are fitted for the second time.
 """
 
 from __future__ import annotations
@@ -123,23 +123,17 @@ def _characters(string: Column) -> Column:
     return F.filter(F.split(string, ""), lambda c: c != "")
 
 
-def _mixed(run: Column) -> Column:
-    return run.rlike("[0-9]") & run.rlike("[A-Za-z]")
-
-
 def samples(docs: DataFrame) -> DataFrame:
     """Distinct labelled strings of all texts: ``value, random``.
 
-    A run with letters and digits is no sample of either label: it may be a secret itself.
+    All long runs that the patterns leave are ordinary samples; some may be secrets.
     """
     rows = texts(docs).select("text")
     random = F.transform(
         base_spans(F.col("text")), lambda s: F.struct(s["value"].alias("value"), F.lit(True).alias("random"))
     )
     runs = F.regexp_extract_all(_without_base(F.col("text")), F.lit(run_pattern(ORDINARY)), F.lit(0))
-    ordinary = F.transform(
-        F.filter(runs, lambda run: ~_mixed(run)), lambda run: F.struct(run.alias("value"), F.lit(False).alias("random"))
-    )
+    ordinary = F.transform(runs, lambda run: F.struct(run.alias("value"), F.lit(False).alias("random")))
     return rows.select(F.explode(F.concat(random, ordinary)).alias("s")).select("s.*").distinct()
 
 
@@ -198,17 +192,25 @@ def _fit(strings: DataFrame, spared: int = 0) -> list[float] | None:
 def log_ratios(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> list[float]:
     """Log-likelihood ratio of each transition, random to ordinary, by number of both states.
 
-    Ordinary samples that are secrets under a first fit are left out of the second. The driver
-    gets the counts of transitions: twice the square of the alphabet at most. Without samples of
-    both labels every ratio is 0 and nothing is added.
+    The first fit is without runs of letters and digits, as those may be secrets themselves; ordinary
+    samples that are secrets under it are left out of the second. A run with digits comes in where
+    its other characters are ordinary, as a whole and in every stretch. The driver gets the counts
+    of transitions: twice the square of the alphabet at most. Without samples of both labels every
+    ratio is 0 and nothing is added.
     """
-    strings = write_out(samples(docs), "secret-samples")
-    first = _fit(strings, spared=1)
+    value = F.col("value")
+    mixed = ~F.col("random") & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    strings = write_out(samples(docs).withColumn("mixed", mixed), "secret-samples")
+    first = _fit(strings.where("not mixed"), spared=1)
     if first is None:
         return [0.0] * (_STATES * _STATES)
     ratios = F.array(*[F.lit(x) for x in first])
-    plain = F.col("random") | (likelihood_ratio(F.col("value"), ratios) < least_ratio)
-    return _fit(strings.where(plain)) or _fit(strings)
+    letters = F.regexp_replace(value, "[0-9]+", "")
+    named = (likelihood_ratio(letters, ratios) < 0) & (F.size(stretches(letters, ratios, least_ratio)) == 0)
+    plain = F.when(F.col("random"), True).when(F.col("mixed"), named).otherwise(
+        likelihood_ratio(value, ratios) < least_ratio
+    )
+    return _fit(strings.where(plain)) or _fit(strings.where("not mixed"))
 
 
 def likelihood_ratio(string: Column, ratios: Column) -> Column:
@@ -303,7 +305,8 @@ def stretches(string: Column, ratios: Column, least_ratio: float) -> Column:
 
 
 def secret_parts(run: Column, ratios: Column, least_ratio: float) -> Column:
-    """Spans of a run's stretches, each grown to the next character that is no letter or digit."""
+    """Spans of a run's stretches, each grown to the next character that is no letter or digit; what a
+    stretch has grown to must be likelier random than ordinary, too."""
 
     def grown(s: Column) -> Column:
         head = F.substring(run["value"], F.lit(1), s["begin"])
@@ -318,7 +321,8 @@ def secret_parts(run: Column, ratios: Column, least_ratio: float) -> Column:
         )
 
     spans = F.transform(stretches(run["value"], ratios, least_ratio), grown)
-    return F.array_distinct(F.filter(spans, lambda s: s["end"] - s["start"] >= CANDIDATE))
+    long = F.filter(spans, lambda s: s["end"] - s["start"] >= CANDIDATE)
+    return F.array_distinct(F.filter(long, lambda s: likelihood_ratio(s["value"], ratios) >= 0))
 
 
 def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO, **columns: str) -> DataFrame:

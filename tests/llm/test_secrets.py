@@ -121,3 +121,26 @@ def test_secrets_inside_longer_runs(spark):
     assert found[20] == [one] and found[21] == [one, two] and found[23] == []
     assert len(found[22]) == 1 and one in found[22][0]
     assert found[14] == ["ghp_a8Gk29ZbQ1xR7tYw3eUv5iOp0sDf4hJk"] and found[15] == []
+
+
+def test_identifiers_versions_and_paths_are_ordinary(spark):
+    draw = random.Random(33)
+    words = ["alpha", "render", "socket", "buffer", "stream", "report", "archive", "module", "filter", "session"]
+    rows = corpus()
+    for i in range(150):  # numbered names of other words than those below
+        a, b, c = (draw.choice(words) for _ in range(3))
+        n, m = draw.randrange(100), draw.randrange(1, 13)
+        rows.append((1000 + i, f"{a}_{b}_{c}{n} {a}-{b}-{n}-{m}-{n} {a}/20{n % 30:02}/{m:02}/{b}_{n} {a}{b.title()}V{m}{c}"))
+    names = [
+        "internationalisation_handler2", "name_configuration1", "articles/2024/some", "release-1-24-3-final",
+        "documentation/v2/getting_started", "user_account_name_v2", "handlers_http2_connection",
+    ]
+    keys = ["".join(draw.choices(S.ALPHABET[:62], k=k)) for k in (24, 32, 40)] + ["ghp_a8Gk29ZbQ1xR7tYw3eUv5iOp0sDf4hJk"]
+    rows += [(2000 + i, f"see {x} there") for i, x in enumerate(names)]
+    rows += [(3000 + i, f"see {x} there") for i, x in enumerate(keys)]
+    found = {r.doc_id: [s.value for s in r.added] for r in S.find_secrets(documents(spark, rows)).collect()}
+    assert [found[3000 + i] for i in range(len(keys))] == [[key] for key in keys]
+    assert not any(found[2000 + i] for i in range(len(names)))
+    wrong = [values for doc_id, values in found.items() if 1000 <= doc_id < 2000 and values]
+    assert len(wrong) <= 6, wrong  # of 600 names; the models know letters, not words
+    assert not any(values for doc_id, values in found.items() if 100 <= doc_id < 1000)
