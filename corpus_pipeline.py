@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import decontaminate, exact_dedup, minmax, mixing, quality
 from gradus.llm.common import table
-from gradus.session import run_folder, scratch_path
+from gradus.session import remove, run_folder, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -52,11 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage has written; the outputs of the stages before it are removed once read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"corpus-{name}")
         with run_folder(spark):  # what the stage writes for itself goes with it
             out = stage(spark, docs, sf_dir)
             out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
