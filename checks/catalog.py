@@ -898,6 +898,19 @@ def knn_rows(spark, sf_dir):
     return _checked_rows(spark, models.KnnModel.fit(train, S.POINT_ID), test)
 
 
+@query(f"""WITH {C.USABLE}, {C.sql_split('usable', 'id_pdc_itinerance', 'label')}
+SELECT model_key, count(*) AS n_scored FROM divided, (VALUES {", ".join(f"('{k}')" for k in MODEL_NAMES)}) AS m(model_key)
+WHERE split = 'test' GROUP BY model_key""")
+def train_all_models(spark, sf_dir):
+    """The whole training run with all registered models; each is loaded and scores the test rows."""
+    folder = scratch_path(spark, "run")
+    registered = models.registry(f"{folder}/models")
+    split = pipeline.prepare_and_train(raw_registry(spark, sf_dir), C.OPERATOR, f"{folder}/labelled", registered)
+    test = split.filter(F.col(splitting.SPLIT) == splitting.TEST)
+    scored_rows = metrics.stack_predictions(pipeline.predict_all(spark, test, registered))
+    return scored_rows.groupBy("model_key").agg(F.count("p").alias("n_scored"))
+
+
 @query(f"""SELECT consolidated_commune, puissance_nominale, TRUE AS sums_to_one
 FROM ({ORACLES["whatif_grid"]}) AS grid""")
 def whatif_rows(spark, sf_dir):

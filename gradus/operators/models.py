@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -239,12 +240,18 @@ def check_registry(models: dict[str, Registered]) -> None:
 
 
 def train_all(train: DataFrame, models: dict[str, Registered]) -> None:
-    """Fit and save every registered model on one persisted training table."""
+    """Fit and save every registered model on one persisted training table, side by side.
+
+    A fit is many short jobs with idle tasks in between; Spark shares the executors between them
+    (evenly where the session has the fair scheduler). A fit that fails fails the run.
+    """
     check_registry(models)
     train = train.persist()
     try:
-        for model in models.values():
-            model.fit(train).save(model.path)
+        train.count()  # once, not by each fit
+        with ThreadPoolExecutor(len(models)) as pool:
+            for done in [pool.submit(lambda m=m: m.fit(train).save(m.path)) for m in models.values()]:
+                done.result()
     finally:
         train.unpersist()
 
