@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradus.operators import boosting as B
+from gradus.session import write_out
 
 FEATURES = ["a", "b", "c", "d"]
 
@@ -90,6 +91,65 @@ def test_routes_grow_the_same_trees(spark, points):
     assert np.allclose(scores[0], scores[2], atol=1e-9)
 
 
+def test_bundles_sum_like_features_and_deep_trees_like_shallow_code():
+    rng = np.random.default_rng(5)
+    layout = B.Layout([np.arange(40.0), [0.5], [0.5], np.arange(200.0), [], [0.5, 1.5]])
+    values = np.stack([rng.integers(-1, 41, 3000), *rng.integers(0, 2, (2, 3000)), rng.integers(-1, 202, 3000),
+                       np.ones(3000), rng.integers(0, 3, 3000)], axis=1).astype(float)
+    values[rng.random(values.shape) < 0.05] = np.nan
+    bins = layout.bins(values)
+    assert len(layout.bundles) < 6 and sorted(f for own in layout.bundles for f in own) == list(range(6))
+    rows = B.Rows(bins, rng.random((3000, 2)) * 9, rng.normal(size=(3000, 2)), layout)
+    rows.begin()
+    depth, nodes, seen = 8, np.zeros((2, 3000), dtype=int), []
+
+    def checked(trees, level):  # each node and bin by itself
+        got = rows.sums(trees, level)
+        for k in range(2):
+            if level:
+                f = trees.feature[k][nodes[k]]
+                own = bins[np.arange(3000), np.maximum(f, 0)]
+                right = np.where(own == layout.missing[f], ~trees.missing_left[k][nodes[k]], own > trees.cut[k][nodes[k]])
+                nodes[k] = np.where(f < 0, -1, 2 * nodes[k] + 1 + right) * (nodes[k] >= 0) - (nodes[k] < 0)
+            first = 2**level - 1
+            for pair in range(got.shape[1]):
+                mine = nodes[k] == first + (2 * pair if level else 0)
+                for i, change in enumerate((rows.gradient[k], rows.hessian[k])):
+                    want = [np.bincount(bins[mine, f], change[mine], layout.missing[f] + 1) for f in range(6)]
+                    assert np.allclose(got[k, pair, :, i], np.concatenate(want), atol=1e-9)
+        seen.append(level)
+        return got
+
+    trees = B.grow(2, depth, 0.3, layout, checked)
+    assert seen == list(range(8))
+    added = trees.scorer(layout)(rows.codes)
+    for k in range(2):
+        for i in range(0, 3000, 7):
+            node = 0
+            while (f := trees.feature[k, node]) >= 0:
+                lost = bins[i, f] == layout.missing[f]
+                node = 2 * node + 1 + int(not trees.missing_left[k, node] if lost else bins[i, f] > trees.cut[k, node])
+            assert added[k, i] == trees.value[k, node]
+
+
+def test_a_fit_makes_its_rows_once_and_its_rounds_write_nothing(spark, points, monkeypatch):
+    made = []
+    monkeypatch.setattr(B, "write_out", lambda df, name: made.append(name) or write_out(df, name))
+    count = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        count.add(1)
+        return v
+
+    train = points.withColumn("d", counted("d"))
+    fits = [B.BoostedModel.fit(train, FEATURES, rounds=21, depth=2, route=r) for r in ("by_class", "by_level")]
+    assert count.value == 2 * points.count()
+    assert made == ["boosting-train", "boosting-cells", "boosting-rows"] * 2
+    a, b = ([r.probabilities for r in m.score(points).orderBy("id").collect()] for m in fits)
+    assert np.allclose(a, b, atol=1e-9)
+
+
 def test_a_new_or_late_worker_has_the_same_margins():
     layout = B.Layout([[1.0, 2.0], [0.5]])
     bins = layout.bins(np.array([[1.0, 0.0], [2.0, 1.0], [3.0, np.nan], [np.nan, 1.0]]))
