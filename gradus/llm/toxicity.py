@@ -54,6 +54,8 @@ AS_IS, ITSELF, ALIKE, DROPPED = math.log(0.9), math.log(0.1), math.log(0.3), mat
 DOUBLED, KEPT, CLOSED = math.log(0.01), math.log(0.85), math.log(0.15)
 #: Characters of a token, at most, that may be a piece of a spaced word.
 SHORT = 3
+#: Characters of a word, or pieces of a row, whose outline is looked at first.
+BEGINS = 6
 #: Entries of a memo of the channel.
 MEMO = 300_000
 
@@ -146,7 +148,8 @@ class Channel:
 
     table: np.ndarray
     numbers: dict[str, int] = field(default_factory=lambda: {c: i for i, c in enumerate(ALPHABET)})
-    #: Memos: the fixed ends of a piece, and whether a blank between such ends stays.
+    #: Memos: the piece that a short token is, the fixed ends of a piece, whether a blank between such ends stays.
+    pieces: dict[str, str] = field(default_factory=dict)
     ends: dict[str, tuple[str, str]] = field(default_factory=dict)
     stays: dict[str, bool] = field(default_factory=dict)
 
@@ -281,6 +284,12 @@ def _fixed_ends(piece: str) -> tuple[str, str]:
     return piece[:2] if fixed(0, 2) else "", piece[-2:] if fixed(n - 2, n) else ""
 
 
+def _piece(part: str) -> str:
+    """A short token less the punctuation around it, empty if it is no piece of a spaced word."""
+    piece = part if part.isalnum() else _HEAD.sub("", _TAIL.sub("", part))
+    return piece if _PIECE.fullmatch(piece) else ""
+
+
 def features(word: str) -> list[str]:
     """The word and its beginnings (marked, so that they differ from words)."""
     return [word, *[f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n]]
@@ -289,13 +298,17 @@ def features(word: str) -> list[str]:
 def tokens(text: str, channel: Channel) -> set[str]:
     """The distinct tokens of a text in lower case, and the parts of its rows of short ones with a
     blank between them, whatever blanks the text has there."""
-    parts = text.lower().split()
+    parts, pieces = text.lower().split(), channel.pieces
     found = set(parts)
     row: list[str] = []
     for part in [*parts, ""]:
         if part and len(part) <= SHORT + 2:
-            piece = part if part.isalnum() else _HEAD.sub("", _TAIL.sub("", part))
-            if _PIECE.fullmatch(piece):
+            piece = pieces.get(part)
+            if piece is None:
+                if len(pieces) > MEMO:
+                    pieces.clear()
+                piece = pieces[part] = _piece(part)
+            if piece:
                 row.append(piece)
                 continue
         if len(row) > 1:
@@ -319,6 +332,8 @@ class Model:
         #: Outlines of what a word with evidence begins with, and of those that are shorter.
         self.heads = {outline(f[:4]) for f in self.odds if len(f) >= 4}
         self.shorts = {outline(f) for f in self.odds if len(f) < 4}
+        #: Memos: whether one of them begins what begins so, in a row of tokens and in a word.
+        self.verdicts: tuple[dict[str, bool], dict[str, bool]] = {}, {}
 
     def strongest(self, word: str) -> float:
         """Evidence of a restored word: the highest log-odds of its features, 0 at least."""
@@ -329,18 +344,33 @@ class Model:
         """Whether no reading of a token or row has evidence, as its outline begins like that of no
         word that has. A word of a row begins where one of its tokens does."""
         if " " in token:
-            pieces = token.split(" ")
-            begins = ["".join(pieces[i:]) for i in range(len(pieces))]
+            pieces, verdicts = token.split(" "), self.verdicts[0]
+            begins = ["".join(pieces[i : i + BEGINS]) for i in range(len(pieces))]
             shorts = self.heads | self.shorts if self.shorts else self.heads
+
+            def whole(i: int) -> str:
+                return "".join(pieces[i:])
         else:
-            if _JOINED.match(token) and _LETTER.search(token):
+            if not token.isalpha() and _JOINED.match(token) and _LETTER.search(token):
                 token = _SEPARATORS.sub("", token)
             begins, shorts = [token if token.isalpha() else _HEAD.sub("", _TAIL.sub("", token))], self.heads
-        for word in begins:
+            whole, verdicts = begins.__getitem__, self.verdicts[1]
+        for i, word in enumerate(begins):
             if not word[:1].isalnum():
                 return False  # what is stripped from its reading isn't known
-            shape = outline(word)
-            if any(shape[:n] in shorts for n in (1, 2, 3, 4)) or shape in self.shorts:
+            # Four characters of an outline decide; few characters mostly have that many.
+            known = verdicts.get(word[:BEGINS])
+            if known is None:
+                if len(verdicts) > MEMO:
+                    verdicts.clear()
+                shape = outline(word[:BEGINS])
+                enough = len(shape) >= 4 or len(word) < BEGINS
+                if not enough:
+                    shape = outline(whole(i))
+                known = any(shape[:n] in shorts for n in (1, 2, 3, 4)) or shape in self.shorts
+                if enough:
+                    verdicts[word[:BEGINS]] = known
+            if known:
                 return False
         return True
 
@@ -357,7 +387,7 @@ class Model:
 
 def evidence(text: str, weigher: Memo, channel: Channel) -> float:
     """The strongest word counts whole, each next one ``DECAY`` times as much as before."""
-    found = sorted({pair for token in tokens(text, channel) for pair in weigher[token]}, reverse=True)
+    found = sorted(set().union(*map(weigher.__getitem__, tokens(text, channel))), reverse=True)
     return sum(value * DECAY**i for i, (value, _) in enumerate(found))
 
 
@@ -369,49 +399,67 @@ def _kin(text: str) -> int:
     return min(crc32(" ".join(words[i : i + 3]).encode("utf-8")) for i in range(len(words) - 2))
 
 
-def learn_odds(sample: DataFrame, channel: Channel) -> dict[str, float]:
-    """Log-odds of the features that mark toxic texts, from ``label, text, kin`` rows.
+def feature_counts(rows: DataFrame, channel: Channel, only: frozenset[str] | None = None) -> DataFrame:
+    """``feature, n``: the weight of the ``text, weight`` rows that have a feature, of some features or of all.
 
-    A document counts as one over its number of near copies, so that a copied passage does not
-    pass for a habit. Tasks sum in bounded dicts; Spark sums the rest and sorts out the features.
+    Tasks sum in bounded dicts, Spark sums the rest.
     """
-    shared = sample.sparkSession.sparkContext.broadcast(channel)
+    shared = rows.sparkSession.sparkContext.broadcast((channel, only))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = shared.value
+        channel, only = shared.value
         restored = Memo(channel.restore, 200_000)
-        toxic: Counter[str] = Counter()
-        clean: Counter[str] = Counter()
+        sums: Counter[str] = Counter()
+
+        def wanted(token: str) -> tuple[str, ...]:
+            words = channel.restore(token).split()
+            return tuple({f for word in words for f in features(word)} & only)
+
+        kept = Memo(wanted, 200_000)
+
+        def found(text: str) -> set[str]:
+            if only is None:
+                return {f for word in read(text, restored, channel) for f in features(word)}
+            return set().union(*map(kept.__getitem__, tokens(text, channel)))
 
         def flush() -> pd.DataFrame:
-            names = list(toxic.keys() | clean.keys())
-            out = pd.DataFrame(
-                {"feature": names, "t": [toxic[x] for x in names], "c": [clean[x] for x in names]}
-            ).astype({"feature": str, "t": float, "c": float})
-            toxic.clear()
-            clean.clear()
-            return out
+            out = pd.DataFrame({"feature": list(sums), "n": list(sums.values())})
+            sums.clear()
+            return out.astype({"feature": str, "n": float})
 
         for batch in batches:
-            for text, label, weight in zip(batch["text"], batch["label"], batch["weight"], strict=True):
-                into = toxic if label == 1 else clean
-                for f in {f for word in read(text, restored, channel) for f in features(word)}:
-                    into[f] += weight
-                if len(toxic) + len(clean) > 400_000:
+            for text, weight in zip(batch["text"], batch["weight"], strict=True):
+                for f in found(text):
+                    sums[f] += weight
+                if len(sums) > 400_000:
                     yield flush()
         yield flush()
 
+    counts = rows.select("text", "weight").mapInPandas(count, "feature string, n double")
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def learn_odds(sample: DataFrame, channel: Channel) -> dict[str, float]:
+    """Log-odds of the features that mark toxic texts, from ``label, text, weight`` rows.
+
+    A document counts as one over its number of near copies, so that a copied passage does not
+    pass for a habit. Features are found in the toxic rows; in all others only those that enough
+    toxic rows have are counted, as no other is kept.
+    """
     sums = sample.groupBy("label").agg(F.sum("weight").alias("n")).collect()
     total = {row["label"]: float(row["n"]) for row in sums}
     t_all, c_all = total.get(1, 0.0) + 1, total.get(0, 0.0) + 1
+    toxic = F.col("label") == 1
+    seen = feature_counts(sample.where(toxic), channel).withColumnRenamed("n", "t").where(F.col("t") >= SUPPORT)
+    seen = write_out(seen, "toxic-features")
+    # Some thousands: each is in several unlike rows of a bounded sample.
+    only = frozenset(row["feature"] for row in seen.select("feature").toLocalIterator())
+    clean = feature_counts(sample.where(~toxic), channel, only).withColumnRenamed("n", "c")
     odds = F.log((F.col("t") + 0.5) / F.lit(t_all)) - F.log((F.col("c") + 0.5) / F.lit(c_all))
     odds = odds * F.col("t") / (F.col("t") + SHRINK)  # few documents are weak evidence
     counts = (
-        sample.select("text", "label", "weight")
-        .mapInPandas(count, "feature string, t double, c double")
-        .groupBy("feature")
-        .agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-        .where(F.col("t") >= SUPPORT)
+        seen.join(clean, "feature", "left")
+        .na.fill(0.0, ["c"])
         .withColumn("odds", odds)
         .where(F.col("odds") >= LEAST_ODDS)
     )
