@@ -242,3 +242,37 @@ def test_tokens_without_hope_have_no_evidence():
         assert got == want, (token, words)
         skipped, found = skipped + hopeless, found + bool(want)
     assert skipped > 1500 and found > 30
+
+
+def test_only_features_of_enough_toxic_rows_are_counted_in_the_others(spark):
+    def corpus(marked):
+        return [(f"{'stupid 1d1ot' if i % 2 else 'gentle breeze'} " + " ".join(prose(random.Random(i), 9)), 1.0 + i % 3,
+                 int(i % 2 and marked)) for i in range(120)]
+
+    rows = spark.createDataFrame(corpus(True), "text string, weight double, label int")
+    channel = toxicity.Channel.learn(toxicity.trigram_counts(documents(spark, [(0, "an idiot " * 50)])).toPandas())
+    every = {r.feature: r.n for r in toxicity.feature_counts(rows, channel).collect()}
+    only = frozenset(["stupid", "stup-", "river", "absent"])
+    some = {r.feature: r.n for r in toxicity.feature_counts(rows, channel, only).collect()}
+    assert some == {f: every[f] for f in ("stupid", "stup-", "river")}
+
+    odds = toxicity.learn_odds(rows, channel)
+    t = {r.feature: r.n for r in toxicity.feature_counts(rows.where("label = 1"), channel).collect()}
+    c = {r.feature: r.n for r in toxicity.feature_counts(rows.where("label = 0"), channel).collect()}
+    total = {r.label: r.n for r in rows.groupBy("label").agg({"weight": "sum"}).toDF("label", "n").collect()}
+    want = {}
+    for f, n in t.items():
+        value = np.log((n + 0.5) / (total[1] + 1)) - np.log((c.get(f, 0.0) + 0.5) / (total[0] + 1))
+        if n >= toxicity.SUPPORT and value * n / (n + toxicity.SHRINK) >= toxicity.LEAST_ODDS:
+            want[f] = value * n / (n + toxicity.SHRINK)
+    assert odds == pytest.approx(want) and "stupid" in odds and "river" not in odds
+    clean = spark.createDataFrame(corpus(False), "text string, weight double, label int")
+    assert toxicity.learn_odds(clean, channel) == {}
+
+
+def test_outlines_that_decide_are_found_behind_long_runs_too():
+    model = toxicity.Model(toxicity.Channel(np.zeros((1, 1, 1))), {"abcdef": 3.0, "xy": 3.0}, (1.0, -4.0))
+    for _ in range(2):  # worked out, and from the memo
+        assert not model.hopeless("a" * 30 + "bcd") and model.hopeless("a" * 30 + "bxd")
+        assert not model.hopeless("xxxxyyyyyy") and model.hopeless("xxxxyyyyyyu") and model.hopeless("xyu")
+        assert not model.hopeless("qq a b cde") and not model.hopeless("qq xy u") and model.hopeless("qq uu")
